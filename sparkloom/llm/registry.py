@@ -6,8 +6,10 @@ import importlib
 
 #: name of the query -> module that has it, and oracle() where SQL can express it
 QUERIES = {
+    "op1_line_dedup": "line_dedup",
     "op4_license_scan": "license_scan",
     "op6_url_filter": "url_filter",
+    "op9_decontaminate": "decontaminate",
     "op10_mixing": "mixing",
 }
 
