@@ -7,8 +7,10 @@ import importlib
 #: name of the query -> module that has it, and oracle() where SQL can express it
 QUERIES = {
     "op1_line_dedup": "line_dedup",
+    "op2_language_id": "language",
     "op4_license_scan": "license_scan",
     "op6_url_filter": "url_filter",
+    "op7_minhash_dedup": "minhash",
     "op9_decontaminate": "decontaminate",
     "op10_mixing": "mixing",
 }
