@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op1_line_dedup": "line_dedup",
     "op2_language_id": "language",
+    "op3_warc_captures": "warc",
     "op4_license_scan": "license_scan",
     "op6_url_filter": "url_filter",
     "op7_minhash_dedup": "minhash",
