@@ -7,10 +7,10 @@ minimum the low 2 bits are kept and packed; the share of equal 2-bit fields, cor
 chance, estimates the similarity, and pairs far below the threshold go. The rest are confirmed on full sets.
 
 Candidate pairs are not all pairs of a band's bucket. The result asks for components, so a bucket only has to tie
-together what belongs together: each bucket's members are first compared with its smallest one, and then, class by class
-of what that round joined, the members that remain apart are compared with each other. A bucket of near copies of one
-text, however large, is done after the first round. Members of a bucket that stay apart are compared within the size
-range that the threshold allows and only once over all bands.
+together what belongs together: its members are first compared with its smallest one, then, where they are in different
+components still, with a leader drawn by a hash, another in each bucket. That ties large groups of near copies together.
+Last, members of a bucket that remain in different components are compared with each other, all that the threshold
+allows by their sizes, once over all bands: no link between components is lost.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A text of fewer words than a shingle
 has one shingle, the whole. Should rows share a doc_id but not their text, each has the component of its own set, and of
@@ -32,6 +32,8 @@ from sparkloom.llm.common import connected_components, materialize, table
 
 BANDS, ROWS, BITS = 38, 6, 2
 PERMUTATIONS = BANDS * ROWS
+#: Rounds that compare bucket members with one leader, before what remains apart is compared in full.
+STAR_ROUNDS = 2
 #: How far below the threshold an estimate may lie for a pair to be confirmed: over 5 standard deviations.
 SLACK = 0.2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -190,8 +192,8 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
     one = least.join(own.toDF("node", "own_key"), F.expr("set_key = own_key AND doc_id = node")).select("node", "set_key", "n_shingles", "packed", "bands")
     one = materialize(one.dropDuplicates(["node"]), "minhash-classes")
     buckets = one.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    buckets = materialize(buckets.join(shared.select("key", "first"), "key"), "minhash-buckets")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = materialize(buckets.join(shared, "key", "left_semi").withColumn("part", F.col("node")), "minhash-buckets")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
@@ -200,14 +202,19 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
         near = materialize(near.mapInArrow(_near(threshold), "a long, b long"), "minhash-near")
         return materialize(confirm(near, docs, one, size, threshold), "minhash-links")
 
-    # first round: each member with the smallest of its bucket
-    found = check(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")))
-    # second: the members of a bucket that the first round left in different components, within the sizes that can link
-    parts = materialize(connected_components(found), "minhash-parts")
-    placed = buckets.where("node <> first").join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    placed = materialize(placed.join(apart, "key", "left_semi"), "minhash-apart")
-    x, y = placed.toDF("key", "a", "na", "pa"), placed.toDF("key", "b", "nb", "pb")
+    found = None
+    for n in range(STAR_ROUNDS):
+        # each member with its bucket's leader: the smallest, then one by a hash, another in each bucket
+        order = F.col("node") if n == 0 else F.xxhash64("node", "key", F.lit(n))
+        leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("at"), "node", "part")).alias("first"))
+        pairs = buckets.join(leaders, "key").where("part <> first.part").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        found = check(pairs) if found is None else found.union(check(pairs))
+        # buckets whose members are in different components by now go on
+        parts = materialize(connected_components(found), "minhash-parts")
+        placed = buckets.drop("part").join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
+        apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+        buckets = materialize(placed.join(apart, "key", "left_semi"), "minhash-apart")
+    x, y = buckets.toDF("key", "a", "na", "pa"), buckets.toDF("key", "b", "nb", "pb")
     rest = x.join(y, "key").where(F.expr(f"a < b AND pa <> pb AND least(na, nb) >= {threshold} * greatest(na, nb)")).select("a", "b")
     return found.union(check(rest))
 
