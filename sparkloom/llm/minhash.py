@@ -32,10 +32,11 @@ from sparkloom.llm.common import connected_components, materialize, table
 
 BANDS, ROWS, BITS = 38, 6, 2
 PERMUTATIONS = BANDS * ROWS
+WORDS = -(-PERMUTATIONS // 64)
 #: Rounds that compare bucket members with one leader, before what remains apart is compared in full.
 STAR_ROUNDS = 2
-#: How far below the threshold an estimate may lie for a pair to be confirmed: over 5 standard deviations.
-SLACK = 0.2
+#: How far below the threshold an estimate may lie for a pair to be confirmed: 4.4 standard deviations.
+SLACK = 0.14
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -87,20 +88,22 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def pack(mins: np.ndarray) -> bytes:
-    """The low bits of every minimum, BITS planes of one bit per permutation."""
-    return b"".join(np.packbits((mins >> np.uint32(k) & np.uint32(1)).astype(np.uint8)).tobytes() for k in range(BITS))
+def pack(mins: np.ndarray) -> list[int]:
+    """The low bits of every minimum: BITS planes of WORDS 64-bit numbers, a bit for each permutation."""
+    planes = np.zeros((BITS, WORDS * 64), dtype=np.uint8)
+    for k in range(BITS):
+        planes[k, :PERMUTATIONS] = mins >> np.uint32(k) & np.uint32(1)
+    return np.packbits(planes, axis=1).view(np.int64).ravel().tolist()
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from packed signatures (rows of bytes): equal fields by bit counts, less those equal by chance."""
-    n = a.shape[1] // BITS
-    differ = np.zeros((len(a), n), dtype=np.uint8)
-    for k in range(BITS):
-        differ |= a[:, k * n : k * n + n] ^ b[:, k * n : k * n + n]
-    equal = 1 - np.bitwise_count(differ).sum(axis=1) / PERMUTATIONS
+def agrees(a: str, b: str, threshold: float) -> str:
+    """SQL condition on two packed signatures: the share of equal fields, less those equal by chance, estimates the
+    similarity; it may lie SLACK below the threshold."""
+    planes = lambda w: " | ".join(f"({a}[{k * WORDS + w}] ^ {b}[{k * WORDS + w}])" for k in range(BITS))
+    differ = " + ".join(f"bit_count({planes(w)})" for w in range(WORDS))
     chance = 1 / 2**BITS
-    return (equal - chance) / (1 - chance)
+    most = int(PERMUTATIONS * (1 - chance) * (1 - (threshold - SLACK)))
+    return f"({differ}) <= {most}"
 
 
 def _sign(size: int):
@@ -123,7 +126,7 @@ def _sign(size: int):
                     "doc_id": batch["doc_id"],
                     "n_shingles": pa.array(count, pa.int64()),
                     "set_key": pa.array(key, pa.binary()),
-                    "packed": pa.array(packed, pa.binary()),
+                    "packed": pa.array(packed, pa.list_(pa.int64())),
                     "bands": pa.array(bands, pa.list_(pa.int64())),
                 }
             )
@@ -134,18 +137,7 @@ def _sign(size: int):
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, packed, bands) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, set_key binary, packed binary, bands array<long>")
-
-
-def _near(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("pa", "pb"))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= threshold - SLACK))
-
-    return run
+    return texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, set_key binary, packed array<long>, bands array<long>")
 
 
 def _overlap(threshold: float):
@@ -195,28 +187,33 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = materialize(buckets.join(shared, "key", "left_semi").withColumn("part", F.col("node")), "minhash-buckets")
 
+    packed = one.select("node", "packed")
+
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
-        packed = one.select("node", "packed")
-        near = pairs.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
-        near = materialize(near.mapInArrow(_near(threshold), "a long, b long"), "minhash-near")
-        return materialize(confirm(near, docs, one, size, threshold), "minhash-links")
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
+        return materialize(confirm(pairs, docs, one, size, threshold), "minhash-links")
 
     found = None
     for n in range(STAR_ROUNDS):
         # each member with its bucket's leader: the smallest, then one by a hash, another in each bucket
         order = F.col("node") if n == 0 else F.xxhash64("node", "key", F.lit(n))
         leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("at"), "node", "part")).alias("first"))
-        pairs = buckets.join(leaders, "key").where("part <> first.part").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        pairs = buckets.join(leaders, "key").where("part <> first.part").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = pairs.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").where(agrees("pa", "pb", threshold))
         found = check(pairs) if found is None else found.union(check(pairs))
         # buckets whose members are in different components by now go on
         parts = materialize(connected_components(found), "minhash-parts")
         placed = buckets.drop("part").join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
         apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
         buckets = materialize(placed.join(apart, "key", "left_semi"), "minhash-apart")
-    x, y = buckets.toDF("key", "a", "na", "pa"), buckets.toDF("key", "b", "nb", "pb")
-    rest = x.join(y, "key").where(F.expr(f"a < b AND pa <> pb AND least(na, nb) >= {threshold} * greatest(na, nb)")).select("a", "b")
-    return found.union(check(rest))
+    # a pair counts in the first bucket that it shares
+    last = buckets.join(one.select("node", "packed", "bands"), "node").select(
+        "key", "node", "n_shingles", "part", "packed", F.expr("slice(bands, 1, cast(array_position(bands, key) AS int) - 1)").alias("before")
+    )
+    x, y = last.toDF("key", "a", "na", "parta", "pa", "befa"), last.toDF("key", "b", "nb", "partb", "pb", "befb")
+    sizes = f"least(na, nb) >= {threshold} * greatest(na, nb)"
+    rest = x.join(y, "key").where(f"a < b AND parta <> partb AND {sizes} AND {agrees('pa', 'pb', threshold)} AND NOT arrays_overlap(befa, befb)")
+    return found.union(check(rest.select("a", "b")))
 
 
 def components(docs: DataFrame, size: int = 4, threshold: float = 0.8) -> DataFrame:
