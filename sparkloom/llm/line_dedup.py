@@ -23,13 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, table
+from sparkloom.llm.common import materialize, slices, table
 
 MIN_WORDS = 50
 
@@ -83,26 +82,21 @@ def _signed(values) -> np.ndarray:
 
 
 def _winnow(min_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per window: fingerprint, key, and where it starts."""
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
-            for doc_id, row_key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
+            for doc_id, row_key, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 _, _, hashes, sizes = line_table(text)
                 first, last = windows(sizes, min_words)
                 if len(first):
                     picked = fingerprints(hashes, first, last)
                     parts.append((doc_id, row_key, first, _signed(hashes[picked]), _signed(window_keys(hashes, first, last))))
-            n = [len(p[2]) for p in parts]
-            yield pd.DataFrame(
-                {
-                    "doc_id": np.repeat(np.array([p[0] for p in parts], dtype=np.int64), n),
-                    "row_key": np.repeat(np.array([p[1] for p in parts], dtype=np.int64), n),
-                    "start": np.concatenate([p[2] for p in parts]).astype(np.int64) if parts else np.array([], dtype=np.int64),
-                    "fingerprint": np.concatenate([p[3] for p in parts]) if parts else np.array([], dtype=np.int64),
-                    "key": np.concatenate([p[4] for p in parts]) if parts else np.array([], dtype=np.int64),
-                }
-            )
+            if parts:
+                n = [len(p[2]) for p in parts]
+                columns = [np.repeat([p[0] for p in parts], n), np.repeat([p[1] for p in parts], n), *(np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))]
+                names = ["doc_id", "row_key", "start", "fingerprint", "key"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return run
 
@@ -111,7 +105,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row_key, starts): the windows of each text that repeat an earlier one, by their first line's rank among
     the lines that count."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    found = texts.mapInPandas(_winnow(min_words), "doc_id long, row_key long, start long, fingerprint long, key long")
+    found = texts.mapInArrow(_winnow(min_words), "doc_id long, row_key long, start long, fingerprint long, key long")
     found = materialize(found, "winnow")
     # join positions: fingerprints with one position in the corpus start no match
     place = F.struct("doc_id", "row_key", "start")
@@ -127,9 +121,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, deleted, gone, runs = [], [], [], []
             for text, starts in zip(batch["text"].to_pylist(), batch["starts"].to_pylist(), strict=True):
+                if starts is None:
+                    texts.append(text), deleted.append(0), gone.append(0), runs.append(0)
+                    continue
                 lines, numbers, _, sizes = line_table(text)
                 first, last = windows(sizes, min_words)
                 ends = dict(zip(first.tolist(), last.tolist(), strict=True))
@@ -155,11 +152,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = materialize(repeats(docs, min_words), "winnow-repeats")
     marked = docs.withColumn("own_key", F.xxhash64("text"))
     hit = rows.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), "starts")
-    joined = marked.join(hit, (F.col("doc_id").cast("long") == F.col("hit_id")) & (F.col("own_key") == F.col("hit_key")), "left")
-    same = joined.where("starts IS NULL").select(*docs.columns, *[F.lit(0).cast("long").alias(c) for c in extra])
+    # a merge join at every size: what is repeated grows with the corpus
+    joined = marked.join(hit.hint("merge"), (F.col("doc_id").cast("long") == F.col("hit_id")) & (F.col("own_key") == F.col("hit_key")), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {c} long" for c in extra)
-    cut = joined.where("starts IS NOT NULL").select(*docs.columns, "starts").mapInArrow(_cut(min_words), schema)
-    return same.unionByName(cut)
+    return joined.select(*docs.columns, "starts").mapInArrow(_cut(min_words), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
