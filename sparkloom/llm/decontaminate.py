@@ -21,16 +21,17 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, table
+from sparkloom.llm.common import materialize, slices, table
 
 MIN_MATCH = 5
 COVERAGE = 0.8
 BLOCK_BYTES = 8_000_000
+COLUMNS = ["doc_id", "row_key", "item_id", "item_words", "covered_words", "tiles", "longest", "coverage"]
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,7 +105,7 @@ def _extend(item, doc, free_i, free_d, i: int, j: int) -> int:
 
 
 def _matcher(items: list[tuple[int, str]], min_match: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         held = [(k, hashed(tokens(text), seen)) for k, text in items]
         sizes = [min(min_match, len(v)) for _, v in held]
@@ -115,9 +116,9 @@ def _matcher(items: list[tuple[int, str]], min_match: int):
                 for h in running(v, min(min_match, len(v))).tolist():
                     index[min(min_match, len(v))][h].add(pos)
         sought = {n: np.array(sorted(x), dtype=np.uint64) for n, x in index.items()}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc_id, row_key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
+            for doc_id, row_key, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 doc = hashed(tokens(text), seen)
                 near: set[int] = set()
                 inside = np.zeros(len(doc) + 1, dtype=np.int64)
@@ -137,7 +138,8 @@ def _matcher(items: list[tuple[int, str]], min_match: int):
                     covered = sum(t[2] for t in tiles)
                     if covered:
                         rows.append((doc_id, row_key, item_id, len(v), covered, len(tiles), max(t[2] for t in tiles), covered / len(v)))
-            yield pd.DataFrame(rows, columns=["doc_id", "row_key", "item_id", "item_words", "covered_words", "tiles", "longest", "coverage"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 7 else pa.float64()) for n, c in enumerate(zip(*rows, strict=True))], names=COLUMNS)
 
     return run
 
@@ -153,14 +155,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH)
     """(doc_id, row_key, item_id, item_words, covered_words, tiles, longest, coverage) of every pair that shares a seed."""
     spark = docs.sparkSession
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    schema = "doc_id long, row_key long, item_id long, item_words long, covered_words long, tiles long, longest long, coverage double"
+    schema = ", ".join(f"{c} {'double' if c == 'coverage' else 'long'}" for c in COLUMNS)
     out = None
     block, size = [], 0
     items = benchmark.where("item_id IS NOT NULL AND length(text) > 0").select("item_id", "text").orderBy("item_id", "text")
     for row in [*items.toLocalIterator(), None]:
         if row is None or (block and size + len(row["text"]) > BLOCK_BYTES):
             if block:
-                part = texts.mapInPandas(_matcher(block, min_match), schema)
+                part = texts.mapInArrow(_matcher(block, min_match), schema)
                 if row is not None or out is not None:  # of several blocks, each is done before the next is held
                     part = materialize(part, "tiles")
                 out = part if out is None else out.unionByName(part)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, materialize, table
+from sparkloom.llm.common import connected_components, materialize, slices, table
 
 BANDS, ROWS, BITS = 38, 6, 2
 PERMUTATIONS = BANDS * ROWS
@@ -109,7 +109,7 @@ def agrees(a: str, b: str, threshold: float) -> str:
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             count, key, packed, bands = [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text, size, seen)
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def _overlap(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         percent = round(threshold * 100)
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -157,7 +157,7 @@ def _overlap(threshold: float):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             made = [shingles(text, size, seen).tobytes() for text in batch["text"].to_pylist()]
             own = [xxhash.xxh3_128_digest(x) == k for x, k in zip(made, batch["set_key"].to_pylist(), strict=True)]
             out = pa.RecordBatch.from_pydict({"node": batch["node"], "set": pa.array(made, pa.binary())})
