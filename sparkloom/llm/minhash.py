@@ -3,7 +3,7 @@
 A document's set is its distinct 4-word shingles (5 in the pipeline) as 64-bit hashes. Documents with equal sets are one
 class from the start, found by a hash of the set, and only one of each class goes on. For these: 228 minima in 38 bands of 6; documents
 that agree on a band are candidates (a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^38 < 1e-5). Of each
-minimum the low 2 bits are kept and packed; the share of equal 2-bit fields, corrected for the quarter that agrees by
+minimum the low 4 bits are kept and packed; the share of equal 4-bit fields, corrected for the sixteenth that agrees by
 chance, estimates the similarity, and pairs far below the threshold go. The rest are confirmed on full sets.
 
 Candidate pairs are not all pairs of a band's bucket. The result asks for components, so a bucket only has to tie
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import connected_components, materialize, slices, table
 
-BANDS, ROWS, BITS = 38, 6, 2
+BANDS, ROWS, BITS = 38, 6, 4
 PERMUTATIONS = BANDS * ROWS
 WORDS = -(-PERMUTATIONS // 64)
 #: Rounds that compare bucket members with one leader, before what remains apart is compared in full.
 STAR_ROUNDS = 2
-#: How far below the threshold an estimate may lie for a pair to be confirmed: 4.4 standard deviations.
-SLACK = 0.14
+#: How far below the threshold an estimate may lie for a pair to be confirmed: 4 standard deviations.
+SLACK = 0.11
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -183,11 +183,10 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
     own = own.groupBy("node").agg(F.min("set_key").alias("set_key"))
     one = least.join(own.toDF("node", "own_key"), F.expr("set_key = own_key AND doc_id = node")).select("node", "set_key", "n_shingles", "packed", "bands")
     one = materialize(one.dropDuplicates(["node"]), "minhash-classes")
-    buckets = one.select("node", "n_shingles", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialize(buckets.join(shared, "key", "left_semi").withColumn("part", F.col("node")), "minhash-buckets")
-
-    packed = one.select("node", "packed")
+    keyed = one.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = keyed.join(shared, "key", "left_semi").join(one.select("node", "n_shingles", "packed"), "node").withColumn("part", F.col("node"))
+    buckets = materialize(buckets, "minhash-buckets")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
@@ -197,17 +196,17 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
     for n in range(STAR_ROUNDS):
         # each member with its bucket's leader: the smallest, then one by a hash, another in each bucket
         order = F.col("node") if n == 0 else F.xxhash64("node", "key", F.lit(n))
-        leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("at"), "node", "part")).alias("first"))
-        pairs = buckets.join(leaders, "key").where("part <> first.part").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = pairs.join(packed.toDF("a", "pa"), "a").join(packed.toDF("b", "pb"), "b").where(agrees("pa", "pb", threshold))
+        leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("at"), "node", "part", "packed")).alias("first"))
+        leaders = leaders.select("key", F.col("first.node").alias("a"), F.col("first.part").alias("parta"), F.col("first.packed").alias("pa"))
+        pairs = buckets.join(leaders, "key").where(f"part <> parta AND {agrees('pa', 'packed', threshold)}").select("a", F.col("node").alias("b"))
         found = check(pairs) if found is None else found.union(check(pairs))
         # buckets whose members are in different components by now go on
         parts = materialize(connected_components(found), "minhash-parts")
-        placed = buckets.drop("part").join(parts, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
+        placed = buckets.drop("part").join(parts, "node", "left").select("key", "node", "n_shingles", "packed", F.coalesce("component", "node").alias("part"))
         apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
         buckets = materialize(placed.join(apart, "key", "left_semi"), "minhash-apart")
     # a pair counts in the first bucket that it shares
-    last = buckets.join(one.select("node", "packed", "bands"), "node").select(
+    last = buckets.join(one.select("node", "bands"), "node").select(
         "key", "node", "n_shingles", "part", "packed", F.expr("slice(bands, 1, cast(array_position(bands, key) AS int) - 1)").alias("before")
     )
     x, y = last.toDF("key", "a", "na", "parta", "pa", "befa"), last.toDF("key", "b", "nb", "partb", "pb", "befb")
