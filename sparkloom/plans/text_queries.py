@@ -104,7 +104,7 @@ def hybrid_score(spark: SparkSession, d: str) -> DataFrame:
     found = found.join(docs, "doc")
     symbol = F.when(F.col("n_chars") < 500, 1.0).otherwise(0.25)
     prior = F.when(F.col("lang") == "en", 1.0).otherwise(0.75)
-    return found.select("doc", F.round(retrieval.hybrid_score(F.col("lex"), symbol, F.col("sem"), F.lit(0.0), prior), 5).alias("score"))
+    return found.select("doc", F.round(retrieval.hybrid_score(F.col("lex"), symbol, F.col("sem"), F.lit(0.0), prior), 4).alias("score"))
 
 
 def _sales(spark: SparkSession, d: str) -> DataFrame:
@@ -263,8 +263,8 @@ ORACLES = {
     "hybrid_score": f"""WITH {_POSTS}, q(t, w, syn) AS (VALUES {_QUESTION}, ('licensed', 0.7, true), ('released', 0.7, true), ('reserved', 0.7, true)),
         hit AS (SELECT doc, term, tf, w, syn FROM posts JOIN q ON term = t), df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
         f AS (SELECT doc, coalesce(sum(w * {_BM25}) FILTER (WHERE NOT syn), 0) AS lexical, coalesce(sum(w * {_BM25}) FILTER (WHERE syn), 0) AS semantic FROM hit JOIN df USING (term) JOIN lens USING (doc), tot GROUP BY doc)
-        SELECT doc, round((0.35 * coalesce(lexical / nullif(max(lexical) OVER (), 0), 0) + 0.35 * CASE WHEN n_chars < 500 THEN 1.0 ELSE 0.25 END + 0.1 * coalesce(semantic / nullif(max(semantic) OVER (), 0), 0))
-            * (0.6 + 0.4 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.75 END), 5)::DOUBLE AS score FROM f JOIN documents ON doc = doc_id""",
+        SELECT doc, round(floor((0.35 * coalesce(lexical / nullif(max(lexical) OVER (), 0), 0) + 0.35 * CASE WHEN n_chars < 500 THEN 1.0 ELSE 0.25 END + 0.1 * coalesce(semantic / nullif(max(semantic) OVER (), 0), 0))
+            * (0.6 + 0.4 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.75 END) * 1e6 + 0.5) / 1e6, 4)::DOUBLE AS score FROM f JOIN documents ON doc = doc_id""",
     "round_robin": f"WITH {_SALES} SELECT supplier, part, row_number() OVER (PARTITION BY supplier ORDER BY amount DESC, part) AS turn, max(amount) OVER (PARTITION BY supplier) AS lead_amount FROM s",
     "diversify_anchors": f"""WITH {_SALES}, t AS (SELECT supplier, sum(amount)::BIGINT AS amount FROM s GROUP BY supplier), r AS (SELECT t.*, s_nationkey AS nation, row_number() OVER (ORDER BY amount DESC, supplier) AS rk,
         max(amount) OVER () AS most FROM t JOIN supplier ON supplier = s_suppkey), a AS (SELECT *, rk <= 3 AND amount >= 0.75 * most AS is_anchor FROM r)
