@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def whole_rows(df: DataFrame):
+    """All columns of df as one struct, so that names of our own can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in parts of a few rows, so that what is made of long texts stays small."""
     for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, slices, table
+from sparkloom.llm.common import materialize, slices, table, whole_rows
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -185,8 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """docs without the contaminated ones."""
     bad = contaminated(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key"))
-    own = docs.withColumn("own_key", F.xxhash64("text"))
-    return own.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key")), "left_anti").drop("own_key")
+    own = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    return own.join(bad, F.expr("own_id <=> bad_id AND own_key = bad_key"), "left_anti").select("row.*")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ of positions are made: a passage that a third of the documents share costs one r
 
 The first occurrence of a passage always stays. Null and empty texts stay as they are, and rows without doc_id too:
 these neither repeat nor are repeated. Should rows share a doc_id, they are ordered by their text's hash; equal rows of
-one doc_id are both kept as they are found, repeats of one another. Other columns pass through.
+one doc_id are both kept as they are found, repeats of one another. Other columns pass through, but for those named as
+the three counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm.common import materialize, slices, table
+from sparkloom.llm.common import materialize, slices, table, whole_rows
 
 MIN_WORDS = 50
 
@@ -123,7 +125,8 @@ def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, deleted, gone, runs = [], [], [], []
-            for text, starts in zip(batch["text"].to_pylist(), batch["starts"].to_pylist(), strict=True):
+            row = {f.name: c for f, c in zip(batch["row"].type, batch["row"].flatten(), strict=True)}
+            for text, starts in zip(row["text"].to_pylist(), batch["starts"].to_pylist(), strict=True):
                 if starts is None:
                     texts.append(text), deleted.append(0), gone.append(0), runs.append(0)
                     continue
@@ -138,9 +141,8 @@ def _cut(min_words: int):
                 deleted.append(int(drop.sum()))
                 gone.append(int(sizes[drop].sum()))
                 runs.append(int((np.diff(np.concatenate([[0], drop.astype(np.int8)])) == 1).sum()))
-            kept = {c: batch[c] for c in batch.schema.names if c != "starts"} | {"text": pa.array(texts, pa.string())}
             counts = {"lines_deleted": deleted, "words_deleted": gone, "runs_deleted": runs}
-            yield pa.RecordBatch.from_pydict(kept | {c: pa.array(v, pa.int64()) for c, v in counts.items()})
+            yield pa.RecordBatch.from_pydict(row | {"text": pa.array(texts, pa.string())} | {c: pa.array(v, pa.int64()) for c, v in counts.items()})
 
     return run
 
@@ -150,12 +152,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     extra = ["lines_deleted", "words_deleted", "runs_deleted"]
     docs = docs.drop(*extra)
     rows = materialize(repeats(docs, min_words), "winnow-repeats")
-    marked = docs.withColumn("own_key", F.xxhash64("text"))
+    marked = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
     hit = rows.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), "starts")
     # a merge join at every size: what is repeated grows with the corpus
-    joined = marked.join(hit.hint("merge"), (F.col("doc_id").cast("long") == F.col("hit_id")) & (F.col("own_key") == F.col("hit_key")), "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {c} long" for c in extra)
-    return joined.select(*docs.columns, "starts").mapInArrow(_cut(min_words), schema)
+    joined = marked.join(hit.hint("merge"), F.expr("own_id = hit_id AND own_key = hit_key"), "left")
+    schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in extra]])
+    return joined.select("row", "starts").mapInArrow(_cut(min_words), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

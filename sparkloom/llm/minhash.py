@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, materialize, slices, table
+from sparkloom.llm.common import connected_components, materialize, slices, table, whole_rows
 
 BANDS, ROWS, BITS = 38, 6, 4
 PERMUTATIONS = BANDS * ROWS
@@ -229,7 +229,8 @@ def keep_first(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFr
     """docs with one document of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
     found = components(docs, size, threshold)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"))
+    return rows.join(gone.distinct(), F.expr("own_id = gone_id"), "left_anti").select("row.*")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

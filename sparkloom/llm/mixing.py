@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, table
+from sparkloom.llm.common import materialize, table, whole_rows
 
 #: Sources by domain; any other source is in the domain "other".
 DOMAINS = {
@@ -134,13 +134,15 @@ def select_rows(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """The documents that are taken, with domain, n_tokens, epoch; a document stands once for each epoch it is taken in."""
+    """The documents that are taken, with domain, n_tokens, epoch (which replace columns of these names); a document stands
+    once for each epoch it is taken in."""
     keep = [c for c in docs.columns if c not in ("domain", "epoch", "n_tokens")]
     picked = select_rows(docs, mix).select(
         F.col("doc_id").alias("p_id"), "domain", "epoch", F.expr("n_tokens div times").alias("n_tokens"), F.col("row_key").alias("p_key")
     )
-    out = docs.select(*keep, F.xxhash64("text", "lang", "source").alias("own_key")).join(picked, F.expr("doc_id <=> p_id AND own_key = p_key"))
-    return out.select(*keep, "domain", "epoch", "n_tokens")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    rows = kept.select(whole_rows(kept), F.col("doc_id").alias("own_id"), F.xxhash64("text", "lang", "source").alias("own_key"))
+    return rows.join(picked, F.expr("own_id <=> p_id AND own_key = p_key")).select("row.*", "domain", "epoch", "n_tokens")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
