@@ -10,7 +10,8 @@ Candidate pairs are not all pairs of a band's bucket. The result asks for compon
 together what belongs together: its members are first compared with its smallest one, then, where they are in different
 components still, with a leader drawn by a hash, another in each bucket. That ties large groups of near copies together.
 Last, members of a bucket that remain in different components are compared with each other, all that the threshold
-allows by their sizes, once over all bands: no link between components is lost.
+allows by their sizes and by bitmaps of their sets (an exact bound on the intersection), once over all bands: no link
+between components is lost.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A text of fewer words than a shingle
 has one shingle, the whole. Should rows share a doc_id but not their text, each has the component of its own set, and of
@@ -33,6 +34,8 @@ from sparkloom.llm.common import connected_components, materialize, slices, tabl
 BANDS, ROWS, BITS = 38, 6, 4
 PERMUTATIONS = BANDS * ROWS
 WORDS = -(-PERMUTATIONS // 64)
+#: 64-bit words of the bitmap in which each shingle of a set marks a bit.
+MARKS = 16
 #: Rounds that compare bucket members with one leader, before what remains apart is compared in full.
 STAR_ROUNDS = 2
 #: How far below the threshold an estimate may lie for a pair to be confirmed: 4 standard deviations.
@@ -106,11 +109,27 @@ def agrees(a: str, b: str, threshold: float) -> str:
     return f"({differ}) <= {most}"
 
 
+def marks(hashes: np.ndarray) -> list[int]:
+    """The bitmap of a set: a bit for each shingle, by other bits of its hash than the minima take."""
+    bits = np.zeros(MARKS * 64, dtype=np.uint8)
+    bits[(hashes & np.uint64(MARKS * 64 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def may_meet(a: str, b: str, na: str, nb: str, threshold: float) -> str:
+    """SQL condition on two bitmaps and set sizes that every pair at the threshold meets: a bit that one bitmap has alone
+    stands for at least one shingle that the other set lacks, which bounds the intersection."""
+    alone = lambda x, y: " + ".join(f"bit_count({x}[{w}] & ~{y}[{w}])" for w in range(MARKS))
+    percent = round(threshold * 100)
+    most = f"least({na} - ({alone(a, b)}), {nb} - ({alone(b, a)}))"
+    return f"{100 + percent} * {most} >= {percent} * ({na} + {nb})"
+
+
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in slices(batches):
-            count, key, packed, bands = [], [], [], []
+            count, key, packed, bands, bitmap = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text, size, seen)
                 count.append(len(own))
@@ -118,9 +137,10 @@ def _sign(size: int):
                     mins = minima(own)
                     key.append(xxhash.xxh3_128_digest(own.tobytes()))
                     packed.append(pack(mins))
+                    bitmap.append(marks(own))
                     bands.append([xxhash.xxh3_64_intdigest(mins[k * ROWS : k * ROWS + ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)])
                 else:
-                    key.append(None), packed.append(None), bands.append(None)
+                    key.append(None), packed.append(None), bands.append(None), bitmap.append(None)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch["doc_id"],
@@ -128,6 +148,7 @@ def _sign(size: int):
                     "set_key": pa.array(key, pa.binary()),
                     "packed": pa.array(packed, pa.list_(pa.int64())),
                     "bands": pa.array(bands, pa.list_(pa.int64())),
+                    "marks": pa.array(bitmap, pa.list_(pa.int64())),
                 }
             )
 
@@ -135,9 +156,9 @@ def _sign(size: int):
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, packed, bands) of every row."""
+    """(doc_id, n_shingles, set_key, packed, bands, marks) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, set_key binary, packed array<long>, bands array<long>")
+    return texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, set_key binary, packed array<long>, bands array<long>, marks array<long>")
 
 
 def _overlap(threshold: float):
@@ -181,7 +202,7 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
     least = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     own = least.groupBy("set_key").agg(F.min("doc_id").alias("node"))  # one of each class of equal sets
     own = own.groupBy("node").agg(F.min("set_key").alias("set_key"))
-    one = least.join(own.toDF("node", "own_key"), F.expr("set_key = own_key AND doc_id = node")).select("node", "set_key", "n_shingles", "packed", "bands")
+    one = least.join(own.toDF("node", "own_key"), F.expr("set_key = own_key AND doc_id = node")).select("node", "set_key", "n_shingles", "packed", "bands", "marks")
     one = materialize(one.dropDuplicates(["node"]), "minhash-classes")
     keyed = one.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -206,12 +227,12 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
         apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
         buckets = materialize(placed.join(apart, "key", "left_semi"), "minhash-apart")
     # a pair counts in the first bucket that it shares
-    last = buckets.join(one.select("node", "bands"), "node").select(
-        "key", "node", "n_shingles", "part", "packed", F.expr("slice(bands, 1, cast(array_position(bands, key) AS int) - 1)").alias("before")
+    last = buckets.join(one.select("node", "bands", "marks"), "node").select(
+        "key", "node", "n_shingles", "part", "packed", "marks", F.expr("slice(bands, 1, cast(array_position(bands, key) AS int) - 1)").alias("before")
     )
-    x, y = last.toDF("key", "a", "na", "parta", "pa", "befa"), last.toDF("key", "b", "nb", "partb", "pb", "befb")
+    x, y = last.toDF("key", "a", "na", "parta", "pa", "ma", "befa"), last.toDF("key", "b", "nb", "partb", "pb", "mb", "befb")
     sizes = f"least(na, nb) >= {threshold} * greatest(na, nb)"
-    rest = x.join(y, "key").where(f"a < b AND parta <> partb AND {sizes} AND {agrees('pa', 'pb', threshold)} AND NOT arrays_overlap(befa, befb)")
+    rest = x.join(y, "key").where(f"a < b AND parta <> partb AND {sizes} AND {agrees('pa', 'pb', threshold)} AND {may_meet('ma', 'mb', 'na', 'nb', threshold)} AND NOT arrays_overlap(befa, befb)")
     return found.union(check(rest.select("a", "b")))
 
 

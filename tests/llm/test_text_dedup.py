@@ -143,3 +143,19 @@ def test_components_of_chains_stars_and_loops(spark):
     real = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == components_of({n for e in real for n in e}, real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_pair_at_the_threshold(spark):
+    made = np.random.default_rng(5)
+    rows = []
+    for n in (1, 5, 40, 300, 5000):
+        for share in (0.5, 0.85, 0.89, 0.95, 1.0):
+            pool = made.integers(0, 2**63, 2 * n).astype(np.uint64)
+            both = int(n * share)
+            a, b = set(pool[:n].tolist()), set(pool[n - both : 2 * n - both].tolist())
+            held = [minhash.marks(np.array(sorted(v), dtype=np.uint64)) for v in (a, b)]
+            rows.append((*held, len(a), len(b), 100 * len(a & b) >= 80 * len(a | b)))
+    df = spark.createDataFrame(rows, "ma array<long>, mb array<long>, na long, nb long, near boolean")
+    judged = [(r["near"], r["may"]) for r in df.selectExpr("near", f"{minhash.may_meet('ma', 'mb', 'na', 'nb', 0.8)} AS may").collect()]
+    assert all(may for near, may in judged if near) and any(near for near, _ in judged)
+    assert sum(not may for _, may in judged) >= 3
