@@ -1,17 +1,19 @@
 """Line dedup: winnowing over line hashes.
 
 A document is its sequence of lines; blank lines don't count. A window is a shortest run of lines with at least
-`min_words` words, so a single long line is one, and so are ten short ones. From every window the line with the smallest
-hash is selected as its fingerprint (the rightmost of equals): any run of at least `min_words` words that two documents
-share, or that one document repeats, holds a whole window and so the same fingerprint in both places. That is the
-guarantee of winnowing, with the window measured in words.
+`min_words` words, counted forward from each line or back from each line, so a single long line is one, and so are ten
+short ones. From every window the line with the smallest hash is selected as its fingerprint (the rightmost of equals):
+any run of at least `min_words` words that two documents share, or that one document repeats, holds a whole window and so
+the same fingerprint in both places. That is the guarantee of winnowing, with the window measured in words.
 
-Fingerprints are joined by hash: those that stand at one position in the corpus can't start a match and go (most of the
+Fingerprints are joined by hash: those that stand on one line of the corpus can't start a match and go (most of the
 corpus, after a map-side count). Around each fingerprint that is left, the match is extended both ways line by line, by
 the windows that hold it: a window is keyed by the hash of all its lines, and the first position of a key, by (doc_id,
-line), is its original. Every other position of the key is a later repeat and its lines are deleted. Runs longer than a
-window are the union of their windows, so they go as a whole, whichever earlier document each part came from. No pairs
-of positions are made: a passage that a third of the documents share costs one row a place.
+line), is its original. Every other position of the key is a later repeat and its lines are deleted. A longer repeated
+run is the union of its windows: each of its lines either has `min_words` words from it to the run's end, or from the
+run's start to it, or lies in the first forward window. So it goes as a whole, first line to last, whichever earlier
+document each part came from. No pairs of positions are made: a passage that a third of the documents share costs one row
+a place.
 
 The first occurrence of a passage always stays. Null and empty texts stay as they are, and rows without doc_id too:
 these neither repeat nor are repeated. Should rows share a doc_id, they are ordered by their text's hash; equal rows of
@@ -56,6 +58,20 @@ def windows(sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return first, last[last < len(upto)] - 1
 
 
+def backward_windows(sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of each window: back from each line, as few as have min_words words."""
+    first, last = windows(sizes[::-1], min_words)
+    return len(sizes) - 1 - last[::-1], len(sizes) - 1 - first[::-1]
+
+
+def all_windows(sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of both kinds, each once, in order of their first lines, then last ones (neither ever falls)."""
+    (a, b), (c, d) = windows(sizes, min_words), backward_windows(sizes, min_words)
+    n = len(sizes) + 1
+    runs = np.unique(np.concatenate([a * n + b, c * n + d]))
+    return runs // n, runs % n
+
+
 def fingerprints(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The selected line of each window: its smallest hash, the rightmost of equals. Monotone queue, linear."""
     out = np.empty(len(first), dtype=np.int64)
@@ -85,40 +101,41 @@ def _signed(values) -> np.ndarray:
 
 def _winnow(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per window: fingerprint, key, and where it starts."""
+        """A row per window: fingerprint and the line it is, key, and the window's first and last line."""
         for batch in slices(batches):
             parts = []
             for doc_id, row_key, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 _, _, hashes, sizes = line_table(text)
-                first, last = windows(sizes, min_words)
+                first, last = all_windows(sizes, min_words)
                 if len(first):
                     picked = fingerprints(hashes, first, last)
-                    parts.append((doc_id, row_key, first, _signed(hashes[picked]), _signed(window_keys(hashes, first, last))))
+                    parts.append((doc_id, row_key, first, last, picked, _signed(hashes[picked]), _signed(window_keys(hashes, first, last))))
             if parts:
                 n = [len(p[2]) for p in parts]
-                columns = [np.repeat([p[0] for p in parts], n), np.repeat([p[1] for p in parts], n), *(np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))]
-                names = ["doc_id", "row_key", "start", "fingerprint", "key"]
+                columns = [np.repeat([p[0] for p in parts], n), np.repeat([p[1] for p in parts], n), *(np.concatenate([p[k] for p in parts]) for k in range(2, 7))]
+                names = ["doc_id", "row_key", "start", "last", "picked", "fingerprint", "key"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return run
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row_key, starts): the windows of each text that repeat an earlier one, by their first line's rank among
-    the lines that count."""
+    """(doc_id, row_key, runs): the windows of each text that repeat an earlier one, by their first and last line's ranks
+    among the lines that count."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    found = texts.mapInArrow(_winnow(min_words), "doc_id long, row_key long, start long, fingerprint long, key long")
+    found = texts.mapInArrow(_winnow(min_words), "doc_id long, row_key long, start long, last long, picked long, fingerprint long, key long")
     found = materialize(found, "winnow")
-    # join positions: fingerprints with one position in the corpus start no match
-    place = F.struct("doc_id", "row_key", "start")
-    shared = found.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
+    # join positions: fingerprints that are one line of the corpus start no match
+    line = F.struct("doc_id", "row_key", "picked")
+    shared = found.groupBy("fingerprint").agg(F.min(line).alias("a"), F.max(line).alias("b")).where("a <> b").select("fingerprint")
     shared = materialize(shared, "winnow-shared")
     live = found.join(shared, "fingerprint", "left_semi")
     # extend: windows with the same lines throughout; the earliest is the original
+    place = F.struct("doc_id", "row_key", "start", "last")
     first = live.groupBy("key").agg(F.min(place).alias("original"), F.count("*").alias("n")).where("n > 1").select("key", "original")
     first = materialize(first, "winnow-originals")
     later = live.select("key", place.alias("at")).join(first, "key").where("at <> original")
-    return later.select("at.*").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    return later.select("at.*").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "last"))).alias("runs"))
 
 
 def _cut(min_words: int):
@@ -126,16 +143,14 @@ def _cut(min_words: int):
         for batch in slices(batches):
             texts, deleted, gone, runs = [], [], [], []
             row = {f.name: c for f, c in zip(batch["row"].type, batch["row"].flatten(), strict=True)}
-            for text, starts in zip(row["text"].to_pylist(), batch["starts"].to_pylist(), strict=True):
-                if starts is None:
+            for text, repeated in zip(row["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
+                if repeated is None:
                     texts.append(text), deleted.append(0), gone.append(0), runs.append(0)
                     continue
                 lines, numbers, _, sizes = line_table(text)
-                first, last = windows(sizes, min_words)
-                ends = dict(zip(first.tolist(), last.tolist(), strict=True))
                 drop = np.zeros(len(numbers), dtype=bool)
-                for s in starts:
-                    drop[s : ends[s] + 1] = True
+                for r in repeated:
+                    drop[r["start"] : r["last"] + 1] = True
                 out = {numbers[k] for k in np.flatnonzero(drop)}
                 texts.append("\n".join(line for n, line in enumerate(lines) if n not in out))
                 deleted.append(int(drop.sum()))
@@ -153,11 +168,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop(*extra)
     rows = materialize(repeats(docs, min_words), "winnow-repeats")
     marked = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
-    hit = rows.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), "starts")
+    hit = rows.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), "runs")
     # a merge join at every size: what is repeated grows with the corpus
     joined = marked.join(hit.hint("merge"), F.expr("own_id = hit_id AND own_key = hit_key"), "left")
     schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in extra]])
-    return joined.select("row", "starts").mapInArrow(_cut(min_words), schema)
+    return joined.select("row", "runs").mapInArrow(_cut(min_words), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,3 +159,30 @@ def test_bitmaps_never_rule_out_a_pair_at_the_threshold(spark):
     judged = [(r["near"], r["may"]) for r in df.selectExpr("near", f"{minhash.may_meet('ma', 'mb', 'na', 'nb', 0.8)} AS may").collect()]
     assert all(may for near, may in judged if near) and any(near for near, _ in judged)
     assert sum(not may for _, may in judged) >= 3
+
+
+def cut_maximal_runs(rows: list[tuple], min_words: int) -> dict[int, str]:
+    """Every pair of places: their common run, as long as it goes, is cut from the later one if it has min_words words."""
+    texts = sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None)
+    counted = {d: [(n, " ".join(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for d, t in texts}
+    places = [(d, k) for d, _ in texts for k in range(len(counted[d]))]
+    drop: dict[int, set[int]] = {d: set() for d, _ in texts}
+    for i, (d, a) in enumerate(places):
+        for e, b in places[i + 1 :]:
+            if counted[d][a][1] != counted[e][b][1] or a and b and counted[d][a - 1][1] == counted[e][b - 1][1]:
+                continue
+            n = 0
+            while a + n < len(counted[d]) and b + n < len(counted[e]) and counted[d][a + n][1] == counted[e][b + n][1]:
+                n += 1
+            run = counted[e][b : b + n]
+            if sum(len(x.split()) for _, x in run) >= min_words:
+                drop[e] |= {k for k, _ in run}
+    return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop[d]) for d, t in texts}
+
+
+def test_line_dedup_cuts_repeated_runs_from_their_first_line_to_their_last(spark):
+    rows = [*passages(), *[(n, "\n".join([" ".join(["long"] * 14), "and a tail", "of two lines"]), "en", "s", 0) for n in (40, 41, 42)]]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3), WORDS).collect() if r["text"] is not None}
+    want = cut_maximal_runs(rows, WORDS)
+    assert {d: t for d, t in got.items() if d is not None} == want
+    assert want[40] == rows[-3][1] and want[41] == want[42] == ""
