@@ -1,11 +1,11 @@
 """Embedding near-dedup by NN-descent.
 
-Vectors are compared within their label only, by cosine in double precision. Equal vectors (same label and components)
-are one point with a weight. A first neighbour graph comes from random projections: each of a few trees deals the points
+Vectors are compared within their label only, by cosine in double precision. Vectors of equal directions (same label and
+unit vector, to `DIGITS` digits, so scaled copies too) are one point with a weight. A first neighbour graph comes from random projections: each of a few trees deals the points
 of a label into leaves by the signs of random projections, as many signs as make leaves of about `LEAF` points, and a
 leaf's points are compared with each other. Then the graph is refined: each point gathers its neighbours and those
 whose neighbour it is, these are compared with each other (neighbours of neighbours), and each point keeps the best `K`,
-until a round changes little.
+until a round changes little. Each round also deals one tree's leaves anew, so that points meet others of other parts.
 
 A point whose list is full of links (all at or above the threshold) is saturated: it has more links than its list can
 show. Its list is enlarged to its whole component of found links: the component's members are dealt into blocks, and
@@ -13,11 +13,13 @@ blocks are compared with blocks in full, which gives every link inside without a
 come out. Unsaturated points keep their threshold edges.
 
 Recall is audited on a bounded set of points, whose links are found by brute force against all points of their label in
-blocks; below `MIN_RECALL` further rounds follow. The graph misses only what the audit can't see; no list is cut
-without the exact way above. Components are those of all links found.
+blocks: the share of these that lead into the same component, and of these that their n_links count, whichever is less.
+Below `MIN_RECALL` the graph is built again from other trees with longer lists, and after the last such attempt the labels
+that are still below it are compared in full, blocks with blocks. The graph misses only what the audit can't see; no list
+is cut without the exact way above. Components are those of all links found.
 
 Leaves and gathered lists that are larger than a block (equal signs, hubs) are dealt into parts by a hash that changes
-with the tree or round, so that no group, however many points agree, is gathered in one task.
+with the tree, round and attempt, so that no group, however many points agree, is gathered in one task.
 
 Null vectors and labels, zero vectors and those with null or non-finite components, and an empty table link nothing.
 Vectors of different lengths never link. Rows that share a vec_id are taken as copies of one vector id: each has the
@@ -47,10 +49,12 @@ SETTLED = 0.002
 AUDIT_ROWS = 256
 MIN_RECALL = 0.95
 SIGNS = 30
+#: Digits of the components of unit vectors that tell points apart; scaled copies differ in the last ones of a double.
+DIGITS = 12
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unit vectors, and a key that equal vectors of a label share; null where a row can't link."""
+    """Unit vectors, and a key that vectors of a label with one direction share; null where a row can't link."""
     for batch in batches:
         keys, units = [], []
         for vec_id, label, v in zip(batch["vec_id"].to_pylist(), batch["label"].to_pylist(), batch["embedding"].to_pylist(), strict=True):
@@ -59,9 +63,10 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = np.array(v, dtype=np.float64)
                 size = np.linalg.norm(x) if np.isfinite(x).all() else 0.0
                 if np.isfinite(size) and size > 0:
-                    x = x + 0.0  # no negative zeros
-                    key = xxhash.xxh3_128_digest(label.encode() + b"\0" + x.tobytes())
-                    unit = (x / size).tobytes()
+                    x = x / size
+                    own = np.round(x, DIGITS) + 0.0  # no negative zeros
+                    key = xxhash.xxh3_128_digest(label.encode() + b"\0" + own.tobytes())
+                    unit = x.tobytes()
             keys.append(key), units.append(unit)
         yield pa.RecordBatch.from_pydict(
             {"vec_id": batch["vec_id"], "label": batch["label"], "key": pa.array(keys, pa.binary()), "unit": pa.array(units, pa.binary())}
@@ -72,7 +77,7 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
 
 
-def _coded(trees: int):
+def _coded(trees: int, attempt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The signs of each tree's projections, as one number a tree."""
         for batch in batches:
@@ -81,7 +86,7 @@ def _coded(trees: int):
             sizes = np.array([len(u) // 8 for u in units])
             for size in set(sizes.tolist()):
                 rows = np.flatnonzero(sizes == size)
-                made = np.random.default_rng(size).standard_normal((trees, size, SIGNS))
+                made = np.random.default_rng([size, attempt]).standard_normal((trees, size, SIGNS))
                 x = _matrix([units[r] for r in rows])
                 for t in range(trees):
                     codes[rows, t] = (x @ made[t] > 0) @ (1 << np.arange(SIGNS))
@@ -120,24 +125,27 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("a").agg(top.alias("top")).select("a", F.explode("top").alias("e")).select("a", "e.b", "e.sim")
 
 
-def _grouped(rows: DataFrame, keys: list[str], size: int, salt: int) -> DataFrame:
-    """rows(keys..., id, unit) gathered by keys into lists of about `size` at most; larger groups are dealt by a hash."""
+def _grouped(rows: DataFrame, keys: list[str], size: int, *salt, only_dealt: bool = False) -> DataFrame:
+    """rows(keys..., id, unit) gathered by keys into lists of about `size` at most; larger groups are dealt by a hash of
+    id, keys and salt (only_dealt: and smaller ones left out)."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("in_group"))
-    part = F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col("in_group") / size))
+    if only_dealt:
+        counts = counts.where(F.col("in_group") > size)
+    part = F.pmod(F.xxhash64("id", *keys, *[F.lit(x) for x in salt]), F.ceil(F.col("in_group") / size))
     dealt = rows.join(counts, keys).withColumn("part", part)
     return dealt.groupBy(*keys, "part").agg(F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"))
 
 
-def neighbour_graph(points: DataFrame, k: int = K) -> DataFrame:
-    """points(id, label, unit) -> (a, b, sim): NN-descent's k best neighbours of each point."""
-    coded = points.mapInArrow(_coded(TREES), "id long, label string, dim int, unit binary, codes array<long>")
+def neighbour_graph(points: DataFrame, k: int = K, attempt: int = 0) -> DataFrame:
+    """points(id, label, unit) -> (a, b, sim): NN-descent's k best neighbours of each point; trees differ by attempt."""
+    coded = points.mapInArrow(_coded(TREES, attempt), "id long, label string, dim int, unit binary, codes array<long>")
     per_label = coded.groupBy("label", "dim").agg(F.count("*").alias("n"))
     signs = F.greatest(F.lit(0), F.least(F.lit(SIGNS), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int")
     placed = coded.join(per_label.select("label", "dim", signs.alias("signs")), ["label", "dim"]).select(
         "label", "dim", "id", "unit", F.posexplode("codes").alias("tree", "code"), "signs"
     )
     placed = placed.select("label", "dim", "tree", F.expr("code & (shiftleft(1L, signs) - 1)").alias("leaf"), "id", "unit")
-    leaves = _grouped(placed, ["label", "dim", "tree", "leaf"], 2 * LEAF, 0)
+    leaves = _grouped(placed, ["label", "dim", "tree", "leaf"], 2 * LEAF, attempt)
     graph = materialize(_best(leaves.select("ids", "units").mapInArrow(_compared(k), _EDGE), k), "descent-0")
     links = None
     for n in range(1, MAX_ROUNDS + 1):
@@ -145,8 +153,11 @@ def neighbour_graph(points: DataFrame, k: int = K) -> DataFrame:
         lists = near.join(points.select(F.col("id").alias("b"), "unit"), "b").select("a", F.col("b").alias("id"), "unit")
         # the point itself is in its list, so that a neighbour's neighbour meets it too
         lists = lists.union(points.select(F.col("id").alias("a"), "id", "unit"))
-        found = _grouped(lists, ["a"], 4 * k, n).select("ids", "units").mapInArrow(_compared(k), _EDGE)
-        graph = materialize(_best(graph.union(found), k), f"descent-{n}")
+        groups = _grouped(lists, ["a"], 4 * k, attempt, n).select("ids", "units")
+        # parts of a large leaf share no neighbour, so their points are also dealt anew
+        again = placed.where(F.col("tree") == n % TREES)
+        groups = groups.union(_grouped(again, ["label", "dim", "tree", "leaf"], 2 * LEAF, attempt, n, only_dealt=True).select("ids", "units"))
+        graph = materialize(_best(graph.union(groups.mapInArrow(_compared(k), _EDGE)), k), f"descent-{n}")
         now = graph.where(F.col("sim") >= THRESHOLD).count()
         if links is not None and now - links <= SETTLED * max(now, 1):
             break
@@ -189,34 +200,101 @@ def enlarged_counts(points: DataFrame, parts: DataFrame, saturated: DataFrame) -
     return counts.groupBy("id").agg(F.sum("n").alias("n")).join(saturated.select(F.col("a").alias("id")), "id", "left_semi")
 
 
-def audit_recall(points: DataFrame, edges: DataFrame, rows: int = AUDIT_ROWS) -> float:
-    """Share of true links of a bounded set of points, spread by a hash, that lead into the same component or list of
-    edges(a, b): the set is compared with all points of its labels, in blocks as these are read."""
+def _block_links(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two blocks -> for each member of the first, the weight of its links in the second, and links that join what
+        the two blocks join: each linked member of both to the smallest id it reaches."""
+        for batch in batches:
+            a, b, n = [], [], []
+            columns = (batch[c].to_pylist() for c in ("ids", "units", "other_ids", "other_units", "other_weights"))
+            for own, units, other, other_units, weights in zip(*columns, strict=True):
+                own, other = np.array(own, dtype=np.int64), np.array(other, dtype=np.int64)
+                linked = (_matrix(units) @ _matrix(other_units).T >= threshold) & (own[:, None] != other[None, :])
+                rows, cols = linked.any(axis=1), linked.any(axis=0)
+                linked = linked[rows][:, cols]
+                x, y, largest = own[rows], other[cols], np.iinfo(np.int64).max
+                while len(x):
+                    low = np.minimum(x, np.where(linked, y[None, :], largest).min(axis=1))
+                    other_low = np.minimum(y, np.where(linked, low[:, None], largest).min(axis=0))
+                    if (low == x).all() and (other_low == y).all():
+                        break
+                    x, y = low, other_low
+                a += [own[rows], other[cols]]
+                b += [x, y]
+                n += [linked @ np.array(weights, dtype=np.int64)[cols], np.zeros(len(y), dtype=np.int64)]
+            join = lambda parts: pa.array(np.concatenate(parts) if parts else np.array([], dtype=np.int64))
+            yield pa.RecordBatch.from_pydict({"a": join(a), "b": join(b), "n": join(n)})
+
+    return run
+
+
+def compared_in_full(points: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links that join what is linked, (id, n) weights of links) of the points of some labels; blocks meet blocks,
+    so lists stay short, but the work grows with the square of a label."""
+    own = points.where(F.col("label").isin(labels)).withColumn("dim", F.octet_length("unit"))
+    sizes = own.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    blocked = own.join(sizes.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK)), ["label", "dim"])
+    blocks = blocked.groupBy("label", "dim", "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").alias("block")).agg(
+        F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"), F.collect_list("weight").alias("weights")
+    )
+    blocks = materialize(blocks, "full-blocks")
+    other = blocks.select("label", "dim", F.col("block").alias("to"), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("weights").alias("other_weights"))
+    # dealt by the other block too, so that a label isn't one task
+    pairs = blocks.select("label", "dim", "ids", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("to")).join(other, ["label", "dim", "to"])
+    pairs = pairs.select("ids", "units", "other_ids", "other_units", "other_weights")
+    found = materialize(pairs.mapInArrow(_block_links(THRESHOLD), "a long, b long, n long"), "full-links")
+    return found.where("a <> b").select("a", "b").distinct(), found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def audit_recall(points: DataFrame, parts: DataFrame, counts: DataFrame, rows: int = AUDIT_ROWS) -> dict[str, tuple[int, int]]:
+    """By label, the links of a bounded set of points, spread by a hash, as (all, found): the set is compared with all
+    points of its labels, in blocks as these are read. Found are those that parts(node, component) join or that
+    counts(id, n) count, whichever are fewer."""
     asked = points.select("id", "label", "unit").orderBy(F.xxhash64("id"), "id").limit(rows).collect()
     if not asked:
-        return 1.0
-    by_label: dict[str, tuple[list[int], list[bytes]]] = {}
+        return {}
+    sought: dict[tuple[str, int], tuple[list[int], list[bytes]]] = {}
     for r in asked:
-        held = by_label.setdefault(r["label"], ([], []))
+        held = sought.setdefault((r["label"], len(r["unit"])), ([], []))
         held[0].append(r["id"]), held[1].append(bytes(r["unit"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            labels, ids, units = (batch[c].to_pylist() for c in ("label", "id", "unit"))
-            for label, (own, sought) in by_label.items():
-                rows = [k for k, v in enumerate(labels) if v == label and len(units[k]) == len(sought[0])]
-                same = [k for k, u in enumerate(sought) if len(u) == len(sought[0])]
-                if rows and same:
-                    s = _matrix([sought[k] for k in same]) @ _matrix([units[k] for k in rows]).T
-                    out += [(own[same[i]], ids[rows[j]]) for i, j in np.argwhere(s >= THRESHOLD) if own[same[i]] != ids[rows[j]]]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    true = points.select("label", "id", "unit").mapInArrow(run, "a long, b long")
-    placed = edges.toDF("node", "component")
-    x, y = placed.toDF("a", "ca"), placed.toDF("b", "cb")
-    judged = true.join(x, "a", "left").join(y, "b", "left").agg(F.count("*").alias("n"), F.count_if(F.expr("ca = cb")).alias("hit")).first()
-    return judged["hit"] / judged["n"] if judged["n"] else 1.0
+            out: list[tuple] = []
+            labels, ids, units, weights = (batch[c].to_pylist() for c in ("label", "id", "unit", "weight"))
+            for (label, size), (own, own_units) in sought.items():
+                rows = [k for k, v in enumerate(labels) if v == label and len(units[k]) == size]
+                if rows:
+                    s = _matrix(own_units) @ _matrix([units[k] for k in rows]).T
+                    out += [(label, own[i], ids[rows[j]], weights[rows[j]]) for i, j in np.argwhere(s >= THRESHOLD) if own[i] != ids[rows[j]]]
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            kinds = {"label": pa.string(), "a": pa.int64(), "b": pa.int64(), "w": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    true = points.select("label", "id", "unit", "weight").mapInArrow(run, "label string, a long, b long, w long")
+    x, y = parts.toDF("a", "ca"), parts.toDF("b", "cb")
+    judged = true.join(x, "a", "left").join(y, "b", "left")
+    judged = judged.groupBy("label", "a").agg(F.sum("w").alias("n"), F.sum(F.expr("if(ca = cb, w, 0)")).alias("joined"))
+    judged = judged.join(counts.select(F.col("id").alias("a"), F.col("n").alias("counted")), "a", "left")
+    hit = F.least("joined", F.least("n", F.coalesce("counted", F.lit(0))))
+    return {r["label"]: (r["n"], r["hit"]) for r in judged.groupBy("label").agg(F.sum("n").alias("n"), F.sum(hit).alias("hit")).collect()}
+
+
+def _recall(audited: dict[str, tuple[int, int]]) -> float:
+    total = sum(n for n, _ in audited.values())
+    return sum(hit for _, hit in audited.values()) / total if total else 1.0
+
+
+def _counted(points: DataFrame, linked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
+    """(id, n): the weights of the points' links; listed ones, or all of the component where a list was full."""
+    weights = points.select(F.col("id").alias("b"), "weight")
+    both = linked.select("a", "b").union(linked.select("b", "a")).toDF("a", "b").distinct()
+    saturated = materialize(linked.groupBy("a").count().where(F.col("count") >= k).select("a"), "descent-saturated")
+    # a neighbour of a saturated point may be short of links too: all members of such components are counted in full
+    in_full = parts.join(parts.join(saturated.toDF("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("a"))
+    in_full = materialize(in_full, "descent-in-full")
+    listed = both.join(in_full, "a", "left_anti").join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("n"))
+    return materialize(listed.union(enlarged_counts(points, parts, in_full)), "descent-counts")
 
 
 def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
@@ -228,21 +306,22 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
         F.min("vec_id").alias("id"), F.first("label").alias("label"), F.first("unit").alias("unit"), F.count_distinct("vec_id").alias("weight")
     )
     points = materialize(points.dropDuplicates(["id"]), "descent-points")
-    for k in (K, 2 * K, 4 * K):
-        graph = neighbour_graph(points, k)
+    for attempt, k in enumerate((K, 2 * K, 4 * K)):
+        graph = neighbour_graph(points, k, attempt)
         linked = graph.where(F.col("sim") >= THRESHOLD)
         parts = materialize(connected_components(linked.select("a", "b")), "descent-parts")
-        recall = audit_recall(points, parts)
-        if recall >= MIN_RECALL:
+        counts = _counted(points, linked, parts, k)
+        audited = audit_recall(points, parts, counts)
+        if _recall(audited) >= MIN_RECALL:
             break
-    weights = points.select(F.col("id").alias("b"), "weight")
-    both = linked.select("a", "b").union(linked.select("b", "a")).toDF("a", "b").distinct()
-    saturated = materialize(linked.groupBy("a").count().where(F.col("count") >= k).select("a"), "descent-saturated")
-    # a neighbour of a saturated point may be short of links too: all members of such components are counted in full
-    in_full = parts.join(parts.join(saturated.toDF("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("a"))
-    in_full = materialize(in_full, "descent-in-full")
-    listed = both.join(in_full, "a", "left_anti").join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("n"))
-    counts = listed.union(enlarged_counts(points, parts, in_full))
+    else:
+        short = [label for label, (n, hit) in audited.items() if hit < MIN_RECALL * n]
+        full, full_counts = compared_in_full(points, short)
+        others = points.where(~F.col("label").isin(short)).select("id")
+        rest = linked.select("a", "b").join(others.toDF("a"), "a", "left_semi")
+        parts = materialize(connected_components(rest.union(full)), "descent-parts")
+        counts = materialize(counts.join(others, "id", "left_semi").union(full_counts), "descent-counts")
+        audited = audit_recall(points, parts, counts)
     named = (
         points.select("key", "id", "weight")
         .join(counts, "id", "left")
@@ -250,7 +329,7 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
         .select(F.col("key").alias("own_key"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
     out = rows.select("vec_id", "key").join(named, F.col("key") == F.col("own_key"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), recall
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), _recall(audited)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

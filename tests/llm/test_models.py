@@ -156,3 +156,28 @@ def test_embeddings_without_links(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(df)[0].collect()), key=str)
     assert got == sorted([(1, 0, 1), (1, 0, 1), (None, 0, None), (2, 0, 2)], key=str)
     assert neighbours.near_duplicates(df.limit(0))[0].count() == 0
+
+
+def test_tight_groups_larger_than_a_leaf_are_one_component(spark):
+    made = np.random.default_rng(8)
+    middle = made.standard_normal(8)
+    rows = [(k, 1, (middle + 1e-7 * made.standard_normal(8)).tolist()) for k in range(400)]  # alike in every tree
+    scaled = made.standard_normal(8)
+    rows += [(400 + k, 2, (scaled * made.uniform(0.1, 9)).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    found, recall = neighbours.near_duplicates(df)
+    assert recall == 1
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect()} == {(k, 399, k // 400 * 400) for k in range(800)}
+
+
+def test_what_the_graph_misses_is_compared_in_full(spark, monkeypatch):
+    made = np.random.default_rng(9)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "neighbour_graph", lambda points, *_: points.limit(0).selectExpr("id a", "id b", "0d sim"))
+    middles = made.standard_normal((12, 5))
+    rows = [(k, k % 2, (middles[made.integers(12)] + 0.3 * made.standard_normal(5)).tolist()) for k in range(150)]
+    found, recall = neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS.replace("float", "double")).repartition(3))
+    want, links = cosines(rows)
+    parts = components_of(want, links)
+    assert recall == 1 and len(set(parts.values())) < 100
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == {i: (want[i], parts[i]) for i in want}
