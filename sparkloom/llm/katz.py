@@ -10,11 +10,13 @@ How it runs. Documents are taken in chunks of about a million tokens. A chunk se
 training count, to the partition of the pair's word; there the counts of all chunks are added up and each chunk is sent
 back the totals of its own pairs, in its own order. So a word or pair, however frequent, is one entry per chunk, and
 nothing is gathered by word and document. What the partitions hold is written as tables in the shared folder, partitioned by kind:
-pair and word counts, each history's count classes (for alpha), counts of counts, and the answers to the chunks. Then each
-chunk evaluates its tokens by their totals and asks for alpha of the histories of its unseen pairs in the same way.
+pair and word counts, each history's count classes (for alpha), counts of counts, the answers to the chunks and the chunks'
+states. Then each chunk evaluates its tokens by their totals and asks for alpha of the histories of its unseen pairs in the
+same way.
 
-The documents are read twice, and chunks have to come out alike: rows must come from files (as the query's do), else
-they are written to the shared folder first. Null texts are empty: they have the end token only. A null doc_id is learned from.
+A chunk's state and what it asks come from one reading and are written by one job, so no later reading has to deal the
+documents alike. Tasks of that job may be repeated: rows must come from files (as the query's do), else they are written to
+the shared folder first. Null texts are empty: they have the end token only. A null doc_id is learned from.
 Repeated rows are learned from and scored each. Other columns are ignored.
 """
 
@@ -111,13 +113,26 @@ class Chunk:
         """What is needed when the totals come back: also the hashes of words that follow-ups may ask for."""
         word = np.repeat(np.arange(len(self.words)), self.pairs)[self.entry]
         wanted = np.unique(word[self.held[self.doc]])
+        # by its word alone, a token takes half the bytes; entries are made of these again
+        by_size = np.argsort(-np.bincount(word, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(self.words), dtype=np.int64)
+        rank[by_size] = np.arange(len(self.words))
         ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64).view(np.uint64)
         null = np.array([i is None for i in self.ids], dtype=np.uint8)
-        return pack(ids, null, self.held.astype(np.uint8), self.sizes, self.entry, self.pairs, wanted, self.words[wanted])
+        return pack(ids, null, self.held.astype(np.uint8), self.sizes, rank[word], by_size, np.searchsorted(self.words, [START]), wanted, self.words[wanted])
+
+
+def entries(word: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """Which distinct pair each token is, in order of (word, history), from the words' places in order of their hashes;
+    start is how many words come before the start of a text."""
+    v = np.concatenate([[0], word[:-1]])
+    v = v + (v >= start)  # start's own place is free
+    v[first] = start
+    return np.unique(word * (int(word.max()) + 2) + v, return_inverse=True)[1]
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
-    """Chunks of a task's rows, with an id that a second reading gives again."""
+    """Chunks of a task's rows, with an id that no other chunk of the job has."""
     seen: dict[bytes, int] = {}
     ids, held, words, size, n = [], [], [], 0, TaskContext.get().partitionId() << 32
     for batch in slices(batches):
@@ -148,16 +163,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, chunk in chunks(batches):
-            yield _batch([("ask", p, n, data) for p, data in chunk.asked(bits)])
+            yield _batch([*[("ask", p, n, data) for p, data in chunk.asked(bits)], ("state", -1, n, chunk.state())])
 
     return run
 
 
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for n, chunk in chunks(batches):
-        yield _batch([("state", -1, n, chunk.state())])
-
-
 def _classes(counts: np.ndarray, by: np.ndarray, n: int) -> list[np.ndarray]:
     """For each of n groups: how many of its counts are 1, 2, ... KEEP, and the sum of those above."""
     out = [np.bincount(by[counts == r], minlength=n) for r in range(1, KEEP + 1)]
@@ -167,7 +177,10 @@ def _classes(counts: np.ndarray, by: np.ndarray, n: int) -> list[np.ndarray]:
 
 def _count(bits: int):
     def run(group: pa.Table) -> pa.Table:
-        """One partition of words: totals of pairs and words, answers to chunks, classes by history, counts of counts."""
+        """One partition of words: totals of pairs and words, answers to chunks, classes by history, counts of counts. A
+        chunk's state passes through."""
+        if group["kind"][0].as_py() == "state":
+            return group.select(["kind", "part", "chunk", "data"])
         part = group["part"][0].as_py()
         rows = sorted(zip(group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True))
         parts = [unpack(data) for _, data in rows]
@@ -259,12 +272,12 @@ def _evaluate(model: Model, bits: int):
             else:
                 answers.append((part, unpack(data)))
         answers.sort(key=lambda x: x[0])
-        ids, null, held, sizes, entry, pairs, wanted, hashes = state
-        c2 = np.concatenate([a[0] for _, a in answers]).astype(np.int64)[entry]
-        word = np.repeat(np.arange(len(pairs)), pairs)[entry]
+        ids, null, held, sizes, ranks, by_size, start, wanted, hashes = state
+        word = by_size.astype(np.int64)[ranks]
         c1 = np.concatenate([a[1] for _, a in answers]).astype(np.int64)[word]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1].astype(np.int64)]).astype(np.int64)
+        c2 = np.concatenate([a[0] for _, a in answers]).astype(np.int64)[entries(word, first, int(start[0]))]
         before, before_word = np.roll(c1, 1), np.roll(word, 1)
         before[first], before_word[first] = model.starts, -1
         seen = c2 > 0
@@ -347,15 +360,16 @@ def score_documents(docs: DataFrame, from_files: bool = False) -> tuple[DataFram
         rows = materialize(rows, "katz-rows")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / PARTITION_BYTES))))
-    counted = rows.mapInArrow(_ask(bits), _ROWS).groupBy("part").applyInArrow(_count(bits), _ROWS)
+    # a partition's asks are one group, and each state is one of its own
+    own = F.when(F.col("kind") == "state", F.col("chunk")).alias("own")
+    counted = rows.mapInArrow(_ask(bits), _ROWS).groupBy("part", own).applyInArrow(_count(bits), _ROWS)
     counted = materialize(counted, "katz-counts", ("kind",)).select("kind", "part", "chunk", "data")
     pairs, words, sums = np.zeros(KEEP + 1, dtype=np.int64), np.zeros(KEEP + 1, dtype=np.int64), np.zeros(3, dtype=np.int64)
     for r in counted.where("kind = 'stats'").select("data").toLocalIterator():  # a few numbers a partition
         own = unpack(bytes(r["data"]))
         pairs, words, sums = pairs + own[0].astype(np.int64), words + own[1].astype(np.int64), sums + own[2].astype(np.int64)
     model = Model(pairs, words, *(int(x) for x in sums))
-    states = rows.mapInArrow(_states, _ROWS)
-    asked = states.union(counted.where("kind = 'answer'")).groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
+    asked = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
     asked = materialize(asked, "katz-chunks", ("kind",)).select("kind", "part", "chunk", "data")
     alphas = counted.where("kind = 'history'").union(asked.where("kind = 'ask'")).groupBy("part").applyInArrow(_back_off(model), _ROWS)
     scores = asked.where("kind = 'state'").union(alphas).groupBy("chunk").applyInArrow(_finish, _RESULT)

@@ -115,6 +115,31 @@ def test_katz_without_rows_or_training(spark):
     assert (row["n_tokens"], row["n_known"], math.isfinite(row["score"])) == (3, 0, True)
 
 
+def test_katz_scores_do_not_depend_on_how_files_are_split(spark, tmp_path, monkeypatch):
+    made = random.Random(10)
+    words = vocabulary(10, 40)
+    rows = [(n, " ".join(prose(made, words, 1 + n % 50)), n % 4 == 1) for n in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(8).write.parquet(f"{tmp_path}/docs")
+    key, out = "spark.sql.files.minPartitionNum", []
+    split = katz.Model
+
+    def other_cores(*args):  # between the jobs, as if executors had been lost or added
+        spark.conf.set(key, "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return split(*args)
+
+    for model in (split, other_cores):
+        monkeypatch.setattr(katz, "Model", model)
+        spark.conf.set(key, "8")
+        try:
+            scores, _, _ = katz.score_documents(spark.read.parquet(f"{tmp_path}/docs"), from_files=True)
+            out.append({r["doc_id"]: (r["n_tokens"], round(r["score"], 6)) for r in scores.collect()})
+        finally:
+            spark.conf.unset(key)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+
+
 VECTORS = "vec_id long, label int, embedding array<float>"
 
 
