@@ -57,34 +57,44 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables, once what was made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) undirected edges -> (node, component): the smallest id that each node reaches.
 
-    Alternating large-star and small-star rounds over an edge table that is written to the shared folder after each:
-    O(log n) rounds, no vertex gathered in one place, a hub's star summed by map-side minima. Nodes without an edge are
-    absent. Null ends and loops are ignored; an edge table without rows gives no rows.
+    Alternating large-star and small-star rounds over an edge table that is written to the shared folder after each, until
+    each node has one edge, to a node that has none: O(log n) rounds, no vertex gathered in one place, a hub's star summed by
+    map-side minima. Nodes without an edge are absent. Null ends and loops are ignored; an edge table without rows gives no
+    rows. Joins are merge joins at every size: edges grow with the corpus.
     """
     current = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    current = materialize(current.distinct(), "cc-0")
-    for n in range(1, max_rounds + 1):
-        chained = current.join(current.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
-        forked = current.groupBy("u").count().where("count > 1").select("u")
-        if chained.union(forked).isEmpty():  # a forest of stars
-            break
-        low = current.groupBy("u").agg(F.min("v").alias("m"))
+    current = materialize(current.distinct(), "cc")
+    while True:
+        # by node: its smaller ends, and whether it is a smaller end itself
+        ends = current.select("u", "v", F.lit(False).alias("low")).union(current.select(F.col("v"), F.col("v"), F.lit(True)))
+        state = ends.groupBy("u").agg(F.min(F.when(~F.col("low"), F.col("v"))).alias("m"), F.max(F.when(~F.col("low"), F.col("v"))).alias("top"), F.max("low").alias("low"))
+        state = materialize(state.where("m IS NOT NULL"), "cc-state")
+        if state.where("low OR m <> top").isEmpty():  # a forest of stars
+            return current.toDF("node", "component").union(current.select("v", "v").distinct())
         # large star: larger neighbours y of x go to the smallest of x and its neighbours
-        large = current.toDF("y", "x").join(low.toDF("x", "m"), "x", "left").select(F.col("y").alias("u"), F.coalesce("m", "x").alias("v"))
-        large = materialize(large.distinct(), f"cc-{n}a")
+        large = current.toDF("y", "x").join(state.select(F.col("u").alias("x"), "m").hint("merge"), "x", "left").select(F.col("y").alias("u"), F.coalesce("m", "x").alias("v"))
+        large = materialize(large.distinct(), "cc-large")
         # small star: x and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v"))
-        current = materialize(small.distinct(), f"cc-{n}b")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.toDF("node", "component").union(current.select("v", "v").distinct())
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v"))
+        after = materialize(small.distinct(), "cc")
+        release(current, state, large)
+        current = after
 
 
 _SHIPPED: set[str] = set()

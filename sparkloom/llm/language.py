@@ -5,14 +5,20 @@ support vector machines decide between the languages of that family. Features ar
 lower-cased text, everything but letters taken as a space, hashed into 5,120 counts, square roots, unit length.
 
 The classifiers are fitted on a bounded sample: the rows with a language are dealt by a hash of doc_id into as many bins
-per language as the sample may have, and the row with the smallest hash of each bin is taken (at most `SAMPLE_PER_LANG` a language
-and `SAMPLE_ROWS` in all). Counting languages, taking the sample and predicting cover all rows. Rows whose
-crc32(doc_id as text) mod 4 is 2 are never learned from.
+per language as the sample may have, and one row of each bin is taken, that with the smallest hashes of doc_id and text
+(at most `SAMPLE_PER_LANG` a language and `SAMPLE_ROWS` in all; of repeated rows one). The `MAX_LANGS` most frequent
+languages are learned, by count, then name; rarer ones are never predicted. Counting languages, taking the sample and
+predicting cover all rows. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
 
 The score is the family's probability times the mean probability of the language against each sibling, by margins
-calibrated on the sample. Null texts, and texts without a letter, are `und` with score 0, and so is every text when
-nothing can be learned. A language without a known family is a family of its own. Other columns pass through nowhere:
-the result is keyed by doc_id; repeated rows are predicted each.
+calibrated on the sample. Families of equal probability: the first by name. Languages of equal votes: the higher mean
+probability, then the first by name. Null texts, and texts without a letter, are `und` with score 0, and so is every text
+when nothing can be learned. A language without a known family is a family of its own. Very long texts are read whole, in
+pieces. Other columns pass through nowhere: the result is keyed by doc_id; repeated rows are predicted each.
+
+As a filter (`keep_identified`): rows without a letter go, and rows whose score lies below a rejection score. That is
+calibrated on the sample: classifiers of one half score the other, and `REJECT` times the lowest score there is the bound,
+so only texts much less certain than any labelled one are rejected. When nothing can be learned, rows with a letter stay.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from sparkloom.llm.common import table
 SAMPLE_PER_LANG = 512
 SAMPLE_ROWS = 6144
 MAX_LANGS = 300
+#: Share of the lowest score of labelled rows below which a text is in no known language.
+REJECT = 0.9
 UND = "und"
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -172,15 +180,15 @@ def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 def sample(docs: DataFrame) -> DataFrame:
     """(lang, text) to learn from: at most SAMPLE_PER_LANG rows a language and SAMPLE_ROWS in all, spread by a hash."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    known = known.where(F.col("lang").isin(langs)) if langs else known.limit(0)
     bins = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(langs))))
-    place = F.xxhash64(F.col("doc_id").cast("string"))
-    # the least hash of a bin, summed up before the shuffle: one row a language and bin
-    picked = known.groupBy(F.col("lang").alias("p_lang"), F.pmod(place, F.lit(bins)).alias("bin")).agg(F.min(F.struct(place.alias("h"), "doc_id")).alias("first"))
-    picked = F.broadcast(picked.select(F.col("first.doc_id").alias("p_id"), "p_lang"))  # at most SAMPLE_ROWS rows
-    return known.join(picked, F.expr("doc_id = p_id AND lang = p_lang"), "left_semi").select("lang", "text")
+    place, own = F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")
+    # the least hashes of a bin, summed up before the shuffle: one row a language and bin
+    picked = known.groupBy(F.col("lang").alias("p_lang"), F.pmod(place, F.lit(bins)).alias("bin")).agg(F.min(F.struct(place.alias("h"), own.alias("t"), "doc_id")).alias("first"))
+    picked = F.broadcast(picked.select(F.col("first.doc_id").alias("p_id"), F.col("first.t").alias("p_text"), "p_lang"))  # at most SAMPLE_ROWS rows
+    rows = known.withColumn("t", own).join(picked, F.expr("doc_id = p_id AND lang = p_lang AND t = p_text"), "left_semi")
+    return rows.groupBy("lang", "doc_id", "t").agg(F.first("text").alias("text")).select("lang", "text")  # of repeated rows one
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +197,31 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def learn(docs: DataFrame) -> dict | None:
+def _sampled(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     rows = sample(docs).mapInArrow(_featured, "lang string, x binary").collect()  # SAMPLE_ROWS vectors at most
-    if not rows:
-        return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return fit(np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows]), [r["lang"] for r in rows])
+    x = np.empty((len(rows), DIM), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r["x"], dtype=np.float32)
+    return x, [r["lang"] for r in rows]
+
+
+def learn(docs: DataFrame) -> dict | None:
+    x, langs = _sampled(docs)
+    return fit(x, langs) if langs else None
+
+
+def learn_to_reject(docs: DataFrame) -> tuple[dict | None, float]:
+    """(the model, the score below which a text is rejected)."""
+    x, langs = _sampled(docs)
+    if not langs:
+        return None, 0.0
+    lowest = 1.0
+    for half in (0, 1):  # each half is scored by classifiers of the other
+        own, rest = slice(half, None, 2), slice(1 - half, None, 2)
+        if langs[own] and langs[rest]:
+            lowest = min(lowest, float(predict(fit(x[rest], langs[rest]), x[own])[1].min()))
+    return fit(x, langs), REJECT * lowest if len(langs) > 1 else 0.0
 
 
 def _predictor(model: dict | None):
@@ -223,16 +250,20 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """docs whose language is found with at least that score. A row is kept or not by its own text."""
-    model = learn(docs)
+def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
+    """docs whose language is found with at least that score (unset: the calibrated one). A row is kept or not by its own text."""
+    model, bound = learn_to_reject(docs)
+    bound = bound if min_score is None else min_score
     names = docs.columns
     verdict = _predictor(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (found,) = verdict([batch])
-            keep = np.array([v != UND for v in found["lang_pred"].to_pylist()]) & (found["score"].to_numpy() >= min_score)
+            if model is None:
+                keep = np.array([has_letter(t) for t in batch["text"].to_pylist()], dtype=bool)
+            else:
+                (found,) = verdict([batch])
+                keep = np.array([v != UND for v in found["lang_pred"].to_pylist()], dtype=bool) & (found["score"].to_numpy() >= bound)
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,23 +2,27 @@
 
 A document is its sequence of lines; blank lines don't count. A window is a shortest run of lines with at least
 `min_words` words, counted forward from each line or back from each line, so a single long line is one, and so are ten
-short ones. From every window the line with the smallest hash is selected as its fingerprint (the rightmost of equals):
-any run of at least `min_words` words that two documents share, or that one document repeats, holds a whole window and so
-the same fingerprint in both places. That is the guarantee of winnowing, with the window measured in words.
-
-Fingerprints are joined by hash: those that stand on one line of the corpus can't start a match and go (most of the
-corpus, after a map-side count). Around each fingerprint that is left, the match is extended both ways line by line, by
-the windows that hold it: a window is keyed by the hash of all its lines, and the first position of a key, by (doc_id,
-line), is its original. Every other position of the key is a later repeat and its lines are deleted. A longer repeated
-run is the union of its windows: each of its lines either has `min_words` words from it to the run's end, or from the
-run's start to it, or lies in the first forward window. So it goes as a whole, first line to last, whichever earlier
-document each part came from. No pairs of positions are made: a passage that a third of the documents share costs one row
-a place.
+short ones. From every window the line with the smallest hash is selected (the rightmost of equals). The selected lines
+are the fingerprints, and all that leaves a text at first: any run of at least `min_words` words that two documents
+share, or that one document repeats, holds a whole window and so the same fingerprint in both places. That is the
+guarantee of winnowing, with the window measured in words.
+
+1. Positions are joined: a fingerprint that stands at one place of the corpus starts no match and goes (most of the corpus,
+   after a map-side count). The places that are left are seeds.
+2. Each seed is extended both ways, line by line, as far as the windows that selected it reach: these are the least runs
+   that a match around the seed must cover. Each is keyed by the hash of all its lines and joined to the first place of
+   the key, by (doc_id, line), which is its original: a match is a place, its original, and the run they have in common.
+3. Matches of one text that overlap or touch are one longer repeated run, and it is deleted. Each line of a repeated run
+   either has `min_words` words from it to the run's end, or from the run's start to it, or lies in the first forward
+   window, so the run goes whole, first line to last, whichever earlier document each part came from.
+
+No pairs of positions are made: a passage that a third of the documents share costs one row a place. Texts without a seed
+are not looked at again, and lines that no seed leads to are never compared.
 
 The first occurrence of a passage always stays. Null and empty texts stay as they are, and rows without doc_id too:
-these neither repeat nor are repeated. Should rows share a doc_id, they are ordered by their text's hash; equal rows of
-one doc_id are both kept as they are found, repeats of one another. Other columns pass through, but for those named as
-the three counts, which are replaced.
+these neither repeat nor are repeated. Very long texts are handled whole, in time in proportion to their lines. Places are
+ordered by (doc_id, hash of the text, first line, last line), so there are no ties; equal rows of one doc_id are both
+kept as they are found. Other columns pass through, but for those named as the three counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -99,43 +103,75 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, dtype=np.uint64).view(np.int64)
 
 
-def _winnow(min_words: int):
+_TEXT = "doc_id long, row_key long, hashes binary, sizes binary, picked array<int>, fingerprints array<long>"
+
+
+def _select(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per window: fingerprint and the line it is, key, and the window's first and last line."""
+        """The line hashes and sizes of each text that holds a window, and its fingerprints: selected lines, each once."""
         for batch in slices(batches):
-            parts = []
+            rows: list[tuple] = []
             for doc_id, row_key, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 _, _, hashes, sizes = line_table(text)
                 first, last = all_windows(sizes, min_words)
                 if len(first):
-                    picked = fingerprints(hashes, first, last)
-                    parts.append((doc_id, row_key, first, last, picked, _signed(hashes[picked]), _signed(window_keys(hashes, first, last))))
-            if parts:
-                n = [len(p[2]) for p in parts]
-                columns = [np.repeat([p[0] for p in parts], n), np.repeat([p[1] for p in parts], n), *(np.concatenate([p[k] for p in parts]) for k in range(2, 7))]
-                names = ["doc_id", "row_key", "start", "last", "picked", "fingerprint", "key"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                    picked = np.unique(fingerprints(hashes, first, last))
+                    rows.append((doc_id, row_key, hashes.tobytes(), sizes.astype(np.int32).tobytes(), picked, _signed(hashes[picked])))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "row_key", "hashes", "sizes", "picked", "fingerprints"])
 
     return run
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row_key, runs): the windows of each text that repeat an earlier one, by their first and last line's ranks
-    among the lines that count."""
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    found = texts.mapInArrow(_winnow(min_words), "doc_id long, row_key long, start long, last long, picked long, fingerprint long, key long")
-    found = materialize(found, "winnow")
-    # join positions: fingerprints that are one line of the corpus start no match
-    line = F.struct("doc_id", "row_key", "picked")
-    shared = found.groupBy("fingerprint").agg(F.min(line).alias("a"), F.max(line).alias("b")).where("a <> b").select("fingerprint")
+def _extend(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs around the seeds of each text: the windows that selected a seed, keyed by the hash of their lines."""
+        for batch in slices(batches):
+            parts = []
+            for doc_id, row_key, data, words, seeds in zip(*(batch[c].to_pylist() for c in ("doc_id", "row_key", "hashes", "sizes", "seeds")), strict=True):
+                hashes, sizes = np.frombuffer(data, dtype=np.uint64), np.frombuffer(words, dtype=np.int32).astype(np.int64)
+                first, last = all_windows(sizes, min_words)
+                seeded = np.zeros(len(sizes), dtype=bool)
+                seeded[seeds] = True
+                held = seeded[fingerprints(hashes, first, last)]
+                first, last = first[held], last[held]
+                parts.append((doc_id, row_key, first, last, _signed(window_keys(hashes, first, last))))
+            n = [len(p[2]) for p in parts]
+            columns = [np.repeat([p[k] for p in parts], n) for k in (0, 1)] + [np.concatenate([p[k] for p in parts]) if parts else [] for k in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "row_key", "start", "last", "key"])
+
+    return run
+
+
+def shared_positions(texts: DataFrame) -> DataFrame:
+    """(doc_id, row_key, seeds): the places of each text's fingerprints that stand at more than one place of the corpus."""
+    places = texts.select("doc_id", "row_key", F.explode(F.arrays_zip("picked", "fingerprints")).alias("f"))
+    places = places.select("doc_id", "row_key", F.col("f.picked").alias("at"), F.col("f.fingerprints").alias("fingerprint"))
+    place = F.struct("doc_id", "row_key", "at")
+    shared = places.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
     shared = materialize(shared, "winnow-shared")
-    live = found.join(shared, "fingerprint", "left_semi")
-    # extend: windows with the same lines throughout; the earliest is the original
+    return places.join(shared.hint("merge"), "fingerprint", "left_semi").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("seeds"))
+
+
+def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, row_key, start, last, from_doc, from_key, from_start): runs of lines, by their ranks among the lines that
+    count, that repeat the same lines of an earlier place."""
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    texts = materialize(texts.mapInArrow(_select(min_words), _TEXT), "winnow-texts")
+    seeds = shared_positions(texts)
+    seeded = texts.select("doc_id", "row_key", "hashes", "sizes").join(seeds.hint("merge"), ["doc_id", "row_key"])
+    runs = materialize(seeded.mapInArrow(_extend(min_words), "doc_id long, row_key long, start long, last long, key long"), "winnow-runs")
     place = F.struct("doc_id", "row_key", "start", "last")
-    first = live.groupBy("key").agg(F.min(place).alias("original"), F.count("*").alias("n")).where("n > 1").select("key", "original")
+    first = runs.groupBy("key").agg(F.min(place).alias("original"), F.max(place).alias("end")).where("original <> end").select("key", "original")
     first = materialize(first, "winnow-originals")
-    later = live.select("key", place.alias("at")).join(first, "key").where("at <> original")
-    return later.select("at.*").groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "last"))).alias("runs"))
+    later = runs.select("key", place.alias("at")).join(first.hint("merge"), "key").where("at <> original")
+    return later.select("at.*", F.col("original.doc_id").alias("from_doc"), F.col("original.row_key").alias("from_key"), F.col("original.start").alias("from_start"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, row_key, runs): the runs of each text that repeat an earlier place."""
+    return matches(docs, min_words).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "last"))).alias("runs"))
 
 
 def _cut(min_words: int):

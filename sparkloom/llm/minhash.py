@@ -9,13 +9,15 @@ chance, estimates the similarity, and pairs far below the threshold go. The rest
 Candidate pairs are not all pairs of a band's bucket. The result asks for components, so a bucket only has to tie
 together what belongs together: its members are first compared with its smallest one, then, where they are in different
 components still, with a leader drawn by a hash, another in each bucket. That ties large groups of near copies together.
-Last, members of a bucket that remain in different components are compared with each other, all that the threshold
-allows by their sizes and by bitmaps of their sets (an exact bound on the intersection), once over all bands: no link
-between components is lost.
+Last, in buckets whose members are in different components yet, every member outside the bucket's first component is
+compared with every member of another component: all that the threshold allows by their sizes and by bitmaps of their sets
+(an exact bound on the intersection), once over all bands. So members of a large component never meet each other, no
+link between components is lost, and a bucket's members are dealt in parts, so that no bucket is one task's.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing. A text of fewer words than a shingle
-has one shingle, the whole. Should rows share a doc_id but not their text, each has the component of its own set, and of
-the sets that only this doc_id has, one stands in the search; a null doc_id links with nothing. Other columns are ignored (the filter keeps them).
+has one shingle, the whole. Very long texts are hashed whole. Should rows share a doc_id but not their text, each has the
+component of its own set, and all sets are searched; a null doc_id links with nothing. Joins are merge joins at every size. Of a component's rows the smallest
+doc_id names it; rows that share it are kept together. Other columns are ignored (the filter keeps them).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, materialize, slices, table, whole_rows
+from sparkloom.llm.common import connected_components, materialize, release, slices, table, whole_rows
 
 BANDS, ROWS, BITS = 38, 6, 4
 PERMUTATIONS = BANDS * ROWS
@@ -38,6 +40,8 @@ WORDS = -(-PERMUTATIONS // 64)
 MARKS = 16
 #: Rounds that compare bucket members with one leader, before what remains apart is compared in full.
 STAR_ROUNDS = 2
+#: Members of a bucket that are compared in one part, in the last comparison.
+PART = 512
 #: How far below the threshold an estimate may lie for a pair to be confirmed: 4 standard deviations.
 SLACK = 0.11
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -181,59 +185,73 @@ def _sets(size: int):
         for batch in slices(batches):
             made = [shingles(text, size, seen).tobytes() for text in batch["text"].to_pylist()]
             own = [xxhash.xxh3_128_digest(x) == k for x, k in zip(made, batch["set_key"].to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_pydict({"node": batch["node"], "set": pa.array(made, pa.binary())})
+            out = pa.RecordBatch.from_pydict({"set_key": batch["set_key"], "set": pa.array(made, pa.binary())})
             yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of (a, b), the pairs whose full sets meet the threshold. nodes: (node, set_key)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "set_key"), "node")
+    """Of pairs (ka, a, kb, b) of sets and their nodes, the (a, b) whose full sets meet the threshold. nodes: (node, set_key)."""
+    wanted = pairs.select(F.col("ka").alias("set_key")).union(pairs.select("kb")).distinct().join(nodes.select("set_key", "node").hint("merge"), "set_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = wanted.join(texts, F.col("node") == F.col("doc_id")).select("node", "set_key", "text").mapInArrow(_sets(size), "node long, set binary")
-    sets = materialize(sets.dropDuplicates(["node"]), "minhash-sets")
-    joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(_overlap(threshold), "a long, b long")
+    # a text of that doc_id with that set; should there be several, their sets are equal
+    sets = wanted.join(texts.hint("merge"), F.col("node") == F.col("doc_id")).select("set_key", "text").mapInArrow(_sets(size), "set_key binary, set binary")
+    sets = materialize(sets.dropDuplicates(["set_key"]), "minhash-sets")
+    # a member's set travels with the pair to its leader's, not the leader's to all of its members
+    joined = pairs.join(sets.toDF("kb", "sb").hint("merge"), "kb").join(sets.toDF("ka", "sa").hint("merge"), "ka").select("a", "b", "sa", "sb")
+    found = materialize(joined.mapInArrow(_overlap(threshold), "a long, b long"), "minhash-links")
+    release(sets)
+    return found
 
 
 def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Confirmed links (a, b), enough of them that every two linked documents are in one component."""
+    """Confirmed links (a, b) between the smallest doc_ids of sets, enough of them that every two linked sets are in one
+    component."""
     least = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    own = least.groupBy("set_key").agg(F.min("doc_id").alias("node"))  # one of each class of equal sets
-    own = own.groupBy("node").agg(F.min("set_key").alias("set_key"))
-    one = least.join(own.toDF("node", "own_key"), F.expr("set_key = own_key AND doc_id = node")).select("node", "set_key", "n_shingles", "packed", "bands", "marks")
-    one = materialize(one.dropDuplicates(["node"]), "minhash-classes")
-    keyed = one.select("node", F.explode("bands").alias("key"))
+    own = least.groupBy("set_key").agg(F.min("doc_id").alias("node")).toDF("own_key", "node")  # one of each class of equal sets
+    one = least.join(own.hint("merge"), F.expr("set_key = own_key AND doc_id = node")).select("node", "set_key", "n_shingles", "packed", "bands", "marks")
+    one = materialize(one.dropDuplicates(["set_key"]), "minhash-classes")
+    keyed = one.select("set_key", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = keyed.join(shared, "key", "left_semi").join(one.select("node", "n_shingles", "packed"), "node").withColumn("part", F.col("node"))
+    buckets = keyed.join(shared.hint("merge"), "key", "left_semi").join(one.select("set_key", "node", "n_shingles", "packed").hint("merge"), "set_key").withColumn("part", F.col("node"))
     buckets = materialize(buckets, "minhash-buckets")
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
-        return materialize(confirm(pairs, docs, one, size, threshold), "minhash-links")
+        pairs = materialize(pairs.select("ka", "a", "kb", "b").distinct(), "minhash-pairs")
+        found = confirm(pairs, docs, one, size, threshold)
+        release(pairs)
+        return found
 
     found = None
     for n in range(STAR_ROUNDS):
         # each member with its bucket's leader: the smallest, then one by a hash, another in each bucket
-        order = F.col("node") if n == 0 else F.xxhash64("node", "key", F.lit(n))
-        leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("at"), "node", "part", "packed")).alias("first"))
-        leaders = leaders.select("key", F.col("first.node").alias("a"), F.col("first.part").alias("parta"), F.col("first.packed").alias("pa"))
-        pairs = buckets.join(leaders, "key").where(f"part <> parta AND {agrees('pa', 'packed', threshold)}").select("a", F.col("node").alias("b"))
-        found = check(pairs) if found is None else found.union(check(pairs))
-        # buckets whose members are in different components by now go on
+        order = F.col("node") if n == 0 else F.xxhash64("set_key", "key", F.lit(n))
+        leaders = buckets.groupBy("key").agg(F.min(F.struct(order.alias("at"), "set_key", "node", "part", "packed")).alias("first"))
+        leaders = leaders.select("key", F.col("first.set_key").alias("ka"), F.col("first.node").alias("a"), F.col("first.part").alias("parta"), F.col("first.packed").alias("pa"))
+        near = buckets.join(leaders.hint("merge"), "key").where(f"part <> parta AND {agrees('pa', 'packed', threshold)}")
+        pairs = check(near.select("ka", "a", F.col("set_key").alias("kb"), F.col("node").alias("b")))
+        found = pairs if found is None else found.union(pairs)
+        # buckets whose members are in different components by now go on; their first component is the largest, as a rule
         parts = materialize(connected_components(found), "minhash-parts")
-        placed = buckets.drop("part").join(parts, "node", "left").select("key", "node", "n_shingles", "packed", F.coalesce("component", "node").alias("part"))
-        apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-        buckets = materialize(placed.join(apart, "key", "left_semi"), "minhash-apart")
-    # a pair counts in the first bucket that it shares
-    last = buckets.join(one.select("node", "bands", "marks"), "node").select(
-        "key", "node", "n_shingles", "part", "packed", "marks", F.expr("slice(bands, 1, cast(array_position(bands, key) AS int) - 1)").alias("before")
+        placed = buckets.drop("part", "main").join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        apart = placed.groupBy("key").agg(F.min("part").alias("main"), F.max("part").alias("q"), F.count("*").alias("size")).where("main <> q")
+        left = materialize(placed.drop("size").join(apart.drop("q").hint("merge"), "key"), "minhash-apart")
+        release(buckets, parts)
+        buckets = left
+    # members outside the first component meet all others, dealt by these; a pair counts in the first bucket that it shares
+    last = buckets.join(one.select("set_key", "bands", "marks").hint("merge"), "set_key").select(
+        "key", "set_key", "node", "n_shingles", "part", "main", "packed", "marks", F.expr("slice(bands, 1, cast(array_position(bands, key) AS int) - 1)").alias("before"),
+        F.ceil(F.col("size") / PART).cast("int").alias("deals"),
     )
-    x, y = last.toDF("key", "a", "na", "parta", "pa", "ma", "befa"), last.toDF("key", "b", "nb", "partb", "pb", "mb", "befb")
+    x = last.where("part <> main").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    x = x.select("key", "deal", F.col("set_key").alias("kb"), F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("part").alias("partb"), F.col("packed").alias("pb"), F.col("marks").alias("mb"), F.col("before").alias("befb"))
+    y = last.withColumn("deal", F.pmod(F.xxhash64("set_key"), F.col("deals")).cast("int"))
+    y = y.select("key", "deal", F.col("set_key").alias("ka"), F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("part").alias("parta"), "main", F.col("packed").alias("pa"), F.col("marks").alias("ma"), F.col("before").alias("befa"))
+    once = "(parta = main OR a < b OR a = b AND ka < kb)"
     sizes = f"least(na, nb) >= {threshold} * greatest(na, nb)"
-    rest = x.join(y, "key").where(f"a < b AND parta <> partb AND {sizes} AND {agrees('pa', 'pb', threshold)} AND {may_meet('ma', 'mb', 'na', 'nb', threshold)} AND NOT arrays_overlap(befa, befb)")
-    return found.union(check(rest.select("a", "b")))
+    rest = x.join(y.hint("merge"), ["key", "deal"]).where(f"parta <> partb AND {once} AND {sizes} AND {agrees('pa', 'pb', threshold)} AND {may_meet('ma', 'mb', 'na', 'nb', threshold)} AND NOT arrays_overlap(befa, befb)")
+    return found.union(check(rest.select("ka", "a", "kb", "b")))
 
 
 def components(docs: DataFrame, size: int = 4, threshold: float = 0.8) -> DataFrame:
@@ -241,8 +259,8 @@ def components(docs: DataFrame, size: int = 4, threshold: float = 0.8) -> DataFr
     signed = materialize(signatures(docs, size), "minhash")
     near = connected_components(links(docs, signed, size, threshold))
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    named = classes.join(near, "node", "left").select(F.col("set_key").alias("own_key"), F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("own_key"), "left")
+    named = classes.join(near.hint("merge"), "node", "left").select(F.col("set_key").alias("own_key"), F.coalesce("component", "node").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), F.col("set_key") == F.col("own_key"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
@@ -251,7 +269,7 @@ def keep_first(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFr
     found = components(docs, size, threshold)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
     rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"))
-    return rows.join(gone.distinct(), F.expr("own_id = gone_id"), "left_anti").select("row.*")
+    return rows.join(gone.distinct().hint("merge"), F.expr("own_id = gone_id"), "left_anti").select("row.*")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

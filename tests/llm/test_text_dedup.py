@@ -186,3 +186,42 @@ def test_line_dedup_cuts_repeated_runs_from_their_first_line_to_their_last(spark
     want = cut_maximal_runs(rows, WORDS)
     assert {d: t for d, t in got.items() if d is not None} == want
     assert want[40] == rows[-3][1] and want[41] == want[42] == ""
+
+
+def test_short_tails_and_very_long_texts_go_with_their_runs(spark, monkeypatch):
+    block = "\n".join(" ".join([f"{c}{k}" for k in range(n)]) for c, n in (("a", 30), ("b", 30), ("c", 5)))
+    long = "\n".join(f"line {k} of a very long text" for k in range(60_000))
+    rows = [(1, block, "en", "s", 0), (2, "other first\n" + block, "en", "s", 0), (3, long, "en", "s", 0), (4, "x\n" + long + "\ny", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"], r["runs_deleted"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (block, 0, 0), 2: ("other first", 3, 1), 3: (long, 0, 0), 4: ("x\ny", 60_000, 1)}
+    # matches come from joined fingerprints alone
+    found = line_dedup.shared_positions
+    monkeypatch.setattr(line_dedup, "shared_positions", lambda texts: found(texts).limit(0))
+    assert {r["lines_deleted"] for r in line_dedup.dedup_lines(df).collect()} == {0}
+
+
+def test_sets_of_one_doc_id_are_all_searched(spark):
+    text = [f"w{k}" for k in range(60)]
+    other = [f"v{k}" for k in range(60)]
+    near = lambda words, k: " ".join([*words[:k], "changed", *words[k + 1 :]])
+    rows = [(1, " ".join(text)), (1, " ".join(other)), (2, near(text, 59)), (3, near(other, 0)), (4, " ".join(other))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def test_members_of_a_bucket_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 3)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 1)
+    made = random.Random(21)
+    words = vocabulary(21)
+    base = prose(made, words, 80)
+    texts = []
+    for _ in range(40):  # near copies of one text, many of them too far from the first
+        copy = list(base)
+        for _ in range(made.randint(0, 4)):
+            copy[made.randrange(80)] = made.choice(words)
+        texts.append(" ".join(copy))
+    rows = [(n, t) for n, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_by_hand(rows, 4)
