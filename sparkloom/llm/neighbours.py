@@ -7,10 +7,10 @@ leaf's points are compared with each other. Then the graph is refined: each poin
 whose neighbour it is, these are compared with each other (neighbours of neighbours), and each point keeps the best `K`,
 until a round changes little. Each round also deals one tree's leaves anew, so that points meet others of other parts.
 
-A point whose list is full of links (all at or above the threshold) is saturated: it has more links than its list can
-show. Its list is enlarged to its whole component of found links: the component's members are dealt into blocks, and
-blocks are compared with blocks in full, which gives every link inside without a limit; of each block pair only counts
-come out. Unsaturated points keep their threshold edges.
+A list that is full of links (all `K` at or above the threshold) is saturated and is enlarged, up to `ENLARGED` times, as
+long as it is full. A point with more links than that has its whole component of found links compared: the component's
+members are dealt into blocks, and blocks are compared with blocks, each pair where it is dealt, which gives every link
+inside without a limit; of each block pair only counts come out. Other points keep their lists' threshold edges.
 
 Recall is audited on a bounded set of points, whose links are found by brute force against all points of their label in
 blocks: the share of these that lead into the same component, and of these that their n_links count, whichever is less.
@@ -22,8 +22,10 @@ Leaves and gathered lists that are larger than a block (equal signs, hubs) are d
 with the tree, round and attempt, so that no group, however many points agree, is gathered in one task.
 
 Null vectors and labels, zero vectors and those with null or non-finite components, and an empty table link nothing.
-Vectors of different lengths never link. Rows that share a vec_id are taken as copies of one vector id: each has the
-links of its own vector. A null vec_id links nothing. Other columns are ignored.
+Vectors of different lengths never link. Rows that share a vec_id are copies of one vector id: each has the links of its
+own vector, and what any of them links is searched. Ties of similarity in a list go to the larger point number, which
+decides nothing else: links and components don't depend on it. A null vec_id links nothing. Vectors of any length are
+held whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ from sparkloom.llm.common import connected_components, materialize, table
 
 THRESHOLD = 0.93
 K = 10
+#: Times K to which a list that is full of links is enlarged.
+ENLARGED = 4
 TREES = 3
 LEAF = 32
 BLOCK = 512
@@ -97,7 +101,7 @@ def _coded(trees: int, attempt: int):
 
 def _compared(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """ids, units of a group -> each member's k best in it."""
+        """ids, units of a group -> each member's k best in it, and links up to the enlarged length."""
         for batch in batches:
             a, b, sims = [], [], []
             for ids, units in zip(batch["ids"].to_pylist(), batch["units"].to_pylist(), strict=True):
@@ -107,9 +111,12 @@ def _compared(k: int):
                 x = _matrix([units[i] for i in first])
                 s = x @ x.T
                 np.fill_diagonal(s, -2)
-                n = min(k, len(ids) - 1)
+                n = min(k * ENLARGED, len(ids) - 1)
                 best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                a.append(np.repeat(ids, n)), b.append(ids[best].ravel()), sims.append(np.take_along_axis(s, best, 1).ravel())
+                found = np.take_along_axis(s, best, 1)
+                least = np.sort(found, axis=1)[:, -min(k, n)]
+                keep = (found >= least[:, None]) | (found >= THRESHOLD)  # beyond k, links only
+                a.append(np.repeat(ids, n)[keep.ravel()]), b.append(ids[best][keep]), sims.append(found[keep])
             join = lambda parts, kind: np.concatenate(parts) if parts else np.array([], dtype=kind)
             yield pa.RecordBatch.from_pydict({"a": pa.array(join(a, np.int64)), "b": pa.array(join(b, np.int64)), "sim": pa.array(join(sims, np.float64))})
 
@@ -120,9 +127,12 @@ _EDGE = "a long, b long, sim double"
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each point: partial lists are cut before the shuffle's final sort."""
-    top = F.slice(F.sort_array(F.collect_set(F.struct("sim", "b")), asc=False), 1, k)
-    return edges.groupBy("a").agg(top.alias("top")).select("a", F.explode("top").alias("e")).select("a", "e.b", "e.sim")
+    """The k best neighbours of each point, or as many as an enlarged list holds if these are links."""
+    ranked = F.sort_array(F.collect_set(F.struct("sim", "b")), asc=False)
+    top = edges.groupBy("a").agg(F.slice(ranked, 1, k * ENLARGED).alias("top"))
+    full = F.coalesce(F.get("top", F.lit(k - 1))["sim"] >= THRESHOLD, F.lit(False))
+    listed = top.select("a", F.posexplode("top").alias("at", "e"), full.alias("full"))
+    return listed.where((F.col("at") < k) | F.col("full") & (F.col("e.sim") >= THRESHOLD)).select("a", "e.b", "e.sim")
 
 
 def _grouped(rows: DataFrame, keys: list[str], size: int, *salt, only_dealt: bool = False) -> DataFrame:
@@ -132,8 +142,9 @@ def _grouped(rows: DataFrame, keys: list[str], size: int, *salt, only_dealt: boo
     if only_dealt:
         counts = counts.where(F.col("in_group") > size)
     part = F.pmod(F.xxhash64("id", *keys, *[F.lit(x) for x in salt]), F.ceil(F.col("in_group") / size))
-    dealt = rows.join(counts, keys).withColumn("part", part)
-    return dealt.groupBy(*keys, "part").agg(F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"))
+    # one column, so that a group's parts are dealt by it and not by the keys alone
+    dealt = rows.join(counts, keys).select(F.struct(*keys, part.alias("part")).alias("own"), "id", "unit")
+    return dealt.groupBy("own").agg(F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"))
 
 
 def neighbour_graph(points: DataFrame, k: int = K, attempt: int = 0) -> DataFrame:
@@ -182,21 +193,30 @@ def _block_counts(threshold: float):
     return run
 
 
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows(keys..., id, unit, weight) in blocks of about BLOCK, and how many blocks those keys have."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    own = F.struct(*keys, "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").alias("block")).alias("own")
+    blocked = rows.join(sizes, keys).select(own, "id", "unit", "weight").groupBy("own").agg(
+        F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"), F.collect_list("weight").alias("weights")
+    )
+    return materialize(blocked.select("own.*", "ids", "units", "weights"), name)
+
+
+def _met(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Each block with each block of its keys, dealt by the other block, so that no group is one task."""
+    at = lambda block: F.struct(*keys, block.alias("block")).alias("at")
+    other = blocks.select(at(F.col("block")), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("weights").alias("other_weights"))
+    asking = blocks.select(*keys, "ids", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("to"))
+    return asking.select(at(F.col("to")), "ids", "units").join(other, "at").select("ids", "units", "other_ids", "other_units", "other_weights")
+
+
 def enlarged_counts(points: DataFrame, parts: DataFrame, saturated: DataFrame) -> DataFrame:
     """(id, n): links of the saturated points inside their components. parts: (node, component); blocks meet blocks."""
     members = points.select("id", "unit", "weight").join(parts.select(F.col("node").alias("id"), "component"), "id")
     wanted = parts.join(saturated.select(F.col("a").alias("node")), "node", "left_semi").select("component").distinct()
-    members = members.join(wanted, "component", "left_semi")
-    sized = members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component")
-    blocked = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
-    blocks = blocked.groupBy("component", "block").agg(
-        F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"), F.collect_list("weight").alias("weights")
-    )
-    blocks = materialize(blocks, "descent-blocks")
-    pairs = blocks.select("component", "ids", "units").join(
-        blocks.select("component", F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("weights").alias("other_weights")), "component"
-    )
-    counts = pairs.select("ids", "units", "other_ids", "other_units", "other_weights").mapInArrow(_block_counts(THRESHOLD), "id long, n long")
+    blocks = _blocks(members.join(wanted, "component", "left_semi"), ["component"], "descent-blocks")
+    counts = _met(blocks, ["component"]).mapInArrow(_block_counts(THRESHOLD), "id long, n long")
     return counts.groupBy("id").agg(F.sum("n").alias("n")).join(saturated.select(F.col("a").alias("id")), "id", "left_semi")
 
 
@@ -232,16 +252,7 @@ def compared_in_full(points: DataFrame, labels: list[str]) -> tuple[DataFrame, D
     """((a, b) links that join what is linked, (id, n) weights of links) of the points of some labels; blocks meet blocks,
     so lists stay short, but the work grows with the square of a label."""
     own = points.where(F.col("label").isin(labels)).withColumn("dim", F.octet_length("unit"))
-    sizes = own.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    blocked = own.join(sizes.withColumn("n_blocks", F.ceil(F.col("size") / BLOCK)), ["label", "dim"])
-    blocks = blocked.groupBy("label", "dim", "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").alias("block")).agg(
-        F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"), F.collect_list("weight").alias("weights")
-    )
-    blocks = materialize(blocks, "full-blocks")
-    other = blocks.select("label", "dim", F.col("block").alias("to"), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("weights").alias("other_weights"))
-    # dealt by the other block too, so that a label isn't one task
-    pairs = blocks.select("label", "dim", "ids", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("to")).join(other, ["label", "dim", "to"])
-    pairs = pairs.select("ids", "units", "other_ids", "other_units", "other_weights")
+    pairs = _met(_blocks(own, ["label", "dim"], "full-blocks"), ["label", "dim"])
     found = materialize(pairs.mapInArrow(_block_links(THRESHOLD), "a long, b long, n long"), "full-links")
     return found.where("a <> b").select("a", "b").distinct(), found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -289,7 +300,7 @@ def _counted(points: DataFrame, linked: DataFrame, parts: DataFrame, k: int) ->
     """(id, n): the weights of the points' links; listed ones, or all of the component where a list was full."""
     weights = points.select(F.col("id").alias("b"), "weight")
     both = linked.select("a", "b").union(linked.select("b", "a")).toDF("a", "b").distinct()
-    saturated = materialize(linked.groupBy("a").count().where(F.col("count") >= k).select("a"), "descent-saturated")
+    saturated = materialize(linked.groupBy("a").count().where(F.col("count") >= k * ENLARGED).select("a"), "descent-saturated")
     # a neighbour of a saturated point may be short of links too: all members of such components are counted in full
     in_full = parts.join(parts.join(saturated.toDF("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("a"))
     in_full = materialize(in_full, "descent-in-full")
@@ -303,9 +314,10 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
     rows = materialize(rows.mapInArrow(_points, "vec_id long, label string, key binary, unit binary"), "descent-rows")
     able = rows.where("key IS NOT NULL")
     points = able.groupBy("key").agg(
-        F.min("vec_id").alias("id"), F.first("label").alias("label"), F.first("unit").alias("unit"), F.count_distinct("vec_id").alias("weight")
+        F.min("vec_id").alias("name"), F.first("label").alias("label"), F.first("unit").alias("unit"), F.count_distinct("vec_id").alias("weight")
     )
-    points = materialize(points.dropDuplicates(["id"]), "descent-points")
+    # numbers of our own, fixed once written: rows that share a vec_id are different points
+    points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "descent-points")
     for attempt, k in enumerate((K, 2 * K, 4 * K)):
         graph = neighbour_graph(points, k, attempt)
         linked = graph.where(F.col("sim") >= THRESHOLD)
@@ -322,11 +334,10 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
         parts = materialize(connected_components(rest.union(full)), "descent-parts")
         counts = materialize(counts.join(others, "id", "left_semi").union(full_counts), "descent-counts")
         audited = audit_recall(points, parts, counts)
-    named = (
-        points.select("key", "id", "weight")
-        .join(counts, "id", "left")
-        .join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select(F.col("key").alias("own_key"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = points.select("key", "id", "name", "weight").join(counts, "id", "left").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+    lowest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("name").alias("lowest"))  # the smallest vec_id of each component
+    named = named.join(lowest, "component", "left").select(
+        F.col("key").alias("own_key"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "name").alias("component")
     )
     out = rows.select("vec_id", "key").join(named, F.col("key") == F.col("own_key"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), _recall(audited)

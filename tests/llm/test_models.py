@@ -206,3 +206,18 @@ def test_what_the_graph_misses_is_compared_in_full(spark, monkeypatch):
     parts = components_of(want, links)
     assert recall == 1 and len(set(parts.values())) < 100
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == {i: (want[i], parts[i]) for i in want}
+
+
+def test_rows_of_one_vec_id_are_points_of_their_own(spark):
+    rows = [(1, 1, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 1, [0.0, 1.0, 0.001]), (3, 1, [0.0, 0.0, 1.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS))[0].collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_full_lists_are_enlarged(spark):
+    made = np.random.default_rng(11)
+    middle = made.standard_normal(8)
+    rows = [(k, 1, (middle + 0.01 * made.standard_normal(8)).tolist()) for k in range(30)]  # 29 links each: more than K, fewer than an enlarged list
+    points = spark.createDataFrame([(r[0], "1", (lambda v: v / np.linalg.norm(v))(np.array(r[2])).tobytes(), 1) for r in rows], "id long, label string, unit binary, weight long")
+    graph = neighbours.neighbour_graph(points).groupBy("a").count().collect()
+    assert {r["count"] for r in graph} == {29}
