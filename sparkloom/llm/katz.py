@@ -1,23 +1,28 @@
-"""LM scoring by Katz backoff, order 2.
-
-P(w | v) is the Good-Turing discounted count ratio d(c) * c(v, w) / c(v) where the pair was seen in training, else
-alpha(v) * P(w); P(w) is the discounted unigram ratio, or the mass that discounting leaves for a word that training
-doesn't have (one class). Discounts are Katz's for counts up to 5; larger counts, and any count whose discount isn't
-between 0 and 1, are discounted by a thousandth only, so that every history keeps some mass for new words. alpha(v) is
-exact: (1 - sum of P(w | v) over the seen w) / (1 - sum of their P(w)), so every history's distribution adds up to 1.
-
-How it runs. Documents are taken in chunks of about a million tokens. A chunk sends each of its distinct pairs once, with its
-training count, to the partition of the pair's word; there the counts of all chunks are added up and each chunk is sent
-back the totals of its own pairs, in its own order. So a word or pair, however frequent, is one entry per chunk, and
-nothing is gathered by word and document. What the partitions hold is written as tables in the shared folder, partitioned by kind:
-pair and word counts, each history's count classes (for alpha), counts of counts, the answers to the chunks and the chunks'
-states. Then each chunk evaluates its tokens by their totals and asks for alpha of the histories of its unseen pairs in the
-same way.
+"""LM scoring by Katz backoff, of any order (`ORDER` unless told otherwise).
+
+P(w | h) is the Good-Turing discounted count ratio d(c) * c(h, w) / c(h) where the n-gram (h, w) was seen in training, else
+alpha(h) * P(w | h'), with h' the history without its first word, and so on down to P(w): the discounted unigram ratio, or
+the mass that discounting leaves for a word that training doesn't have (one class). A history that training doesn't have
+leaves the word to h'. Discounts are Katz's for counts up to 5, by order; larger counts, and any count whose discount isn't
+between 0 and 1, are discounted by a thousandth only, so that every history keeps some mass for new words. alpha(h) is
+exact: (1 - sum of P(w | h) over the seen w) / (1 - sum of their P(w | h')), so every history's distribution adds up to 1.
+Histories before a text's first word are filled up with a start mark.
+
+How it runs. Documents are taken in chunks of about a million tokens. A chunk sends each of its distinct n-grams once, with
+its training count, to the partition of the n-gram's hash; there the counts of all chunks are added up, each chunk is sent
+back the totals of its own n-grams, in their order, and one of the chunks that have it in training owns it. So an n-gram,
+however frequent, is one entry per chunk, a frequent word's pairs lie in all partitions, and nothing is gathered by word or
+document. Next, each chunk evaluates its tokens from the longest history down, writes the rows (order, history, word, count)
+of the n-grams that it owns and, added up by history, their classes (how many of these n-grams, and of the shorter ones
+that they end in, were seen once, twice, ...), and asks for alpha of the histories that its unseen n-grams back off from.
+Partitions of histories add up the classes and answer. All of it is written as tables in the shared folder, partitioned by
+kind; a history or word is there as its 64-bit hash.
 
 A chunk's state and what it asks come from one reading and are written by one job, so no later reading has to deal the
 documents alike. Tasks of that job may be repeated: rows must come from files (as the query's do), else they are written to
-the shared folder first. Null texts are empty: they have the end token only. A null doc_id is learned from.
-Repeated rows are learned from and scored each. Other columns are ignored.
+the shared folder first. Null texts are empty: they have the end token only. A null doc_id is learned from. Very long texts
+are scored whole, in a chunk of their own if need be. Repeated rows are learned from and scored each; there are no ties.
+Other columns are ignored. Without training rows every word is unknown.
 """
 
 from __future__ import annotations
@@ -36,13 +41,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize, slices, table
 
+ORDER = 2
 KEEP = 5
 SLIGHT = 1e-3
 CHUNK_TOKENS = 1_000_000
 #: Bytes of text for each partition of the model.
 PARTITION_BYTES = 24_000_000
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
-_ROWS = "kind string, part int, chunk long, data binary"
+_ROWS = "kind string, level int, part int, chunk long, data binary, history long, word long, n long"
+_KINDS = {"kind": pa.string(), "level": pa.int32(), "part": pa.int32(), "chunk": pa.int64(), "data": pa.binary(), "history": pa.int64(), "word": pa.int64(), "n": pa.int64()}
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -72,67 +79,66 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def part_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
-
-
-class Chunk:
-    """Some documents' tokens: their distinct pairs in order of (word, history), and which of these each token is."""
-
-    def __init__(self, ids: list, held: list[bool], words: list[np.ndarray]):
-        self.ids, self.held = ids, np.array(held, dtype=bool)
-        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
-        w = np.concatenate(words)
-        first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        v = np.concatenate([[START], w[:-1]])
-        v[first] = START
-        order = np.lexsort((v, w))
-        sw, sv = w[order], v[order]
-        new = np.concatenate([[True], (sw[1:] != sw[:-1]) | (sv[1:] != sv[:-1])])
-        self.entry = np.empty(len(w), dtype=np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.w, self.v = sw[new], sv[new]
-        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
-        self.train = np.bincount(self.entry, weights=~self.held[self.doc], minlength=len(self.w)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], self.w[1:] != self.w[:-1]]))
-        self.words = self.w[starts]
-        self.pairs = np.diff(np.concatenate([starts, [len(self.w)]]))  # distinct pairs of each word
-
-    def asked(self, bits: int) -> Iterator[tuple[int, bytes]]:
-        """For each partition: words, how many pairs each has, the pairs' histories (as a list and indexes) and counts."""
-        total = np.add.reduceat(self.train, np.concatenate([[0], np.cumsum(self.pairs)[:-1]]))
-        ends = np.cumsum(self.pairs)
-        part = part_of(self.words, bits)
-        edge = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(part)], strict=True):
-            x, y = (ends[a - 1] if a else 0), ends[b - 1]
-            names, index = np.unique(self.v[x:y], return_inverse=True)
-            yield int(part[a]), pack(self.words[a:b], self.pairs[a:b], names, index, self.train[x:y], total[a:b])
-
-    def state(self) -> bytes:
-        """What is needed when the totals come back: also the hashes of words that follow-ups may ask for."""
-        word = np.repeat(np.arange(len(self.words)), self.pairs)[self.entry]
-        wanted = np.unique(word[self.held[self.doc]])
-        # by its word alone, a token takes half the bytes; entries are made of these again
-        by_size = np.argsort(-np.bincount(word, minlength=len(self.words)), kind="stable")
-        rank = np.empty(len(self.words), dtype=np.int64)
-        rank[by_size] = np.arange(len(self.words))
-        ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64).view(np.uint64)
-        null = np.array([i is None for i in self.ids], dtype=np.uint8)
-        return pack(ids, null, self.held.astype(np.uint8), self.sizes, rank[word], by_size, np.searchsorted(self.words, [START]), wanted, self.words[wanted])
-
-
-def entries(word: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-    """Which distinct pair each token is, in order of (word, history), from the words' places in order of their hashes;
-    start is how many words come before the start of a text."""
-    v = np.concatenate([[0], word[:-1]])
-    v = v + (v >= start)  # start's own place is free
-    v[first] = start
-    return np.unique(word * (int(word.max()) + 2) + v, return_inverse=True)[1]
-
-
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
-    """Chunks of a task's rows, with an id that no other chunk of the job has."""
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, which take fewer bytes."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Runs of ascending keys by partition: their highest bits."""
+    if len(keys):
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+        edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield int(part[a]), slice(a, b)
+
+
+def _joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a history followed by a word."""
+    with np.errstate(over="ignore"):
+        out = (history ^ (history >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F)
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def grams(words: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(keys, histories) by level from 1: of each token the hash of the n-gram that ends there, and of its history."""
+    keys, histories, start = [words], [np.zeros_like(words)], np.array([START])
+    for _ in range(2, order + 1):
+        history = np.concatenate([start, keys[-1][:-1]])
+        history[first] = start
+        keys.append(_joined(history, words))
+        histories.append(history)
+        start = _joined(start, np.array([START]))
+    return keys, histories
+
+
+def _firsts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def asked(ids: list, held: list[bool], words: list[np.ndarray], order: int, bits: int) -> Iterator[tuple]:
+    """What a chunk sends: for each level and partition its distinct n-grams with their training counts, and its state."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    tokens = np.concatenate(words)
+    train = np.repeat(~np.array(held, dtype=bool), sizes)
+    for level, keys in enumerate(grams(tokens, _firsts(sizes), order)[0], 1):
+        names, of = np.unique(keys, return_inverse=True)
+        counts = np.bincount(of, weights=train, minlength=len(names)).astype(np.int64)
+        for part, at in _parts(names, bits):
+            yield "ask", level, part, pack(_steps(names[at]), counts[at])
+    # tokens as ranks by frequency: most take a byte or two
+    names, of, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    by_count = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[by_count] = np.arange(len(names))
+    numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64).view(np.uint64)
+    null = np.array([i is None for i in ids], dtype=np.uint8)
+    yield "state", 0, -1, pack(numbers, null, np.array(held, dtype=np.uint8), sizes, rank[of], names[by_count])
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list]]:
+    """A task's rows in chunks, with an id that no other chunk of the job has."""
     seen: dict[bytes, int] = {}
     ids, held, words, size, n = [], [], [], 0, TaskContext.get().partitionId() << 32
     for batch in slices(batches):
@@ -149,78 +155,54 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
             ids.append(doc_id), held.append(out), words.append(np.array(own, dtype=np.uint64))
             size += len(own)
             if size >= CHUNK_TOKENS:
-                yield n, Chunk(ids, held, words)
+                yield n, ids, held, words
                 ids, held, words, size, n = [], [], [], 0, n + 1
     if ids:
-        yield n, Chunk(ids, held, words)
+        yield n, ids, held, words
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"kind": pa.string(), "part": pa.int32(), "chunk": pa.int64(), "data": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (kind, level, part, chunk, data)."""
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    some = [pa.array(c, t) for c, t in zip(columns, list(_KINDS.values())[:5], strict=True)]
+    return pa.RecordBatch.from_arrays([*some, *[pa.nulls(len(rows), pa.int64())] * 3], names=list(_KINDS))
 
 
-def _ask(bits: int):
+def _ask(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, chunk in chunks(batches):
-            yield _batch([*[("ask", p, n, data) for p, data in chunk.asked(bits)], ("state", -1, n, chunk.state())])
+        for n, ids, held, words in chunks(batches):
+            yield _blobs([(kind, level, part, n, data) for kind, level, part, data in asked(ids, held, words, order, bits)])
 
     return run
 
 
-def _classes(counts: np.ndarray, by: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each of n groups: how many of its counts are 1, 2, ... KEEP, and the sum of those above."""
-    out = [np.bincount(by[counts == r], minlength=n) for r in range(1, KEEP + 1)]
-    high = counts > KEEP
-    return [*out, np.bincount(by[high], weights=counts[high], minlength=n).astype(np.int64)]
-
-
-def _count(bits: int):
-    def run(group: pa.Table) -> pa.Table:
-        """One partition of words: totals of pairs and words, answers to chunks, classes by history, counts of counts. A
-        chunk's state passes through."""
-        if group["kind"][0].as_py() == "state":
-            return group.select(["kind", "part", "chunk", "data"])
-        part = group["part"][0].as_py()
-        rows = sorted(zip(group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True))
-        parts = [unpack(data) for _, data in rows]
-        words = np.concatenate([p[0] for p in parts])
-        names, which = np.unique(words, return_inverse=True)
-        c1 = np.bincount(which, weights=np.concatenate([p[5] for p in parts])).astype(np.int64)
-        of = np.split(which, np.cumsum([len(p[0]) for p in parts])[:-1])
-        w = np.concatenate([np.repeat(k, p[1]) for k, p in zip(of, parts, strict=True)]).astype(np.uint32)
-        v = np.concatenate([p[2][p[3]] for p in parts])
-        order = np.lexsort((v, w))
-        new = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (v[order][1:] != v[order][:-1])])
-        pair = np.empty(len(w), dtype=np.int64)
-        pair[order] = np.cumsum(new) - 1
-        pw, pv = w[order][new], v[order][new]
-        del order, v, w
-        c2 = np.bincount(pair, weights=np.concatenate([p[4] for p in parts])).astype(np.int64)
-        out = []
-        at = 0
-        for (chunk, _), p, k in zip(rows, parts, of, strict=True):
-            n = len(p[4])
-            out.append(("answer", part, chunk, pack(c2[pair[at : at + n]], c1[k])))
-            at += n
-        del pair
-        live = c2 > 0
-        pw, pv, c2 = pw[live], pv[live], c2[live]
-        known = c1 > 0
-        sizes = [np.bincount(np.minimum(c, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2] for c in (c2, c1)]
-        starts = c2[pv == START].sum()
-        out.append(("stats", part, 0, pack(*sizes, np.array([c1.sum(), known.sum(), starts]))))
-        out.append(("counts", part, 0, pack(names, c1, np.bincount(pw, minlength=len(names)), pv, c2)))
-        histories, by = np.unique(pv, return_inverse=True)
-        columns = [*_classes(c2, by, len(histories)), *_classes(c1[pw], by, len(histories))]
-        to = part_of(histories, bits)
-        edge = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b > a:
-                out.append(("history", int(to[a]), 0, pack(histories[a:b], *(c[a:b] for c in columns))))
-        return pa.Table.from_batches([_batch(out)])
-
-    return run
+def _received(group: pa.Table, *names: str) -> list[tuple]:
+    return sorted(zip(*(group[c].to_pylist() for c in (*names, "data")), strict=True), key=lambda r: r[:-1])
+
+
+def _count(group: pa.Table) -> pa.Table:
+    """One partition of n-grams of one level: totals, answers to the chunks, and counts of counts. A chunk's state passes
+    through."""
+    if group["kind"][0].as_py() == "state":
+        return group
+    level, part = group["level"][0].as_py(), group["part"][0].as_py()
+    rows = _received(group, "chunk")
+    parts = [unpack(data) for _, data in rows]
+    keys, of = np.unique(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), return_inverse=True)
+    train = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    total = np.bincount(of, weights=train).astype(np.int64)
+    live = np.flatnonzero(train)
+    owns = np.zeros(len(of), dtype=np.uint8)  # the first chunk that has it in training
+    owns[live[np.unique(of[live], return_index=True)[1]]] = 1
+    out, at = [], 0
+    for (chunk, _), p in zip(rows, parts, strict=True):
+        n = len(p[0])
+        out.append(("answer", level, part, chunk, pack(total[of[at : at + n]], owns[at : at + n])))
+        at += n
+    sizes = np.bincount(np.minimum(total, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2]
+    texts = total[keys == END].sum() if level == 1 else 0
+    out.append(("stats", level, part, 0, pack(sizes, np.array([total.sum(), (total > 0).sum(), texts]))))
+    return pa.Table.from_batches([_blobs(out)])
 
 
 def discounts(sizes: np.ndarray) -> np.ndarray:
@@ -238,92 +220,126 @@ def discounts(sizes: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What all chunks share: a few numbers."""
+    """What all chunks share, a few numbers: the discounts of each level, and how many tokens, words and texts there are."""
 
-    def __init__(self, pair_sizes: np.ndarray, word_sizes: np.ndarray, tokens: int, words: int, starts: int):
-        self.pair, self.word = discounts(pair_sizes), discounts(word_sizes)
-        self.tokens, self.words, self.starts = tokens, words, starts
+    def __init__(self, sizes: list[np.ndarray], tokens: int, words: int, texts: int):
+        self.order, self.discount = len(sizes), [discounts(s) for s in sizes]
+        self.tokens, self.words, self.texts = tokens, words, texts
         r = np.arange(1, KEEP + 1)
-        low = word_sizes[:KEEP] * r
-        seen = (low * self.word[1 : KEEP + 1]).sum() + (tokens - low.sum()) * self.word[KEEP + 1]
+        low = sizes[0][:KEEP] * r
+        seen = (low * self.discount[0][1 : KEEP + 1]).sum() + (tokens - low.sum()) * self.discount[0][KEEP + 1]
         self.unknown = 1 - seen / tokens if tokens else 1.0
 
-    def word_prob(self, c: np.ndarray) -> np.ndarray:
-        known = c * self.word[np.minimum(c, KEEP + 1)] / max(1, self.tokens)
-        return np.where(c > 0, known, self.unknown)
+    def held(self, level: int, counts: np.ndarray) -> np.ndarray:
+        """Discounted counts."""
+        return counts * self.discount[level - 1][np.minimum(counts, KEEP + 1)]
 
-    def alpha(self, pairs: list[np.ndarray], words: list[np.ndarray]) -> np.ndarray:
-        """From the classes of the counts after a history, and of its followers' own counts."""
+    def word_prob(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, self.held(1, counts) / max(1, self.tokens), self.unknown)
+
+    def alpha(self, level: int, own: list[np.ndarray], lower: list[np.ndarray], lower_total: np.ndarray) -> np.ndarray:
+        """From the classes of the counts after a history, those of the shorter n-grams, and the shorter history's count."""
         r = np.arange(1, KEEP + 1)
-        total = sum(p * k for p, k in zip(pairs[:KEEP], r, strict=True)) + pairs[KEEP]
-        held = sum(p * k * d for p, k, d in zip(pairs[:KEEP], r, self.pair[1 : KEEP + 1], strict=True)) + pairs[KEEP] * self.pair[KEEP + 1]
-        lower = sum(p * k * d for p, k, d in zip(words[:KEEP], r, self.word[1 : KEEP + 1], strict=True)) + words[KEEP] * self.word[KEEP + 1]
-        return (1 - held / total) / (1 - lower / max(1, self.tokens))
+
+        def summed(level: int, classes: list[np.ndarray]) -> np.ndarray:
+            d = self.discount[level - 1]
+            return sum(p * k * d[k] for p, k in zip(classes[:KEEP], r, strict=True)) + classes[KEEP] * d[KEEP + 1]
+
+        total = sum(p * k for p, k in zip(own[:KEEP], r, strict=True)) + own[KEEP]
+        return (1 - summed(level, own) / total) / (1 - summed(level - 1, lower) / lower_total)
+
+
+def _classes(counts: np.ndarray, by: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n groups: how many of its counts are 1, 2, ... KEEP, and the sum of those above."""
+    out = [np.bincount(by[counts == r], minlength=n) for r in range(1, KEEP + 1)]
+    high = counts > KEEP
+    return [*out, np.bincount(by[high], weights=counts[high], minlength=n).astype(np.int64)]
+
+
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(keys).view(np.int64))
 
 
 def _evaluate(model: Model, bits: int):
     def run(group: pa.Table) -> pa.Table:
-        """A chunk's state and the answers to it -> sums so far, and what it asks about histories."""
+        """A chunk's state and the answers to it -> sums so far, rows and classes of its own n-grams, and what it asks about
+        histories."""
         chunk = group["chunk"][0].as_py()
-        answers, state = [], None
-        for kind, part, data in zip(group["kind"].to_pylist(), group["part"].to_pylist(), group["data"].to_pylist(), strict=True):
-            if kind == "state":
-                state = unpack(data)
+        received = _received(group, "kind", "level", "part")
+        state = unpack(next(r[-1] for r in received if r[0] == "state"))
+        numbers, null, held, sizes, ranks, names = state
+        words, first = names[ranks], _firsts(sizes)
+        n, doc = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        keys, histories = grams(words, first, model.order)
+        out, tables, asks = [], [], []
+        value = below = None  # log10 of P at the level before, and the n-grams' counts there
+        backs: list[tuple[int, np.ndarray, np.ndarray]] = []
+        before_total = None
+        for level in range(1, model.order + 1):
+            answers = [unpack(data) for kind, at, _, data in received if kind == "answer" and at == level]
+            total = np.concatenate([a[0] for a in answers]).astype(np.int64)
+            distinct, at, of = np.unique(keys[level - 1], return_index=True, return_inverse=True)
+            own = np.flatnonzero(np.concatenate([a[1] for a in answers]))
+            count = total[of]
+            mine = at[own]  # a token of each n-gram that the chunk owns
+            tables.append(
+                pa.Table.from_arrays(
+                    [pa.array(["counts"] * len(own), pa.string()), pa.array(np.full(len(own), level, np.int32)), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()),
+                     _signed(histories[level - 1][mine]), _signed(words[mine]), pa.array(total[own])], names=list(_KINDS),
+                )
+            )
+            if level == 1:
+                value, known = np.log10(model.word_prob(count)), count > 0
+                base = np.bincount(doc, weights=np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1))), minlength=n)
             else:
-                answers.append((part, unpack(data)))
-        answers.sort(key=lambda x: x[0])
-        ids, null, held, sizes, ranks, by_size, start, wanted, hashes = state
-        word = by_size.astype(np.int64)[ranks]
-        c1 = np.concatenate([a[1] for _, a in answers]).astype(np.int64)[word]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1].astype(np.int64)]).astype(np.int64)
-        c2 = np.concatenate([a[0] for _, a in answers]).astype(np.int64)[entries(word, first, int(start[0]))]
-        before, before_word = np.roll(c1, 1), np.roll(word, 1)
-        before[first], before_word[first] = model.starts, -1
-        seen = c2 > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            high = np.log10(c2 * model.pair[np.minimum(c2, KEEP + 1)] / before)
-        value = np.where(seen, high, np.log10(model.word_prob(c1)))
-        n = len(sizes)
-        total = np.bincount(doc, weights=value, minlength=n)
-        base = np.bincount(doc, weights=np.log10((c1 + 0.5) / (model.tokens + 0.5 * (model.words + 1))), minlength=n)
-        known = np.bincount(doc, weights=c1 > 0, minlength=n).astype(np.int64)
-        back = np.flatnonzero(~seen & (before > 0))
-        asked = np.unique(before_word[back])
-        own = np.where(asked < 0, START, hashes[np.minimum(np.searchsorted(wanted, np.maximum(asked, 0)), max(0, len(wanted) - 1))] if len(wanted) else START)
-        order = np.argsort(own)
-        place = np.empty(len(asked), dtype=np.int64)
-        place[order] = np.arange(len(asked))
-        own = own[order]
-        spot = place[np.searchsorted(asked, before_word[back])]
-        out = [("state", -1, chunk, pack(ids, null, held, sizes, known, base, total, doc[back], spot))]
-        to = part_of(own, bits)
-        edge = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
-        out += [("ask", int(to[a]), chunk, pack(own[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a]
-        return pa.Table.from_batches([_batch(out)])
+                history_total = np.concatenate([[0], below[:-1]])
+                history_total[first] = model.texts
+                seen = count > 0
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value = np.where(seen, np.log10(model.held(level, count) / history_total), value)
+                # a longer n-gram that is seen leaves nothing to this level
+                backs = [(l, k[~seen[k]], t[~seen[k]]) for l, k, t in backs]
+                short = np.flatnonzero(~seen & (history_total > 0))
+                lower_total = np.full(len(short), max(1, model.tokens)) if level == 2 else before_total[short]
+                backs.append((level, short, lower_total))
+                before_total = history_total
+                names_of, by = np.unique(histories[level - 1][mine], return_inverse=True)
+                columns = [*_classes(total[own], by, len(names_of)), *_classes(below[mine], by, len(names_of))]
+                out += [("history", level, part, chunk, pack(_steps(names_of[s]), *(c[s] for c in columns))) for part, s in _parts(names_of, bits)]
+            below = count
+        for level, at, lower_total in backs:
+            wanted, one, spot = np.unique(histories[level - 1][at], return_index=True, return_inverse=True)
+            asks += [doc[at], spot]
+            out += [("ask", level, part, chunk, pack(_steps(wanted[s]), lower_total[one][s])) for part, s in _parts(wanted, bits)]
+        sums = np.bincount(doc, weights=value, minlength=n)
+        out.append(("state", 0, -1, chunk, pack(numbers, null, held, sizes, np.bincount(doc, weights=known, minlength=n).astype(np.int64), base, sums, *asks)))
+        return pa.concat_tables([pa.Table.from_batches([_blobs(out)]), *tables])
 
     return run
 
 
 def _back_off(model: Model):
     def run(group: pa.Table) -> pa.Table:
-        """One partition of histories: their classes added up, and log10 of alpha sent to the chunks that ask."""
-        part, asks, parts = group["part"][0].as_py(), [], []
-        for kind, chunk, data in zip(group["kind"].to_pylist(), group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True):
-            if kind == "ask":
-                asks.append((chunk, unpack(data)[0]))
-            else:
-                parts.append(unpack(data))
-        wanted = np.unique(np.concatenate([h for _, h in asks])) if asks else np.empty(0, dtype=np.uint64)
+        """One partition of histories of one level: their classes added up, and log10 of alpha for the chunks that ask."""
+        level, part = group["level"][0].as_py(), group["part"][0].as_py()
+        received = _received(group, "kind", "chunk")
+        asks = [(chunk, np.cumsum(own, dtype=np.uint64), total) for kind, chunk, data in received if kind == "ask" for own, total in [unpack(data)]]
+        if not asks:
+            return pa.Table.from_batches([_blobs([])])
+        wanted, one = np.unique(np.concatenate([k for _, k, _ in asks]), return_index=True)
+        lower_total = np.concatenate([t for *_, t in asks])[one].astype(np.int64)
         sums = [np.zeros(len(wanted), dtype=np.int64) for _ in range(2 * KEEP + 2)]
-        for own, *columns in parts:
-            at = np.minimum(np.searchsorted(wanted, own), max(0, len(wanted) - 1))
-            hit = wanted[at] == own if len(wanted) else np.zeros(len(own), dtype=bool)
-            for s, c in zip(sums, columns, strict=True):
-                np.add.at(s, at[hit], c[hit].astype(np.int64))
-        value = np.log10(model.alpha(sums[: KEEP + 1], sums[KEEP + 1 :])) if len(wanted) else np.empty(0)
-        rows = [("alpha", part, chunk, pack(value[np.searchsorted(wanted, h)])) for chunk, h in sorted(asks, key=lambda x: x[0])]
-        return pa.Table.from_batches([_batch(rows)])
+        for kind, _, data in received:
+            if kind == "history":
+                own, *columns = unpack(data)
+                own = np.cumsum(own, dtype=np.uint64)
+                at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                hit = wanted[at] == own
+                for s, c in zip(sums, columns, strict=True):
+                    s[at[hit]] += c[hit].astype(np.int64)  # a chunk has each history once
+        value = np.log10(model.alpha(level, sums[: KEEP + 1], sums[KEEP + 1 :], lower_total))
+        rows = [("alpha", level, part, chunk, pack(value[np.searchsorted(wanted, k)])) for chunk, k, _ in asks]
+        return pa.Table.from_batches([_blobs(rows)])
 
     return run
 
@@ -332,18 +348,15 @@ _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 
 
 def _finish(group: pa.Table) -> pa.Table:
-    alphas, state = [], None
-    for kind, part, data in zip(group["kind"].to_pylist(), group["part"].to_pylist(), group["data"].to_pylist(), strict=True):
-        if kind == "state":
-            state = unpack(data)
-        else:
-            alphas.append((part, unpack(data)[0]))
-    ids, null, held, sizes, known, base, total, doc, spot = state
-    if alphas:
-        total = total + np.bincount(doc, weights=np.concatenate([a for _, a in sorted(alphas, key=lambda x: x[0])])[spot], minlength=len(sizes))
+    received = _received(group, "kind", "level", "part")
+    numbers, null, held, sizes, known, base, total, *asks = unpack(next(r[-1] for r in received if r[0] == "state"))
+    for level, (doc, spot) in enumerate(zip(asks[::2], asks[1::2], strict=True), 2):
+        found = [unpack(data)[0] for kind, at, _, data in received if kind == "alpha" and at == level]
+        if found:
+            total = total + np.bincount(doc, weights=np.concatenate(found)[spot], minlength=len(sizes))
     return pa.table(
         {
-            "doc_id": pa.array(ids.astype(np.uint64).view(np.int64), mask=null.astype(bool)),
+            "doc_id": pa.array(numbers.astype(np.uint64).view(np.int64), mask=null.astype(bool)),
             "held_out": pa.array(held.astype(bool)),
             "n_tokens": pa.array(sizes.astype(np.int64)),
             "n_known": pa.array(known.astype(np.int64)),
@@ -353,27 +366,30 @@ def _finish(group: pa.Table) -> pa.Table:
     )
 
 
-def score_documents(docs: DataFrame, from_files: bool = False) -> tuple[DataFrame, Model, DataFrame]:
-    """docs(doc_id, text, held_out) -> (scores of every row, the shared numbers, the model's tables: a blob a partition)."""
+def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = False) -> tuple[DataFrame, Model, DataFrame]:
+    """docs(doc_id, text, held_out) -> (scores of every row, the shared numbers, the counts (level, history, word, n); at
+    level 1 the history is 0)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     if not from_files:
         rows = materialize(rows, "katz-rows")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / PARTITION_BYTES))))
     # a partition's asks are one group, and each state is one of its own
-    own = F.when(F.col("kind") == "state", F.col("chunk")).alias("own")
-    counted = rows.mapInArrow(_ask(bits), _ROWS).groupBy("part", own).applyInArrow(_count(bits), _ROWS)
-    counted = materialize(counted, "katz-counts", ("kind",)).select("kind", "part", "chunk", "data")
-    pairs, words, sums = np.zeros(KEEP + 1, dtype=np.int64), np.zeros(KEEP + 1, dtype=np.int64), np.zeros(3, dtype=np.int64)
-    for r in counted.where("kind = 'stats'").select("data").toLocalIterator():  # a few numbers a partition
-        own = unpack(bytes(r["data"]))
-        pairs, words, sums = pairs + own[0].astype(np.int64), words + own[1].astype(np.int64), sums + own[2].astype(np.int64)
-    model = Model(pairs, words, *(int(x) for x in sums))
-    asked = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
-    asked = materialize(asked, "katz-chunks", ("kind",)).select("kind", "part", "chunk", "data")
-    alphas = counted.where("kind = 'history'").union(asked.where("kind = 'ask'")).groupBy("part").applyInArrow(_back_off(model), _ROWS)
-    scores = asked.where("kind = 'state'").union(alphas).groupBy("chunk").applyInArrow(_finish, _RESULT)
-    return scores, model, counted.where("kind IN ('counts', 'history', 'stats')")
+    own = F.struct("level", "part", F.when(F.col("kind") == "state", F.col("chunk")).alias("own"))
+    counted = rows.mapInArrow(_ask(order, bits), _ROWS).groupBy(own).applyInArrow(_count, _ROWS)
+    counted = materialize(counted, "katz-totals", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
+    sizes, sums = [np.zeros(KEEP + 1, dtype=np.int64) for _ in range(order)], np.zeros(3, dtype=np.int64)
+    for r in counted.where("kind = 'stats'").select("level", "data").toLocalIterator():  # a few numbers a partition
+        some, totals = unpack(bytes(r["data"]))
+        sizes[r["level"] - 1] += some.astype(np.int64)
+        if r["level"] == 1:
+            sums += totals.astype(np.int64)
+    model = Model(sizes, *(int(x) for x in sums))
+    judged = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
+    judged = materialize(judged, "katz-chunks", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
+    alphas = judged.where("kind IN ('history', 'ask')").groupBy(F.struct("level", "part")).applyInArrow(_back_off(model), _ROWS)
+    scores = judged.where("kind = 'state'").union(alphas).groupBy("chunk").applyInArrow(_finish, _RESULT)
+    return scores, model, judged.where("kind = 'counts'").select("level", "history", "word", "n")
 
 
 def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from helpers import SF
 from llm.fixtures import DOCS, components_of, prose, vocabulary
 from pyspark.sql import functions as F
@@ -49,16 +50,23 @@ def test_language_learns_nothing_from_held_out_rows(spark):
     assert "xx" not in got
 
 
-def katz_by_hand(train: list[list[str]], texts: list[list[str]]):
-    """Log10 probability of each text by dictionaries, and each history's sum over all words and the unknown one."""
-    pairs, words = Counter(), Counter()
-    for t in train:
-        words.update([*t, "</s>"])
-        pairs.update(zip(["<s>", *t], [*t, "</s>"], strict=True))
-    n, tokens = Counter(), sum(words.values())
+def katz_by_hand(train: list[list[str]], texts: list[list[str]], order: int):
+    """Log10 probability of each text by dictionaries and recursion, and some histories' sums over all words and the
+    unknown one."""
 
-    def discount(counts: Counter) -> dict[int, float]:
-        sizes = Counter(counts.values())
+    def grams(text: list[str], n: int):
+        padded = ["<s>"] * (n - 1) + [*text, "</s>"]
+        return [tuple(padded[k : k + n]) for k in range(len(text) + 1)]
+
+    counts = [Counter(g for t in train for g in grams(t, n)) for n in range(1, order + 1)]
+    after = [defaultdict(dict) for _ in counts]
+    for n, c in enumerate(counts):
+        for g, r in c.items():
+            after[n][g[:-1]][g[-1]] = r
+    tokens, words = sum(counts[0].values()), {g[0] for g in counts[0]}
+
+    def discount(found: Counter) -> dict[int, float]:
+        sizes = Counter(found.values())
         out = defaultdict(lambda: 1 - katz.SLIGHT)
         if sizes[1]:
             top = (katz.KEEP + 1) * sizes[katz.KEEP + 1] / sizes[1]
@@ -69,43 +77,49 @@ def katz_by_hand(train: list[list[str]], texts: list[list[str]]):
                         out[r] = d
         return out
 
-    d2, d1 = discount(pairs), discount(words)
-    for (v, _), c in pairs.items():
-        n[v] += c
-    unigram = {w: c * d1[c] / tokens for w, c in words.items()}
-    unknown = 1 - sum(unigram.values())
-    after = defaultdict(dict)
-    for (v, w), c in pairs.items():
-        after[v][w] = c * d2[c] / n[v]
-    alpha = {v: (1 - sum(x.values())) / (1 - sum(unigram[w] for w in x)) for v, x in after.items()}
+    d = [discount(c) for c in counts]
+    unknown = 1 - sum(c * d[0][c] / tokens for c in counts[0].values())
 
-    def prob(v: str, w: str) -> float:
-        if w in after.get(v, ()):
-            return after[v][w]
-        return alpha.get(v, 1.0) * unigram.get(w, unknown)
+    def prob(history: tuple, w: str) -> float:
+        n, own = len(history), after[len(history)].get(history, {})
+        if w in own:
+            return own[w] * d[n][own[w]] / sum(own.values())
+        if not n:
+            return unknown
+        if not own:
+            return prob(history[1:], w)
+        return (1 - sum(prob(history, x) for x in own)) / (1 - sum(prob(history[1:], x) for x in own)) * prob(history[1:], w)
 
-    scores = [sum(math.log10(prob(v, w)) for v, w in zip(["<s>", *t], [*t, "</s>"], strict=True)) for t in texts]
-    sums = [sum(prob(v, w) for w in words) + alpha[v] * unknown for v in after]
-    base = [sum(math.log10((words[w] + 0.5) / (tokens + 0.5 * (len(words) + 1))) for w in [*t, "</s>"]) for t in texts]
-    return scores, sums, base, words, tokens
+    scores = [sum(math.log10(prob(g[:-1], g[-1])) for g in grams(t, order)) for t in texts]
+    sums = [sum(prob(h, w) for w in words) + prob(h, "never seen") for h in list(after[-1])[:40]]
+    base = [sum(math.log10((counts[0][w,] + 0.5) / (tokens + 0.5 * (len(words) + 1))) for w in [*t, "</s>"]) for t in texts]
+    return scores, sums, base, counts, tokens
 
 
-def test_katz_scores_are_those_of_dictionaries(spark, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_scores_are_those_of_dictionaries(spark, monkeypatch, order):
     made = random.Random(8)
     words = vocabulary(8, 40)
     rows = [(n, " ".join(prose(made, words[: 10 + n % 30], made.randint(0, 60))), n % 4 == 1) for n in range(60)]
     rows += [(60, None, False), (61, "neverseen before THIS", True), (62, "", True), (None, words[0].upper(), False), (3, rows[3][1], False)]
+    rows += [(63, " ".join(prose(made, words, 5000)), True)]  # longer than a chunk
     monkeypatch.setattr(katz, "PARTITION_BYTES", 2000)  # several partitions
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 300)
     df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumn("chunk", F.lit("clash")).repartition(4)
-    scores, model, tables = katz.score_documents(df)
-    assert tables.count() > 0
+    scores, model, tables = katz.score_documents(df, order)
     texts = [(t or "").lower().split() for _, t, _ in rows]
-    want, sums, base, counts, tokens = katz_by_hand([t for t, r in zip(texts, rows, strict=True) if not r[2]], texts)
+    want, sums, base, counts, tokens = katz_by_hand([t for t, r in zip(texts, rows, strict=True) if not r[2]], texts, order)
     assert np.allclose(sums, 1)
-    assert (model.tokens, model.words) == (tokens, len(counts))
+    assert (model.tokens, model.words, model.order) == (tokens, len(counts[0]), order)
     got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in scores.collect())
-    known = [sum(counts[w] > 0 for w in [*t, "</s>"]) for t in texts]
+    known = [sum(counts[0][w,] > 0 for w in [*t, "</s>"]) for t in texts]
     assert got == sorted((str(r[0]), r[2], len(t) + 1, k, round(b, 6), round(s, 6)) for r, t, k, b, s in zip(rows, texts, known, base, want, strict=True))
+    # the counts are rows, each n-gram once
+    for level, own in enumerate(counts, 1):
+        held = tables.where(f"level = {level}")
+        assert held.count() == held.distinct().count() == len(own)
+        assert sorted(r["n"] for r in held.collect()) == sorted(own.values())
+        assert sorted(r["s"] for r in held.groupBy("history").agg(F.sum("n").alias("s")).collect()) == sorted(Counter(t for g, c in own.items() for t in [g[:-1]] * c).values())
 
 
 def test_katz_without_rows_or_training(spark):
