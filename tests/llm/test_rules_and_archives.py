@@ -45,20 +45,35 @@ def test_license_scan_finds_places_and_notices(spark):
 def test_license_pairs_are_those_of_brute_force(spark):
     made = random.Random(9)
     words = vocabulary(9, 30)
-    templates = {f"t{k}": " ".join(made.sample(words, made.randint(1, 8))) for k in range(12)}
+    templates = {f"t{k}": " ".join(made.sample(words, made.randint(1, 20))) for k in range(14)}
     rows = [(n, "\n".join(" ".join(prose(made, words, made.randint(0, 20))) for _ in range(5))) for n in range(60)]
-    got = {(r["doc_id"], r["line_no"], r["label"], r["shared"]) for r in license_scan.containment_join(spark.createDataFrame(rows, "doc_id long, text string"), templates, 0.6).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = license_scan.token_order(df, sorted({w for t in templates.values() for w in t.split()}))
+    ranked = license_scan.ranked_templates(templates, order, 0.6)
+    blocked = df.select("doc_id", F.explode(license_scan.blocks(license_scan.words(F.col("text")), order, ranked)).alias("b")).select("doc_id", "b.*")
+    got = {(r["doc_id"], r["block"], r["label"], r["shared"]) for r in license_scan.containment_join(blocked, ranked).collect()}
     want = set()
     for n, text in rows:
-        for k, line in enumerate(text.split("\n")):
-            for label, t in templates.items():
-                own = set(t.split())
-                shared = len(own & set(line.split()))
+        held = text.split()
+        for label, t in templates.items():
+            own, c = set(t.split()), license_scan.length_class(t)
+            for k in range(0, -(-len(held) // c)):
+                shared = len(own & set(held[k * c : k * c + 2 * c]))
                 if shared >= 0.6 * len(own) - 1e-9:
                     want.add((n, k, label, shared))
     assert got == want and len(want) > 50
 
 
+def test_wrapped_notices_and_rows_of_one_doc_id(spark):
+    mit = license_scan.TEMPLATES["mit-text"].split()
+    wrapped = "\n".join(" * " + " ".join(mit[k : k + 9]) for k in range(0, len(mit), 9))
+    rows = [(1, "Redistribution and use in source and binary forms, with or without\n * modification, are permitted"), (2, "x " * 40 + wrapped), (2, "plain words only"), (None, "Released under\nthe MIT License"), (None, "")]
+    rows += [(3, "word " * 200_000 + "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0." + " word" * 1000)]
+    got = sorted(((str(r["doc_id"]), r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [("1", "bsd-redistribution", 1.0), ("2", "", 0.0), ("2", "mit-permission,mit-text", 1.0), ("3", "mpl-2.0", 1.0), ("None", "", 0.0), ("None", "mit", 1.0)]
+    assert {r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates={}).collect()} == {""}
+
+
 def test_url_rules_win_by_length_on_hosts_and_subdomains(spark):
     rows = [
         (1, "http://a.Example.COM/en/7x?q#f"), (2, "http://example.com/en/8"), (3, "https://notexample.com/en/7"), (4, "https://example.net/de/81"),
