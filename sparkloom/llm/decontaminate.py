@@ -2,22 +2,24 @@
 
 Words are lower-cased, with punctuation at either end off. Documents and test items that share a run of `min_match`
 words (a seed) are joined by it, and each such pair is tiled: the longest match of words not marked yet is marked in
-both, again and again, until none of `min_match` words is left. Matches of one length come from running Karp-Rabin
-hashes over the unmarked stretches. The tiles' words over the item's words are its coverage, so a passage whose parts
-stand in another order is covered like one in order.
-
-Test items are held in blocks of at most `BLOCK_BYTES` of text (one block, for benchmarks of usual size); all documents
-pass each block, so what is sent to the executors has a bound whatever the size of the benchmark. Documents are read
-whole and never shuffled: a pair is tiled where the document is.
-
-Null or empty texts, and items of fewer than `min_match` words, match nothing (an item that short is matched as a whole
-by its own words in a row). Equal items are tiled each; repeated rows are judged each. Ties of length go to the match
-that is first in the item, then first in the document.
+both, again and again, until none of `min_match` words is left. Lengths are found by running Karp-Rabin hashes over the
+unmarked stretches. The tiles' words over the item's words are its coverage, so a passage whose parts stand in another order
+is covered like one in order.
+
+Seeds are rows and are joined by their hash, whatever the size of the benchmark. Before that, a bitmap of `FILTER_BITS` bits
+of the items' seeds, made in Spark and of that size always, goes to the tasks that read the documents; only texts with a seed
+in it leave them, with the stretches of words that lie in such seeds (all that a tile can have). A bitmap that a large
+benchmark fills lets more through, and the join decides. So documents are read once, whole, and never shuffled.
+
+Null or empty texts, and items without words, match nothing; an item of fewer than `min_match` words is matched as a whole
+by its own words in a row. Very long texts cost time in proportion to their length for each tile, also where one word
+repeats. Equal items are tiled each; rows of one doc_id are told apart by their texts, equal rows are judged once. Ties of
+length go to the match that is first in the item, then first in the document; of items covered alike the smallest item_id
+is named. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from sparkloom.llm.common import materialize, slices, table, whole_rows
 
 MIN_MATCH = 5
 COVERAGE = 0.8
-BLOCK_BYTES = 8_000_000
-COLUMNS = ["doc_id", "row_key", "item_id", "item_words", "covered_words", "tiles", "longest", "coverage"]
+FILTER_BITS = 1 << 25
+#: Bits of the bitmap that one row of it holds.
+_ROW_BITS = 1 << 15
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -53,139 +57,197 @@ def hashed(words: list[str], seen: dict[str, int]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**n, modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base]) <= n:
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n + 64, base, dtype=np.uint64))])
+    return _POWERS[base][: n + 1]
+
+
+class Running:
+    """Karp-Rabin hashes, modulo 2**64, of every run of a text, from one pass of sums."""
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * _powers(_INVERSE, self.n)[: self.n])])
+
+    def of(self, size: int) -> np.ndarray:
+        if size > self.n:
+            return np.empty(0, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            return (self.sums[size:] - self.sums[:-size]) * _powers(_BASE, self.n)[size - 1 : self.n]
+
+
 def running(values: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of every run of `size` words, modulo 2**64."""
-    n = len(values) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            out = out * _BASE + values[k : k + n]
-    return out
+    """Karp-Rabin hashes of every run of `size` words."""
+    return Running(values).of(size)
+
+
+def _free_starts(free: np.ndarray, size: int) -> np.ndarray:
+    whole = np.concatenate([[0], np.cumsum(~free)])
+    return np.flatnonzero(whole[size:] == whole[:-size]) if len(free) >= size else np.empty(0, dtype=np.int64)
 
 
 def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (start in item, start in doc, length), longest first."""
     free_i, free_d = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)
-    tiles = []
-    while True:
-        # seeds of min_match words in unmarked stretches, extended to the right as far as both are free and equal
-        places = defaultdict(list)
-        for j in _free_runs(free_d, running(doc, min_match), min_match):
-            places[j[1]].append(j[0])
-        best, found = min_match - 1, []
-        for i, h in _free_runs(free_i, running(item, min_match), min_match):
-            for j in places.get(h, ()):
-                n = _extend(item, doc, free_i, free_d, i, j)
-                if n > best:
-                    best, found = n, [(i, j)]
-                elif n == best and n >= min_match:
-                    found.append((i, j))
-        if best < min_match:
-            return tiles
-        for i, j in found:  # those that an earlier tile of this round touches wait for the next
-            if free_i[i : i + best].all() and free_d[j : j + best].all():
-                free_i[i : i + best] = free_d[j : j + best] = False
-                tiles.append((i, j, best))
-
-
-def _free_runs(free: np.ndarray, hashes: np.ndarray, size: int) -> list[tuple[int, int]]:
-    if not len(hashes):
-        return []
-    whole = np.cumsum(np.concatenate([[0], ~free]))
-    at = np.flatnonzero(whole[size:] == whole[:-size])
-    return list(zip(at.tolist(), hashes[at].tolist(), strict=True))
-
-
-def _extend(item, doc, free_i, free_d, i: int, j: int) -> int:
-    n = min(len(item) - i, len(doc) - j)
-    good = (item[i : i + n] == doc[j : j + n]) & free_i[i : i + n] & free_d[j : j + n]
-    return n if good.all() else int(np.argmin(good))
-
-
-def _matcher(items: list[tuple[int, str]], min_match: int):
+    in_item, in_doc, tiles = Running(item), Running(doc), []
+
+    def shared(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of unmarked runs of that size in both, and their hashes, where both have the hash."""
+        i, j = _free_starts(free_i, size), _free_starts(free_d, size)
+        hi, hj = in_item.of(size)[i], in_doc.of(size)[j]
+        a, b = np.isin(hi, hj), np.isin(hj, hi)
+        return i[a], hi[a], j[b], hj[b]
+
+    longest = min(len(item), len(doc))
+    while longest >= min_match:
+        low, high = min_match - 1, longest  # a match of n words holds one of n - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(shared(middle)[0]) else (low, middle - 1)
+        if low < min_match:
+            break
+        i, hi, j, hj = shared(low)
+        order = np.argsort(hj, kind="stable")
+        places, begins, ends = j[order], np.searchsorted(hj[order], hi), np.searchsorted(hj[order], hi, side="right")
+        at: dict[int, int] = {}  # by run: the first place in the document that may be unmarked yet
+        for start, begin, end in zip(i.tolist(), begins.tolist(), ends.tolist(), strict=True):
+            if not free_i[start : start + low].all():
+                continue  # an earlier tile of this round touches it: it waits for the next
+            for k in range(at.get(begin, begin), end):
+                place, at[begin] = int(places[k]), k + 1
+                if free_d[place : place + low].all() and (item[start : start + low] == doc[place : place + low]).all():
+                    free_i[start : start + low] = free_d[place : place + low] = False
+                    tiles.append((start, place, low))
+                    break
+        longest = low - 1
+    return tiles
+
+
+def _seeded(min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        held = [(k, hashed(tokens(text), seen)) for k, text in items]
-        sizes = [min(min_match, len(v)) for _, v in held]
-        # seed -> items, for each seed length (items shorter than min_match are sought whole)
-        index: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for pos, (_, v) in enumerate(held):
-            if len(v):
-                for h in running(v, min(min_match, len(v))).tolist():
-                    index[min(min_match, len(v))][h].add(pos)
-        sought = {n: np.array(sorted(x), dtype=np.uint64) for n, x in index.items()}
+        """An item's words as hashes, and its distinct seeds."""
         for batch in slices(batches):
             rows = []
-            for doc_id, row_key, text in zip(batch["doc_id"].to_pylist(), batch["row_key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for text in batch["text"].to_pylist():
+                v = hashed(tokens(text), {})
+                size = min(min_match, len(v))
+                rows.append((v.tobytes(), size, _signed(np.unique(_sized(running(v, size), size)))) if size else (None, 0, []))
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["item_id"], *made], names=["item_id", "words", "seed_size", "seeds"])
+
+    return run
+
+
+def _sized(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Seeds of different sizes are different."""
+    with np.errstate(over="ignore"):
+        return (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size)
+
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64)
+
+
+def seed_bitmap(items: DataFrame) -> np.ndarray:
+    """A bitmap of the items' seeds; of each row of it one blob comes to the driver, FILTER_BITS / 8 bytes at most."""
+    bit = F.pmod("seed", F.lit(FILTER_BITS))
+    bits = items.select(F.explode("seeds").alias("seed")).select(F.floor(bit / _ROW_BITS).cast("int").alias("row"), F.pmod(bit, F.lit(_ROW_BITS)).cast("int").alias("bit"))
+    rows = bits.groupBy("row").agg(F.collect_set("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        own = np.zeros(_ROW_BITS, dtype=np.uint8)
+        own[r["bits"]] = 1
+        at = r["row"] * _ROW_BITS // 8
+        out[at : at + _ROW_BITS // 8] = np.packbits(own, bitorder="little")
+    return out
+
+
+def _touched(bitmap: np.ndarray, sizes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with a seed in the bitmap: the stretches of words that lie in such seeds, a 0 between them, and the seeds."""
+        seen: dict[str, int] = {}
+        for batch in slices(batches):
+            kept, parts, seeds = [], [], []
+            for n, text in enumerate(batch["text"].to_pylist()):
                 doc = hashed(tokens(text), seen)
-                near: set[int] = set()
-                inside = np.zeros(len(doc) + 1, dtype=np.int64)
-                for n, keys in sought.items():
-                    own = running(doc, n)
-                    at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own)
-                    for h in set(own[at].tolist()):
-                        near |= index[n][h]
-                    np.add.at(inside, at, 1)
-                    np.add.at(inside, at + n, -1)
-                if not near:
-                    continue
-                parts = _stretches(doc, np.cumsum(inside)[:-1] > 0)
-                for pos in sorted(near):
-                    item_id, v = held[pos]
-                    tiles = tile(v, parts, sizes[pos])
-                    covered = sum(t[2] for t in tiles)
-                    if covered:
-                        rows.append((doc_id, row_key, item_id, len(v), covered, len(tiles), max(t[2] for t in tiles), covered / len(v)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n < 7 else pa.float64()) for n, c in enumerate(zip(*rows, strict=True))], names=COLUMNS)
+                own, found, inside = Running(doc), [], np.zeros(len(doc) + 1, dtype=np.int64)
+                for size in sizes:
+                    h = _sized(own.of(size), size)
+                    bit = _signed(h) % (8 * len(bitmap))
+                    at = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    if len(at):
+                        found.append(h[at])
+                        np.add.at(inside, at, 1)
+                        np.add.at(inside, at + size, -1)
+                if found:
+                    held = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+                    breaks = np.flatnonzero(np.diff(held) > 1) + 1
+                    kept.append(n)
+                    parts.append(np.insert(doc[held], breaks, np.uint64(0)).tobytes())
+                    seeds.append(_signed(np.unique(np.concatenate(found))))
+            made = [pa.array(parts, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(kept, pa.int64())) for c in ("doc_id", "row_key")), *made], names=["doc_id", "row_key", "parts", "seeds"])
 
     return run
 
 
-def _stretches(doc: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """The words of a document that stand inside seeds (all that a tile can have), a 0 between stretches."""
-    at = np.flatnonzero(inside)
-    breaks = np.flatnonzero(np.diff(at) > 1) + 1
-    return np.insert(doc[at], breaks, np.uint64(0))
+_TILED = ["item_words", "covered_words", "tiles", "longest", "coverage"]
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows, kept = [], []
+        for n, (words, size, parts) in enumerate(zip(*(batch[c].to_pylist() for c in ("words", "seed_size", "parts")), strict=True)):
+            item = np.frombuffer(words, dtype=np.uint64)
+            tiles = tile(item, np.frombuffer(parts, dtype=np.uint64), size)
+            covered = sum(t[2] for t in tiles)
+            if covered:
+                kept.append(n)
+                rows.append((len(item), covered, len(tiles), tiles[0][2], covered / len(item)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        made = [pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)]
+        yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(kept, pa.int64())) for c in ("doc_id", "row_key", "item_id")), *made], names=["doc_id", "row_key", "item_id", *_TILED])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
-    """(doc_id, row_key, item_id, item_words, covered_words, tiles, longest, coverage) of every pair that shares a seed."""
-    spark = docs.sparkSession
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    schema = ", ".join(f"{c} {'double' if c == 'coverage' else 'long'}" for c in COLUMNS)
-    out = None
-    block, size = [], 0
-    items = benchmark.where("item_id IS NOT NULL AND length(text) > 0").select("item_id", "text").orderBy("item_id", "text")
-    for row in [*items.toLocalIterator(), None]:
-        if row is None or (block and size + len(row["text"]) > BLOCK_BYTES):
-            if block:
-                part = texts.mapInArrow(_matcher(block, min_match), schema)
-                if row is not None or out is not None:  # of several blocks, each is done before the next is held
-                    part = materialize(part, "tiles")
-                out = part if out is None else out.unionByName(part)
-            block, size = [], 0
-        if row is not None:
-            block.append((row["item_id"], row["text"]))
-            size += len(row["text"])
-    return spark.createDataFrame([], schema) if out is None else out
+    """(doc_id, row_key, item_id, item_words, covered_words, tiles, longest, coverage) of every pair that shares a seed.
+    row_key is the hash of the document's text."""
+    item_id, doc_id = (f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("item_id", benchmark), ("doc_id", docs)))
+    items = benchmark.select("item_id", "text").mapInArrow(_seeded(min_match), f"{item_id}, words binary, seed_size int, seeds array<long>")
+    items = materialize(items.where("seed_size > 0").withColumn("item_no", F.monotonically_increasing_id()), "tile-items")
+    sizes = sorted(r["seed_size"] for r in items.select("seed_size").distinct().collect())  # min_match values at most
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    touched = texts.mapInArrow(_touched(seed_bitmap(items), sizes), f"{doc_id}, row_key long, parts binary, seeds array<long>")
+    touched = materialize(touched.withColumn("doc_no", F.monotonically_increasing_id()), "tile-texts")
+    seeds = items.select("item_no", F.explode("seeds").alias("seed"))
+    pairs = touched.select("doc_no", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_no", "item_no").distinct()
+    held = pairs.join(touched.select("doc_no", "doc_id", "row_key", "parts"), "doc_no").join(items.select("item_no", "item_id", "words", "seed_size"), "item_no")
+    made = ", ".join(f"{c} {'double' if c == 'coverage' else 'long'}" for c in _TILED)
+    out = held.select("doc_id", "row_key", "item_id", "words", "seed_size", "parts").mapInArrow(_tiled, f"{doc_id}, row_key long, {item_id}, {made}")
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, row_key, ...): texts that cover at least that share of some item, with the item they cover most."""
     hits = overlaps(docs, benchmark, min_match).where(F.col("coverage") >= coverage)
-    best = F.max(F.struct("coverage", "covered_words", (-F.col("item_id")).alias("first"), "tiles", "longest")).alias("best")
+    best = F.min(F.struct((-F.col("coverage")).alias("c"), (-F.col("covered_words")).alias("w"), "item_id", "tiles", "longest")).alias("best")
     return hits.groupBy("doc_id", "row_key").agg(best, F.countDistinct("item_id").alias("n_items")).select(
-        "doc_id", "row_key", (-F.col("best.first")).alias("item_id"), "best.coverage", "best.covered_words", "best.tiles", "best.longest", "n_items"
+        "doc_id", "row_key", "best.item_id", (-F.col("best.c")).alias("coverage"), (-F.col("best.w")).alias("covered_words"), "best.tiles", "best.longest", "n_items"
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """docs without the contaminated ones."""
     bad = contaminated(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key"))
-    own = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    own = docs.select(whole_rows(docs), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
     return own.join(bad, F.expr("own_id <=> bad_id AND own_key = bad_key"), "left_anti").select("row.*")
 
 

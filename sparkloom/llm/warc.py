@@ -9,12 +9,16 @@ that line itself is split too, so the parts are put together again by Content-Le
 files, which write_archive writes, aren't split between tasks). Only a record at a time is held.
 
 Assembly: request and metadata records name the capture that they belong to by WARC-Concurrent-To. A record that names
-another request or metadata record belongs to what that one names. Responses and revisits are the captures; the others
-are joined to them, and one nested row per capture comes out. What names no known capture is in no row.
+another request or metadata record belongs to what that one names, over as many steps as it takes. Responses and revisits
+are the captures; the others are joined to them, and one nested row per capture comes out. What leads to no known capture,
+or in a circle, is in no row.
 
 Null html is an empty payload. Records of equal payloads of at least `MIN_REVISIT` bytes: that with the largest page_id
-is the response, the others revisit it; shorter ones are always responses. Rows that share a page_id are told apart by
-their payload's digest; equal rows are captures of one identifier, each with all requests and metadata that name it. Null page_ids are left out. Null urls are written as "urn:none".
+is the response, the others revisit it; shorter ones are always responses. A null page_id is below all others (written as
+"none"), so such a page revisits one with an id, or is a response. Rows that share a page_id are told apart by their
+payload's digest; equal rows are captures of one identifier, each with all requests and metadata that name it. Null urls are
+written as "urn:none". Very long payloads are written and read whole, one record in memory at a time. An empty table gives an
+empty archive. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,21 +54,21 @@ def _record(headers: list[tuple[str, object]], block) -> F.Column:
 
 def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, html, digest, refers_to): pages with the payload's SHA-1, and the page that a revisit refers to."""
-    rows = pages.where("page_id IS NOT NULL").select(
+    rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("urn:none")).alias("url"), F.coalesce("html", F.lit("")).alias("html")
     )
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     large = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    copies = rows.where(F.octet_length("html") >= min_revisit).select("page_id", "digest").join(large.where("n > 1"), "digest").where("page_id <> last")
+    copies = rows.where(F.octet_length("html") >= min_revisit).select("page_id", "digest").join(large.where("n > 1"), "digest").where("NOT page_id <=> last")
     copies = copies.select(F.col("page_id").alias("c_id"), F.col("digest").alias("c_digest"), F.col("last").alias("refers_to")).distinct()
-    return rows.join(copies, F.expr("page_id = c_id AND digest = c_digest"), "left").select("page_id", "url", "html", "digest", "refers_to")
+    return rows.join(copies, F.expr("page_id <=> c_id AND digest = c_digest"), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Write gzip'd WARC files of request, response or revisit, and metadata records."""
     rows = plan_records(pages, min_revisit)
     one_line = lambda c: F.regexp_replace(c, r"[\x00-\x1F\x7F]", "")  # noqa: E731  a header is a line
-    rows = rows.withColumn("uri", one_line(F.col("url"))).withColumn("name", F.concat_ws("-", "page_id", "digest"))
+    rows = rows.withColumn("uri", one_line(F.col("url"))).withColumn("page_name", F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).withColumn("name", F.concat_ws("-", "page_name", "digest"))
     ident = lambda kind, name=F.col("name"): F.concat(F.lit(f"<urn:{kind}:"), name, F.lit(">"))
     date = ("WARC-Date", F.lit(DATE))
     target = ("WARC-Target-URI", F.col("uri"))
@@ -91,7 +95,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -
     )
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", ident("metadata")), date, target, to_capture, ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("pageId: "), F.col("page_id").cast("string"), F.lit(f"{CRLF}fetchTimeMs: 0{CRLF}")),
+        F.concat(F.lit("pageId: "), "page_name", F.lit(f"{CRLF}fetchTimeMs: 0{CRLF}")),
     )
     records = rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
@@ -200,9 +204,22 @@ def assemble(records: DataFrame) -> DataFrame:
     held = [c for c in ("payload", "payload_bytes", "payload_digest", "digest_ok") if c in records.columns]
     captures = records.where("record_type IN ('response', 'revisit')").select("record_id", "record_type", "refers_to", "uri", *held)
     others = records.where("record_type IN ('request', 'metadata') AND concurrent_to IS NOT NULL").select("record_id", "record_type", "concurrent_to", "fields")
-    # what a request or metadata record is concurrent to may be another of these, which names the capture
-    via = others.select(F.col("record_id").alias("via_id"), F.col("concurrent_to").alias("via_to"))
-    others = others.join(via, F.col("concurrent_to") == F.col("via_id"), "left").withColumn("capture", F.coalesce("via_to", "concurrent_to"))
+    # what a request or metadata record is concurrent to may be another of these: steps are taken until none leads further
+    steps = others.select(F.col("record_id").alias("via_id"), F.col("concurrent_to").alias("via_to")).distinct()
+    known = captures.select(F.col("record_id").alias("capture")).distinct()
+    rows = others.withColumn("capture", F.col("concurrent_to"))
+    found, before = rows.join(known, "capture", "left_semi"), None
+    rows = rows.join(known, "capture", "left_anti")
+    while True:
+        rows = materialize(rows, "warc-steps")
+        left = rows.count()
+        if left in (0, before):  # each step but the last gets some record to its capture
+            break
+        before = left
+        rows = rows.join(steps, F.col("capture") == F.col("via_id")).withColumn("capture", F.col("via_to")).drop("via_id", "via_to")
+        found = found.unionByName(rows.join(known, "capture", "left_semi"))
+        rows = rows.join(known, "capture", "left_anti")
+    others = found
     asked = others.where("record_type = 'request'").groupBy("capture").agg(F.min("record_id").alias("request_id"), F.count("*").alias("n_requests"))
     told = others.where("record_type = 'metadata'").groupBy("capture").agg(
         F.array_sort(F.collect_list(F.struct("record_id", "fields"))).alias("metadata")

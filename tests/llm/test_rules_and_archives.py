@@ -99,15 +99,17 @@ def test_rules_without_a_literal_are_refused(spark):
 def test_archives_come_back_whole(spark):
     big = "é" * 600
     tricky = f"a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n{'z' * 1000}"
-    rows = [(1, "http://a/x?y#z", big), (7, "http://b", big), (3, None, None), (4, "", "\n"), (5, "http://c/\r\nX: y", tricky), (9, "u", tricky), (9, "u", tricky), (6, "v", big[:400]), (8, "v", big[:400]), (None, "w", "gone")]
+    rows = [(1, "http://a/x?y#z", big), (7, "http://b", big), (3, None, None), (4, "", "\n"), (5, "http://c/\r\nX: y", tricky), (9, "u", tricky), (9, "u", tricky), (6, "v", big[:400]), (8, "v", big[:400]), (None, "w", "no number"), (None, "w", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     path = new_path(spark, "warc")
     warc.write_archive(df.repartition(2), path)
     captures = warc.assemble(warc.read_records(spark, path, with_payload=True)).collect()
-    assert len(captures) == 9
-    by_id = {int(r["record_id"].split(":")[2].split("-")[0]): r for r in captures}
+    assert len(captures) == len(rows)
+    unnumbered = sorted((r["payload_bytes"], r["record_type"]) for r in captures if r["record_id"].startswith("<urn:capture:none-"))
+    assert unnumbered == [(9, "response"), (1200, "revisit")]
+    by_id = {int(r["record_id"].split(":")[2].split("-")[0]): r for r in captures if ":none-" not in r["record_id"]}
     assert {k: r["record_type"] for k, r in by_id.items()} == {1: "revisit", 7: "response", 3: "response", 4: "response", 5: "revisit", 9: "response", 6: "response", 8: "response"}
-    for page_id, _, html in rows[:-1]:
+    for page_id, _, html in rows[:-2]:
         r, data = by_id[page_id], (html or "").encode()
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
         if r["record_type"] == "response":
@@ -123,12 +125,12 @@ def test_broken_and_concurrent_records(spark):
     def record(kind: str, name: str, block: str, to: str | None = None) -> str:
         return f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-Record-ID: {name}\r\n" + (f"WARC-Concurrent-To: {to}\r\n" if to else "") + f"Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
 
-    text = "junk" + record("response", "r", "HTTP/1.1 200 OK\r\n\r\nbody") + record("request", "q", "GET /", "r") + record("metadata", "m", "k: v", "q") + record("metadata", "lost", "k: w", "nowhere") + "WARC/1.1\r\nno length\r\n\r\n"
+    text = "junk" + record("response", "r", "HTTP/1.1 200 OK\r\n\r\nbody") + record("request", "q", "GET /", "r") + record("metadata", "m", "k: v", "q") + record("metadata", "n", "k: x", "m") + record("metadata", "o", "k: y", "n") + record("metadata", "c1", "k", "c2") + record("metadata", "c2", "k", "c1") + record("metadata", "lost", "k: w", "nowhere") + "WARC/1.1\r\nno length\r\n\r\n"
     path = new_path(spark, "warc")
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
     (capture,) = warc.assemble(warc.read_records(spark, path, with_payload=True)).collect()
     assert bytes(capture["payload"]) == b"body" and capture["request"]["record_id"] == "q"
-    assert [m["record_id"] for m in capture["metadata"]] == ["m"]  # through the request
+    assert [m["record_id"] for m in capture["metadata"]] == ["m", "n", "o"]  # through the request, and through one another
 
 
 def tiles_by_hand(item: list[str], doc: list[str], least: int) -> int:
@@ -167,7 +169,7 @@ def test_tiling_is_what_brute_force_covers(spark, monkeypatch):
         docs.append((n, " ".join(parts).upper(), "en", "s", 0))
     docs += [(40, None, None, None, None), (41, "", "en", "s", 0)]
     bench = spark.createDataFrame([*items, (98, None), (99, "")], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)  # several blocks
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 15)  # much passes by chance
     df = spark.createDataFrame(docs, DOCS)
     got = {(r["doc_id"], r["item_id"]): r["covered_words"] for r in decontaminate.overlaps(df, bench).collect()}
     want = {}
@@ -184,6 +186,28 @@ def test_tiling_is_what_brute_force_covers(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - bad and bad
 
 
+def test_tiles_are_those_of_the_definition_where_words_repeat():
+    made = random.Random(30)
+    for n in range(300):
+        words = [str(k) for k in range(1 + n % 4)]
+        item, doc = ([made.choice(words) for _ in range(made.randint(1, 14))] for _ in range(2))
+        doc = doc * made.randint(1, 3)
+        own = [np.array([int(w) + 1 for w in t], dtype=np.uint64) for t in (item, doc)]
+        least = min(2, len(item))
+        assert sum(t[2] for t in decontaminate.tile(*own, least)) == tiles_by_hand(item, doc, least)
+    item, doc = np.full(200, 7, dtype=np.uint64), np.full(200_000, 7, dtype=np.uint64)  # a very long text of one word
+    assert decontaminate.tile(item, doc, 5) == [(0, 0, 200)]
+
+
+def test_items_may_have_names_and_texts_may_be_very_long(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, "w " * 300_000 + passage), (1, passage), (1, passage), (None, passage.upper() + "!"), (2, "w " * 50), (3, None)], "doc_id int, text string")
+    bench = spark.createDataFrame([("a", passage), ("b", passage), (None, "w w"), ("c", "")], "item_id string, text string")
+    got = sorted((str(r["doc_id"]), str(r["item_id"]), r["coverage"], r["n_items"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [("1", "a", 1.0, 2), ("1", "a", 1.0, 2), ("2", "None", 1.0, 0), ("None", "a", 1.0, 2)]
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()] == [3]
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a b c d e f", "en", "s", 0)], DOCS), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.remove_contaminated(docs, bench).count() == 0
