@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, slices, table, whole_rows
+from sparkloom.llm.common import materialize, ship, slices, table, whole_rows
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -220,6 +220,7 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
     """(doc_id, row_key, item_id, item_words, covered_words, tiles, longest, coverage) of every pair that shares a seed.
     row_key is the hash of the document's text."""
+    ship(docs.sparkSession)
     item_id, doc_id = (f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("item_id", benchmark), ("doc_id", docs)))
     items = benchmark.select("item_id", "text").mapInArrow(_seeded(min_match), f"{item_id}, words binary, seed_size int, seeds array<long>")
     items = materialize(items.where("seed_size > 0").withColumn("item_no", F.monotonically_increasing_id()), "tile-items")
@@ -231,8 +232,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH)
     pairs = touched.select("doc_no", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_no", "item_no").distinct()
     held = pairs.join(touched.select("doc_no", "doc_id", "row_key", "parts"), "doc_no").join(items.select("item_no", "item_id", "words", "seed_size"), "item_no")
     made = ", ".join(f"{c} {'double' if c == 'coverage' else 'long'}" for c in _TILED)
-    out = held.select("doc_id", "row_key", "item_id", "words", "seed_size", "parts").mapInArrow(_tiled, f"{doc_id}, row_key long, {item_id}, {made}")
-    return out
+    return held.select("doc_id", "row_key", "item_id", "words", "seed_size", "parts").mapInArrow(_tiled, f"{doc_id}, row_key long, {item_id}, {made}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, slices, table
+from sparkloom.llm.common import materialize, ship, slices, table
 
 ORDER = 2
 KEEP = 5
@@ -369,6 +369,7 @@ def _finish(group: pa.Table) -> pa.Table:
 def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = False) -> tuple[DataFrame, Model, DataFrame]:
     """docs(doc_id, text, held_out) -> (scores of every row, the shared numbers, the counts (level, history, word, n); at
     level 1 the history is 0)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     if not from_files:
         rows = materialize(rows, "katz-rows")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import ship, table
 
 SAMPLE_PER_LANG = 512
 SAMPLE_ROWS = 6144
@@ -198,6 +198,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
+    ship(docs.sparkSession)
     rows = sample(docs).mapInArrow(_featured, "lang string, x binary").collect()  # SAMPLE_ROWS vectors at most
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.empty((len(rows), DIM), dtype=np.float32)
@@ -243,6 +244,7 @@ def _predictor(model: dict | None):
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
+    ship(docs.sparkSession)
     model = learn(docs) if model is None else model
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(

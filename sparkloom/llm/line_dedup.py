@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import materialize, slices, table, whole_rows
+from sparkloom.llm.common import materialize, ship, slices, table, whole_rows
 
 MIN_WORDS = 50
 
@@ -201,6 +201,7 @@ def _cut(min_words: int):
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later repeats cut out of text, and lines_deleted, words_deleted, runs_deleted (0 where nothing was)."""
     extra = ["lines_deleted", "words_deleted", "runs_deleted"]
+    ship(docs.sparkSession)
     docs = docs.drop(*extra)
     rows = materialize(repeats(docs, min_words), "winnow-repeats")
     marked = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, materialize, release, slices, table, whole_rows
+from sparkloom.llm.common import connected_components, materialize, release, ship, slices, table, whole_rows
 
 BANDS, ROWS, BITS = 38, 6, 4
 PERMUTATIONS = BANDS * ROWS
@@ -256,6 +256,7 @@ def links(docs: DataFrame, signed: DataFrame, size: int, threshold: float) -> Da
 
 def components(docs: DataFrame, size: int = 4, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    ship(docs.sparkSession)
     signed = materialize(signatures(docs, size), "minhash")
     near = connected_components(links(docs, signed, size, threshold))
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"))

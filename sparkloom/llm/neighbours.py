@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import connected_components, materialize, table
+from sparkloom.llm.common import connected_components, materialize, ship, table
 
 THRESHOLD = 0.93
 K = 10
@@ -310,6 +310,7 @@ def _counted(points: DataFrame, linked: DataFrame, parts: DataFrame, k: int) ->
 
 def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
     """((vec_id, n_links, component_id) of every row, recall as audited)."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = materialize(rows.mapInArrow(_points, "vec_id long, label string, key binary, unit binary"), "descent-rows")
     able = rows.where("key IS NOT NULL")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, new_path, table
+from sparkloom.llm.common import materialize, new_path, ship, table
 
 MIN_REVISIT = 1000
 VERSION = "WARC/1.1"
@@ -194,6 +194,7 @@ def _parse(with_payload: bool):
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row per WARC record; payload only if asked for."""
+    ship(spark)
     lines = spark.read.option("lineSep", VERSION + CRLF).text(path)
     parts = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     return parts.mapInArrow(_parse(with_payload), _RECORD + ", fields string" + (", payload binary" if with_payload else ""))

@@ -267,3 +267,28 @@ def test_regular_expressions_name_their_literals():
     for rule in url_filter.PATTERN_RULES:
         assert all(re.search(rf"\b{w}\b", rule.regex) for w in rule.literals)
         assert np.all([w == w.lower() for w in rule.literals])
+
+
+def test_pipeline_runs_as_its_stages_and_takes_odd_rows(spark, tmp_path):
+    whole = corpus_pipeline.run(spark, SF)
+    assert {"doc_id", "text", "lang", "source", "n_chars", "domain", "epoch", "n_tokens"} == set(whole.columns) and whole.count() > 100
+    passage = " ".join(f"word{k} of" for k in range(40))
+    item = "the test item that a document may hold word for word"
+    rows = [(1, passage, "en", "src1", 1), (1, passage, "en", "src1", 1), (2, passage, None, None, None), (3, None, "en", "src1", 0), (4, "", "en", "src1", 0), (5, "12 34", "de", "src2", 5)]
+    rows += [(None, "a row without a number", "en", "src3", 3), (6, f"here stands {item} and more", "en", "src1", 9), (7, "x " * 100_000 + "end", "en", "src4", 7), (8, "plain words of a clean text", "en", "src0", 2)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit("clash")).withColumn("own_id", F.lit(7))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        ids[name] = sorted({str(r["doc_id"]) for r in at.collect()})
+    assert ids["language_id"] == ["1", "2", "6", "7", "8", "None"]
+    assert ids["line_dedup"] == ids["minhash_dedup"] == ["1", "6", "7", "8", "None"]
+    assert ids["decontaminate"] == ["1", "7", "8", "None"] and set(ids["mixing"]) <= set(ids["decontaminate"])
+    empty = tmp_path / "empty"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
