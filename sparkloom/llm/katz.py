@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, ship, slices, table
+from sparkloom.llm.common import materialize, release, ship, slices, table
 
 ORDER = 2
 KEEP = 5
@@ -282,10 +282,11 @@ def _evaluate(model: Model, bits: int):
             own = np.flatnonzero(np.concatenate([a[1] for a in answers]))
             count = total[of]
             mine = at[own]  # a token of each n-gram that the chunk owns
+            rows = np.argsort(histories[level - 1][mine], kind="stable")  # a history's rows together take fewer bytes
             tables.append(
                 pa.Table.from_arrays(
                     [pa.array(["counts"] * len(own), pa.string()), pa.array(np.full(len(own), level, np.int32)), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.binary()),
-                     _signed(histories[level - 1][mine]), _signed(words[mine]), pa.array(total[own])], names=list(_KINDS),
+                     _signed(histories[level - 1][mine][rows]), _signed(words[mine][rows]), pa.array(total[own][rows])], names=list(_KINDS),
                 )
             )
             if level == 1:
@@ -378,7 +379,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = Fals
     # a partition's asks are one group, and each state is one of its own
     own = F.struct("level", "part", F.when(F.col("kind") == "state", F.col("chunk")).alias("own"))
     counted = rows.mapInArrow(_ask(order, bits), _ROWS).groupBy(own).applyInArrow(_count, _ROWS)
-    counted = materialize(counted, "katz-totals", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
+    totals = materialize(counted, "katz-totals", ("kind",))
+    counted = totals.select("kind", "level", "part", "chunk", "data", "history", "word", "n")
     sizes, sums = [np.zeros(KEEP + 1, dtype=np.int64) for _ in range(order)], np.zeros(3, dtype=np.int64)
     for r in counted.where("kind = 'stats'").select("level", "data").toLocalIterator():  # a few numbers a partition
         some, totals = unpack(bytes(r["data"]))
@@ -388,6 +390,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = Fals
     model = Model(sizes, *(int(x) for x in sums))
     judged = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
     judged = materialize(judged, "katz-chunks", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
+    release(totals)
     alphas = judged.where("kind IN ('history', 'ask')").groupBy(F.struct("level", "part")).applyInArrow(_back_off(model), _ROWS)
     scores = judged.where("kind = 'state'").union(alphas).groupBy("chunk").applyInArrow(_finish, _RESULT)
     return scores, model, judged.where("kind = 'counts'").select("level", "history", "word", "n")
