@@ -383,10 +383,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = Fals
     counted = totals.select("kind", "level", "part", "chunk", "data", "history", "word", "n")
     sizes, sums = [np.zeros(KEEP + 1, dtype=np.int64) for _ in range(order)], np.zeros(3, dtype=np.int64)
     for r in counted.where("kind = 'stats'").select("level", "data").toLocalIterator():  # a few numbers a partition
-        some, totals = unpack(bytes(r["data"]))
+        some, own = unpack(bytes(r["data"]))
         sizes[r["level"] - 1] += some.astype(np.int64)
         if r["level"] == 1:
-            sums += totals.astype(np.int64)
+            sums += own.astype(np.int64)
     model = Model(sizes, *(int(x) for x in sums))
     judged = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
     judged = materialize(judged, "katz-chunks", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
