@@ -48,14 +48,29 @@ def edges_of(edges: DataFrame, node: str, direction: str = "both", kinds: list[s
     return found.orderBy(F.desc("confidence"), "kind", "src", "dst")
 
 
+def walk(edges: DataFrame, seeds: DataFrame, hops: int = MAX_HOPS, most: int = 60) -> DataFrame:
+    """seeds(id) -> (seed, id, depth, confidence): what each seed reaches in either direction, at its least depth, with the
+    confidence of the strongest edge that leads there; of a seed the first `most`, by depth, confidence, id."""
+    step = settled(adjacency(edges).groupBy("node", "other").agg(F.max("confidence").alias("confidence")).where("node <> other"), "walk-steps")
+    front = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"))
+    found = front
+    for depth in range(1, hops + 1):
+        ahead = front.join(step.withColumnRenamed("node", "id"), "id").groupBy("seed", "other").agg(F.max(step["confidence"]).alias("confidence"))
+        ahead = ahead.join(found.select("seed", F.col("id").alias("other")), ["seed", "other"], "left_anti")
+        front = settled(ahead.select("seed", F.col("other").alias("id"), F.lit(depth).alias("depth"), "confidence"), "walk")
+        found = found.union(front)
+    order = Window.partitionBy("seed").orderBy("depth", F.desc("confidence"), "id")
+    return found.where("depth > 0").withColumn("_rk", F.row_number().over(order)).where(F.col("_rk") <= most).drop("_rk")
+
+
 def find_by_name(nodes: DataFrame, name: str, kind_rank: Column) -> DataFrame:
     """Nodes whose name, last name part or id is the name; only if there are none, those that are but for case."""
     simple = F.element_at(F.split("name", r"\."), -1)
     exact = (F.col("name") == name) | (simple == name) | (F.col("id") == name)
     loose = (F.lower("name") == name.lower()) | (F.lower(simple) == name.lower())
     found = nodes.where(exact | loose).withColumn("tier", F.when(exact, 0).otherwise(1))
-    first = F.min("tier").over(Window.partitionBy(F.lit(0)))  # few rows: those of one name
-    return found.withColumn("_first", first).where("tier = _first").drop("_first").orderBy(kind_rank, "id")
+    first = found.agg(F.min("tier").alias("_first"))
+    return found.join(F.broadcast(first), F.col("tier") == F.col("_first")).drop("_first").orderBy(kind_rank, "id")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,46 +103,111 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", hops: i
     return found
 
 
-def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(src, dst, depth): all that can be reached, by the fewest steps, until a round adds nothing."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, depth): all that can be reached, by the fewest steps, until a round adds nothing. The result may be as large
+    as all pairs: components and orders below don't use it."""
     step = settled(edges.where("src <> dst").select("src", "dst").distinct(), "closure")
     found = step.withColumn("depth", F.lit(1))
-    front = found
-    for depth in range(2, max_rounds + 2):
+    front, depth = found, 1
+    while True:
+        depth += 1
         front = front.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         front = front.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
         front = settled(front, "closure")
         if front.isEmpty():
             return found
         found = found.union(front)
-    raise RuntimeError(f"closure did not end in {max_rounds} rounds")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): undirected components by their smallest id. Each round takes the least label of a node's
-    neighbours, then that label's own label, so chains halve."""
-    links = settled(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "components")
-    labels = links.groupBy("src").agg(F.least(F.min("dst"), F.min("src")).alias("label")).select(F.col("src").alias("id"), "label")
-    labels = settled(labels, "components")
-    for _ in range(max_rounds):
-        near = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("jumped"))
-        new = settled(new.join(jump, "next", "left").select("id", "label", F.least("next", F.coalesce("jumped", "next")).alias("next")), "components")
-        if new.where("next <> label").isEmpty():
-            return new.select("id", F.col("label").alias("component"))
+def _reached(step: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(id), step(src, dst) -> (id, label): of the nodes that each node reaches along the edges, itself included, the
+    first by a hash of the id. Each round takes the first of the labels of the nodes an edge away, then that label's own
+    label: a hash puts labels far ahead, whatever the ids, so known ways grow by a factor each round."""
+    labels = settled(nodes.select("id", F.struct(F.xxhash64("id").alias("h"), "id").alias("label")), "reach")
+    while True:
+        near = step.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
+        new = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
+        jump = labels.select(F.col("id").alias("via"), F.col("label").alias("jumped"))
+        new = settled(new.join(jump, F.col("next.id") == F.col("via")).select("id", "label", F.least("next", "jumped").alias("next")), "reach")
         labels = new.select("id", F.col("next").alias("label"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if new.where("next <> label").isEmpty():
+            return labels.select("id", "label.id").toDF("id", "label")
+
+
+def _by_smallest(labels: DataFrame) -> DataFrame:
+    """(id, label) -> (id, component): groups of one label, named by their smallest id."""
+    names = labels.groupBy("label").agg(F.min("id").alias("component"))
+    return labels.join(names, "label").select("id", "component")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): undirected components by their smallest id."""
+    links = settled(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "components")
+    return _by_smallest(_reached(links, links.select(F.col("src").alias("id")).distinct()))
+
+
+def _chains(step: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(chains, jumps) of the nodes with one way on: (id, to, steps, low, round) with the first node on the way that has no
+    way on or several, and how far it is; round: there is none, the way ends in a circle, `to` is on it and low is the
+    circle's smallest id. jumps: (id, to) over 1, 2, 4, ... steps. By doubling, so long chains take few rounds."""
+    single = step.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1")
+    chain = settled(single.select(F.col("src").alias("id"), "to", F.lit(1).cast("long").alias("steps"), F.least("src", "to").alias("low")), "chains")
+    jumps, reach, n = [], 1, chain.count()
+    while n:
+        jumps.append(chain.select("id", "to"))
+        jump = chain.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"), F.col("low").alias("lower"))
+        moved = chain.join(jump, "to", "left").select(
+            "id", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.least("low", F.coalesce("lower", "low")).alias("low"), F.col("further").isNotNull().alias("round")
+        )
+        chain = settled(moved, "chains")
+        reach *= 2
+        if reach > n or chain.where("round").isEmpty():
+            break
+        chain = chain.drop("round")
+    return (chain if n else chain.withColumn("round", F.lit(False))), jumps
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component, size): nodes that reach each other, by the smallest id; a node on no cycle is its own."""
-    reach = settled(closure(edges).select("src", "dst"), "scc")
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("least")).select(F.col("src").alias("id"), F.least("src", "least").alias("component"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    named = nodes.join(mutual, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return named.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+    """(id, component, size): nodes that reach each other, by the smallest id; a node on no cycle is its own.
+
+    Nodes with one way on are taken out first, by doubling: their ways are replaced by steps to where they end. The rest is
+    coloured forward and backward, without a closure: by the first node (by a hash) that they reach, then, along edges of one
+    colour, by the first that reaches them. Where both are the colour's own node, the node is in that node's component. The
+    others go on with the edges between nodes of the same two colours, until there are none. A node that was taken out is in
+    the component that its way ends in if something of that component leads to it."""
+    nodes = settled(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "scc")
+    every = settled(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
+    chains, jumps = _chains(every)
+    ends = chains.where("NOT round").select("id", "to")
+    step = every.join(chains.select(F.col("id").alias("src")), "src", "left_anti").join(chains.where("round").select(F.col("id").alias("dst")), "dst", "left_anti")
+    step = step.join(ends.toDF("dst", "to"), "dst", "left").select("src", "dst", F.coalesce("to", "dst").alias("to"))
+    heads = settled(step, "scc")
+    step = settled(heads.where("src <> to").select("src", F.col("to").alias("dst")).distinct(), "scc")
+    found = nodes.limit(0).select("id", F.col("id").alias("label"))
+    while not step.isEmpty():
+        live = step.select(F.col("src").alias("id")).union(step.select("dst")).distinct()
+        ahead = _reached(step, live)
+        same = step.join(ahead.toDF("src", "a"), "src").join(ahead.toDF("dst", "b"), "dst").where("a = b").select("src", "dst")
+        same = settled(same, "scc")
+        behind = _reached(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), live)
+        coloured = settled(ahead.toDF("id", "ahead").join(behind.toDF("id", "behind"), "id"), "scc")
+        found = found.union(coloured.where("ahead = behind").select("id", F.col("ahead").alias("label")))
+        rest = coloured.where("ahead <> behind")
+        x, y = rest.toDF("src", "a", "c"), rest.toDF("dst", "b", "d")
+        step = settled(same.join(x, "src").join(y, "dst").where("a = b AND c = d").select("src", "dst"), "scc")
+    found = settled(found, "scc")
+    # chains that lead from a component back into it, or from a node back to itself
+    own = nodes.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    marked = heads.where("dst <> to").join(own.toDF("src", "a"), "src").join(own.toDF("to", "b"), "to").where("a = b").select(F.col("dst").alias("id")).distinct()
+    for jump in jumps:
+        marked = settled(marked.union(marked.join(jump, "id").select("to")).distinct(), "scc")
+    back = marked.join(ends, "id").join(own.toDF("to", "label"), "to").select("id", "label")
+    circle = chains.where("round").select("to", "low").distinct().select(F.col("to").alias("id"), F.col("low").alias("label"))
+    through = back.select("label").distinct().select(F.col("label").alias("id"), "label")  # a node that only chains lead back to
+    labels = found.union(through.join(found.select("id"), "id", "left_anti")).union(back).union(circle)
+    named = nodes.join(_by_smallest(settled(labels, "scc")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
+    return named.join(sizes, "component").select("id", "component", "size")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 6) -> DataFrame:
@@ -145,34 +225,74 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 6) ->
     return found
 
 
-def layers(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, layer): in an acyclic graph, the longest way from a node to a sink (layer 0)."""
-    step = settled(edges.select("src", "dst").distinct(), "layers")
-    nodes = step.select(F.col("src").alias("id")).union(step.select("dst")).distinct()
-    level = settled(nodes.withColumn("layer", F.lit(0)), "layers")
-    for _ in range(max_rounds):
-        up = step.join(level.select(F.col("id").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("up"))
+def layers(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id, layer): the longest way from a node to a sink (layer 0), in steps between strong components; the nodes of a cycle
+    are on one layer. parts: the strong components, if they are known.
+
+    Chains of nodes with one way on are followed by doubling, so that only branching nodes take a round each step."""
+    of = settled((strong_components(edges) if parts is None else parts).select("id", "component"), "layers")
+    step = edges.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    step = settled(step, "layers")
+    chain = _chains(step)[0].select("id", "to", "steps")
+    # what remains: nodes without a way on, and branching ones, whose edges lead to such nodes over so many steps
+    ends = step.join(chain.select(F.col("id").alias("src")), "src", "left_anti").join(chain.toDF("dst", "to", "steps"), "dst", "left")
+    ends = ends.groupBy("src", F.coalesce("to", "dst").alias("dst")).agg(F.max(1 + F.coalesce("steps", F.lit(0))).alias("steps"))
+    ends = settled(ends, "layers")
+    level = settled(of.select(F.col("component").alias("id")).distinct().join(chain.select("id"), "id", "left_anti").withColumn("layer", F.lit(0).cast("long")), "layers")
+    while True:
+        up = ends.join(level.select(F.col("id").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("id")).agg(F.max(F.col("layer") + F.col("steps")).alias("up"))
         new = settled(level.join(up, "id", "left").select("id", F.col("layer").alias("was"), F.coalesce("up", F.lit(0)).alias("layer")), "layers")
-        if new.where("was <> layer").isEmpty():
-            return new.select("id", "layer")
         level = new.select("id", "layer")
-    raise ValueError("the graph has a cycle, or a longer way than the rounds allow")
+        if new.where("was <> layer").isEmpty():
+            break
+    chained = chain.join(level.toDF("to", "layer"), "to").select("id", (F.col("layer") + F.col("steps")).alias("layer"))
+    return of.join(level.union(chained).toDF("component", "layer"), "component").select("id", F.col("layer").cast("int").alias("layer"))
+
+
+def dependency_order(edges: DataFrame) -> DataFrame:
+    """(id, layer, component, in_cycle): edges lead from what depends to what it depends on; ordered by layer, then component,
+    then id, everything comes after what it depends on, cycles as one."""
+    parts = settled(strong_components(edges), "order")
+    return layers(edges, parts).join(parts, "id").select("id", "layer", "component", (F.col("size") > 1).alias("in_cycle"))
+
+
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(component, path): for each cycle component, one shortest way from its smallest id back to it, the first in order of
+    its ids. A round a step, and a row a node and component, so nothing is enumerated."""
+    parts = strong_components(edges).where("size > 1").select("id", "component")
+    step = edges.where("src <> dst").join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "other"), "dst").where("component = other").select("src", "dst").distinct()
+    step = settled(step, "cycles")
+    front = parts.where("id = component").select("component", "id", F.array("id").alias("path"))
+    seen, closed = front.select("component", "id"), None
+    while True:
+        ahead = front.join(step.withColumnRenamed("src", "id"), "id").groupBy("component", F.col("dst").alias("to")).agg(F.min("path").alias("path"))
+        ahead = settled(ahead, "cycles")
+        back = ahead.where("to = component").select("component", F.concat("path", F.array("to")).alias("path"))
+        closed = back if closed is None else closed.union(back)
+        ahead = ahead.join(back.select("component"), "component", "left_anti").select("component", F.col("to").alias("id"), F.concat("path", F.array("to")).alias("path"))
+        front = settled(ahead.join(seen, ["component", "id"], "left_anti"), "cycles")
+        if front.isEmpty():
+            return closed
+        seen = seen.union(front.select("component", "id"))
 
 
-def lineage(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """pairs(new, old) of renames -> (name, origin, steps): each name's way back to its first name."""
+def lineage(pairs: DataFrame) -> DataFrame:
+    """pairs(new, old) of renames -> (name, origin, steps): each name's way back to its first name. Names whose way leads into a
+    circle of renames have no origin: null."""
     back = settled(pairs.select("new", "old").distinct(), "lineage")
-    walked = back.select(F.col("new").alias("name"), F.col("old").alias("origin"), F.lit(1).alias("steps"))
-    for _ in range(max_rounds):
+    walked = back.select(F.col("new").alias("name"), F.col("old").alias("origin"), F.lit(1).cast("long").alias("steps"))
+    reach, n = 1, back.count()
+    while True:
         jump = walked.select(F.col("name").alias("origin"), F.col("origin").alias("further"), F.col("steps").alias("more"))
         new = walked.join(jump, "origin", "left").select(
             "name", F.coalesce("further", "origin").alias("origin"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")
         )
         new = settled(new, "lineage")
         walked = new.select("name", "origin", "steps")
-        if new.where("moved").isEmpty():
-            return walked
-    raise ValueError("the renames form a cycle")
+        reach *= 2
+        if reach > n or new.where("moved").isEmpty():  # a way without a circle has no more steps than there are renames
+            none = F.lit(None)
+            return new.select("name", F.when(F.col("moved"), none).otherwise(F.col("origin")).alias("origin"), F.when(F.col("moved"), none).otherwise(F.col("steps")).cast("int").alias("steps"))
 
 
 def file_dependencies(edges: DataFrame, nodes: DataFrame, structural: tuple[str, ...] = ("contains", "defines")) -> DataFrame:

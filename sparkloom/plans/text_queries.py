@@ -25,6 +25,10 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.postings(read_table(spark, d, "documents"), "doc_id", T.words(F.col("text")))
 
 
+def _bm25(spark: SparkSession, d: str, terms: list[str], synonyms: dict | None = None, prefix: bool = False) -> DataFrame:
+    return retrieval.bm25(read_table(spark, d, "documents"), "doc_id", T.words(F.col("text")), terms, synonyms, prefix)
+
+
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     w = T.words(F.col("text"))
     return read_table(spark, d, "documents").select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_terms"))
@@ -62,25 +66,24 @@ def excerpt_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.bm25(_posts(spark, d), retrieval.query_terms(spark, QUESTION))
+    found = _bm25(spark, d, QUESTION)
     return retrieval.top(found, 20).select("doc", "score")
 
 
 def bm25_prefix(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.bm25(_posts(spark, d), retrieval.query_terms(spark, PREFIX_QUESTION), prefix=True)
+    found = _bm25(spark, d, PREFIX_QUESTION, prefix=True)
     return found.select("doc", F.round("lexical", 6).alias("lexical"))
 
 
 def bm25_synonym(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.bm25(_posts(spark, d), retrieval.query_terms(spark, QUESTION, SYNONYMS))
+    found = _bm25(spark, d, QUESTION, SYNONYMS)
     return found.select("doc", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"))
 
 
 def bm25_weighted_fields(spark: SparkSession, d: str) -> DataFrame:
     parts = read_table(spark, d, "part")
     fields = {"name": (T.words(F.col("p_name")), 4.0), "type": (T.words(F.col("p_type")), 2.0), "brand": (T.words(F.col("p_brand")), 1.0)}
-    terms = retrieval.query_terms(spark, ["economy", "brass", "brand", "large"])
-    found = retrieval.bm25(retrieval.postings(parts, "p_partkey", fields), terms)
+    found = retrieval.bm25(parts, "p_partkey", fields, ["economy", "brass", "brand", "large"])
     return found.select("doc", F.round("lexical", 6).alias("lexical"))
 
 
@@ -98,7 +101,7 @@ def intent_classify(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_score(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and synonym signals over their maxima, a name signal for short texts, a prior by language."""
-    found = retrieval.bm25(_posts(spark, d), retrieval.query_terms(spark, QUESTION, SYNONYMS))
+    found = _bm25(spark, d, QUESTION, SYNONYMS)
     found = retrieval.normalised(retrieval.normalised(found, "lexical", "lex"), "semantic", "sem")
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang", "n_chars")
     found = found.join(docs, "doc")
