@@ -8,7 +8,7 @@ between 0 and 1, are discounted by a thousandth only, so that every history keep
 exact: (1 - sum of P(w | h) over the seen w) / (1 - sum of their P(w | h')), so every history's distribution adds up to 1.
 Histories before a text's first word are filled up with a start mark.
 
-How it runs. Documents are taken in chunks of about a million tokens. A chunk sends each of its distinct n-grams once, with
+How it runs. Documents are taken in chunks of about 600,000 tokens. A chunk sends each of its distinct n-grams once, with
 its training count, to the partition of the n-gram's hash; there the counts of all chunks are added up, each chunk is sent
 back the totals of its own n-grams, in their order, and one of the chunks that have it in training owns it. So an n-gram,
 however frequent, is one entry per chunk, a frequent word's pairs lie in all partitions, and nothing is gathered by word or
@@ -44,7 +44,7 @@ from sparkloom.llm.common import materialize, release, ship, slices, table
 ORDER = 2
 KEEP = 5
 SLIGHT = 1e-3
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 600_000
 #: Bytes of text for each partition of the model.
 PARTITION_BYTES = 24_000_000
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
@@ -124,9 +124,10 @@ def asked(ids: list, held: list[bool], words: list[np.ndarray], order: int, bits
     train = np.repeat(~np.array(held, dtype=bool), sizes)
     for level, keys in enumerate(grams(tokens, _firsts(sizes), order)[0], 1):
         names, of = np.unique(keys, return_inverse=True)
-        counts = np.bincount(of, weights=train, minlength=len(names)).astype(np.int64)
+        counts = np.bincount(of, weights=train, minlength=len(names)).astype(np.int32)
         for part, at in _parts(names, bits):
             yield "ask", level, part, pack(_steps(names[at]), counts[at])
+        del names, of, counts
     # tokens as ranks by frequency: most take a byte or two
     names, of, counts = np.unique(tokens, return_inverse=True, return_counts=True)
     by_count = np.argsort(-counts, kind="stable")
@@ -143,7 +144,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list,
     ids, held, words, size, n = [], [], [], 0, TaskContext.get().partitionId() << 32
     for batch in slices(batches):
         for doc_id, out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if len(seen) > 300_000:
+            if len(seen) > 150_000:
                 seen.clear()
             own = []
             for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
@@ -171,7 +172,8 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
 def _ask(order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, ids, held, words in chunks(batches):
-            yield _blobs([(kind, level, part, n, data) for kind, level, part, data in asked(ids, held, words, order, bits)])
+            for kind, level, part, data in asked(ids, held, words, order, bits):
+                yield _blobs([(kind, level, part, n, data)])
 
     return run
 
