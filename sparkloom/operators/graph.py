@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_HOPS = 3
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the one that driver and executors share: spark.checkpoint.dir, or below the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir') + '/sparkloom').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the checkpoint folder and read back: a loop's lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: a loop's lineage ends there."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def strongest(rows: DataFrame, keys: list[str], confidence: str = "confidence", seq: str = "seq", last: bool = False) -> DataFrame:

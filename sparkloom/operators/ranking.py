@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import settled
+
 
 def round_robin(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """With turn (place in its group) and lead_<c> of the group's first row: sorted by turn, then the leads, this is the
@@ -35,28 +37,48 @@ def prefix_within(rows: DataFrame, group: list[str], order: list[Column], cost:
 
 
 def greedy_pack(rows: DataFrame, group: list[str], key: str, order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Rows of each group taken in order, leaving out any that no longer fits: an ordered fold in the JVM. A group is
-    gathered in one array, so it is for short candidate lists (a page of results)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    listed = rows.withColumn("_rk", F.row_number().over(w)).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_rk", key, cost))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{rows.schema[key].dataType.simpleString()}>").alias("taken"))
-
-    def step(acc: Column, item: Column) -> Column:
-        fits = acc["used"] + item[cost] <= budget
-        return F.struct(
-            F.when(fits, acc["used"] + item[cost]).otherwise(acc["used"]).cast("long").alias("used"),
-            F.when(fits, F.array_append(acc["taken"], item[key])).otherwise(acc["taken"]).alias("taken"),
-        )
-
-    packed = listed.withColumn("_out", F.aggregate("items", start, step))
-    return packed.select(*group, F.col("_out.used").alias("used"), F.col("_out.taken").alias("taken"))
-
-
-def ordered_fold(rows: DataFrame, group: list[str], order: str, delta: str, start: float, low: float, high: float) -> DataFrame:
-    """Each group's value after its deltas in order, held between low and high after each."""
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("items"))
-    clamp = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
-    return listed.select(*group, F.aggregate("items", F.lit(float(start)), lambda acc, x: clamp(acc + x[delta])).alias("value"))
+    """(group..., used, n, taken): rows of each group taken in order, leaving out any that no longer fits; taken has their keys.
+
+    In rounds: of what is left of a group, the longest prefix that fits is taken, and rows dearer than the rest of the budget
+    go. Prefixes are running sums over a sorted stream, so no group is held as one; each round takes a row or more, and what
+    remains of most groups is gone after a few. Rows without a cost are left out."""
+    left = rows.where(F.col(cost).isNotNull() & (F.col(cost) <= budget)).select(*group, F.struct(*order_fields(order), F.col(key).alias("_key")).alias("_at"), F.col(key).alias("_key"), F.col(cost).cast("long").alias("_cost"))
+    left = settled(left.withColumn("_rest", F.lit(budget).cast("long")), "pack")
+    taken = None
+    while True:
+        w = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        run = settled(left.withColumn("_run", F.sum("_cost").over(w)), "pack")
+        first = run.groupBy(*group).agg(F.min(F.when(F.col("_run") > F.col("_rest"), F.col("_at"))).alias("_stop"))
+        marked = run.join(first, group).withColumn("_in", F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
+        now = marked.where("_in").select(*group, "_at", "_key", "_cost")
+        taken = now if taken is None else taken.union(now)
+        used = marked.where("_in").groupBy(*group).agg(F.sum("_cost").alias("_used"))
+        left = marked.where("NOT _in").join(used, group, "left").withColumn("_rest", F.col("_rest") - F.coalesce("_used", F.lit(0)))
+        left = settled(left.where("_cost <= _rest").select(*group, "_at", "_key", "_cost", "_rest"), "pack")
+        if left.isEmpty():
+            break
+    # what was taken is bounded by the budget, not by the group
+    return taken.groupBy(*group).agg(F.sum("_cost").alias("used"), F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_at", "_key"))), lambda x: x["_key"]).alias("taken"))
+
+
+def order_fields(order: list[Column]) -> list[Column]:
+    """Fields of a struct that sorts as the columns do: those of numbers that are to fall are negated."""
+    return [c.alias(f"_o{n}") for n, c in enumerate(order)]
+
+
+def ordered_fold(rows: DataFrame, group: list[str], order: str, chunk: Column, delta: str, start: float, low: float, high: float) -> DataFrame:
+    """Each group's value after its deltas in order, held between low and high after each.
+
+    A run of held steps is itself one: a shift, a floor and a ceiling. So a group's rows are folded in chunks (a column that
+    rises with the order, such as the day), and the few chunks' triples after each other; no group is held as one."""
+    held = lambda x: F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    step = lambda acc, x: F.struct((acc["shift"] + x[delta]).alias("shift"), held(acc["floor"] + x[delta]).alias("floor"), held(acc["ceiling"] + x[delta]).alias("ceiling"))
+    wide = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("floor"), F.lit(float("inf")).alias("ceiling"))
+    parts = rows.groupBy(*group, chunk.alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(delta).cast("double").alias(delta)))).alias("_rows"))
+    parts = parts.select(*group, "_chunk", F.aggregate("_rows", wide, step).alias("f"))
+    listed = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_chunk", "f"))).alias("_parts"))
+    apply = lambda acc, x: F.least(F.greatest(acc + x["f"]["shift"], x["f"]["floor"]), x["f"]["ceiling"])
+    return listed.select(*group, F.aggregate("_parts", F.lit(float(start)), apply).alias("value"))
 
 
 def rank_bands(rows: DataFrame, score: str, key: str) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom import streaming
 from sparkloom.operators import findings, joins, mining, ranking
+from sparkloom.operators.graph import new_folder
 from sparkloom.session import read_table
 
 
@@ -340,8 +342,8 @@ def owasp_mapping(spark: SparkSession, d: str) -> DataFrame:
 def greedy_budget_pack(spark: SparkSession, d: str) -> DataFrame:
     """Each brand's parts by price, taken while 10,000 lasts; parts that don't fit are passed over."""
     p = read_table(spark, d, "part").select("p_brand", "p_partkey", F.round("p_retailprice").cast("long").alias("price"))
-    out = ranking.greedy_pack(p, ["p_brand"], "p_partkey", [F.desc("price"), F.asc("p_partkey")], "price", 10_000)
-    return out.select("p_brand", "used", F.size("taken").cast("long").alias("n"))
+    out = ranking.greedy_pack(p, ["p_brand"], "p_partkey", [-F.col("price"), F.col("p_partkey")], "price", 10_000)
+    return out.select("p_brand", "used", "n")
 
 
 def prefix_budget_cut(spark: SparkSession, d: str) -> DataFrame:
@@ -353,7 +355,7 @@ def feedback_fold(spark: SparkSession, d: str) -> DataFrame:
     """Each user's confidence, from one half: purchases raise it, errors lower it, within 0 and 1 after each."""
     delta = F.when(F.col("event_type") == "purchase", 0.125).when(F.col("event_type") == "error", -0.125)
     e = read_table(spark, d, "events").where("event_type IN ('purchase', 'error')").select("user_id", F.struct("ts", "event_id").alias("at"), delta.alias("delta"))
-    return ranking.ordered_fold(e, ["user_id"], "at", "delta", 0.5, 0.0, 1.0)
+    return ranking.ordered_fold(e, ["user_id"], "at", F.to_date("at.ts"), "delta", 0.5, 0.0, 1.0)
 
 
 def memory_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -376,6 +378,14 @@ def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n")
 
 
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, counted by day and type as its batches come, drained to its end."""
+    rows = read_table(spark, d, "events").select("ts", "event_type", "value")
+    found = streaming.tumbling_counts(streaming.read_events(spark, d, "events.parquet*", rows), "1 day", "2 days")
+    out = streaming.drain(found, new_folder(spark, "stream"))
+    return out.select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", "value")
+
+
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.unix_micros(F.col("session_window.start").cast("timestamp")).alias("start"), "n")
@@ -388,7 +398,7 @@ QUERIES = {
         most_specific_rule, last_match_wins, compare_outcomes, churn, monthly_clusters, fix_share, commit_search, finding_introduction, trend_dedup, latest_per_check,
         dominant_value_share, convention_outliers, project_confidence, size_outliers, ownership_mode, responsibility_outliers, rare_values, complexity_histogram, severity_bands,
         debt_points, debt_priority_levels, change_complexity_quadrant, test_gap_risk, health_status, coverage_ratio, structural_protection, component_rank, finding_union,
-        finding_unique_ids, finding_sort_rank, findings_by_category, owasp_mapping, greedy_budget_pack, prefix_budget_cut, feedback_fold, memory_rank, tumbling_counts, session_windows,
+        finding_unique_ids, finding_sort_rank, findings_by_category, owasp_mapping, greedy_budget_pack, prefix_budget_cut, feedback_fold, memory_rank, tumbling_counts, stream_counts, session_windows,
     )
 }
 
@@ -483,6 +493,7 @@ ORACLES = {
     "memory_rank": """WITH t AS (SELECT conv_id, turn, length(text) AS ln, len(list_intersect(['the', 'of', 'and', 'thing'], list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')))) AS hit FROM conversations),
         s AS (SELECT *, hit / 4 + CASE WHEN ln > 200 THEN 0.25 ELSE 0 END::DOUBLE AS score FROM t WHERE hit > 0), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS rk FROM s) SELECT conv_id, turn, score FROM r WHERE rk <= 3""",
     "tumbling_counts": "SELECT (epoch(ts)::BIGINT - epoch(ts)::BIGINT % 3600)::BIGINT AS start, event_type, count(*) AS n FROM (SELECT date_trunc('second', ts) AS ts, event_type FROM events) GROUP BY ALL",
+    "stream_counts": "SELECT (epoch(ts)::BIGINT - epoch(ts)::BIGINT % 86400)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT date_trunc('second', ts) AS ts, event_type, value FROM events) GROUP BY ALL",
     "session_windows": """WITH l AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
 }

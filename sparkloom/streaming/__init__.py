@@ -1 +1,29 @@
+"""Streams of events: counts by window with late rows bounded by a watermark, and changes of files since the last batch."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_events(spark: SparkSession, folder: str, name: str, rows_as: DataFrame) -> DataFrame:
+    """A stream of the files called `name` in a folder, with the columns of rows_as."""
+    return spark.readStream.schema(rows_as.schema).option("pathGlobFilter", name).parquet(folder)
+
+
+def tumbling_counts(events: DataFrame, width: str, late: str) -> DataFrame:
+    """(event_type, start, n, value): by type and window; a window is given out once, when rows are later than it by `late`."""
+    at = F.window("ts", width)
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return out.select("event_type", F.col("w.start").alias("start"), "n", "value")
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, in batches, and the result as a table; progress is kept below the folder, so that a lost driver
+    goes on where it was."""
+    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
