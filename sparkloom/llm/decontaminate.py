@@ -33,8 +33,6 @@ from sparkloom.llm.common import materialize, ship, slices, table, whole_rows
 MIN_MATCH = 5
 COVERAGE = 0.8
 FILTER_BITS = 1 << 25
-#: Bits of the bitmap that one row of it holds.
-_ROW_BITS = 1 << 15
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -157,17 +155,14 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
 
 
 def seed_bitmap(items: DataFrame) -> np.ndarray:
-    """A bitmap of the items' seeds; of each row of it one blob comes to the driver, FILTER_BITS / 8 bytes at most."""
+    """A bitmap of the items' seeds: its 64-bit words are made in Spark, and those with a bit, FILTER_BITS / 64 at most, come to
+    the driver."""
     bit = F.pmod("seed", F.lit(FILTER_BITS))
-    bits = items.select(F.explode("seeds").alias("seed")).select(F.floor(bit / _ROW_BITS).cast("int").alias("row"), F.pmod(bit, F.lit(_ROW_BITS)).cast("int").alias("bit"))
-    rows = bits.groupBy("row").agg(F.collect_set("bit").alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in rows.toLocalIterator():
-        own = np.zeros(_ROW_BITS, dtype=np.uint8)
-        own[r["bits"]] = 1
-        at = r["row"] * _ROW_BITS // 8
-        out[at : at + _ROW_BITS // 8] = np.packbits(own, bitorder="little")
-    return out
+    bits = items.select(F.explode("seeds").alias("seed")).select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(seed, 64) AS int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _touched(bitmap: np.ndarray, sizes: list[int]):

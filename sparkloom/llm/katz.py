@@ -203,8 +203,10 @@ def _count(group: pa.Table) -> pa.Table:
         at += n
     sizes = np.bincount(np.minimum(total, KEEP + 2), minlength=KEEP + 3)[1 : KEEP + 2]
     texts = total[keys == END].sum() if level == 1 else 0
-    out.append(("stats", level, part, 0, pack(sizes, np.array([total.sum(), (total > 0).sum(), texts]))))
-    return pa.Table.from_batches([_blobs(out)])
+    stats = np.array([*sizes, total.sum(), (total > 0).sum(), texts], dtype=np.int64)  # rows: a number is its place
+    k = len(stats)
+    numbers = [pa.array(["stats"] * k, pa.string()), pa.array(np.full(k, level, np.int32)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(k)), pa.nulls(k, pa.int64()), pa.array(stats)]
+    return pa.concat_tables([pa.Table.from_batches([_blobs(out)]), pa.Table.from_arrays(numbers, names=list(_KINDS))])
 
 
 def discounts(sizes: np.ndarray) -> np.ndarray:
@@ -383,13 +385,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = Fals
     counted = rows.mapInArrow(_ask(order, bits), _ROWS).groupBy(own).applyInArrow(_count, _ROWS)
     totals = materialize(counted, "katz-totals", ("kind",))
     counted = totals.select("kind", "level", "part", "chunk", "data", "history", "word", "n")
-    sizes, sums = [np.zeros(KEEP + 1, dtype=np.int64) for _ in range(order)], np.zeros(3, dtype=np.int64)
-    for r in counted.where("kind = 'stats'").select("level", "data").toLocalIterator():  # a few numbers a partition
-        some, own = unpack(bytes(r["data"]))
-        sizes[r["level"] - 1] += some.astype(np.int64)
-        if r["level"] == 1:
-            sums += own.astype(np.int64)
-    model = Model(sizes, *(int(x) for x in sums))
+    sums = np.zeros((order, KEEP + 4), dtype=np.int64)
+    for r in counted.where("kind = 'stats'").groupBy("level", "history").agg(F.sum("n").alias("n")).collect():  # KEEP + 4 numbers a level
+        sums[r["level"] - 1, r["history"]] = r["n"]
+    model = Model([row[: KEEP + 1] for row in sums], *(int(x) for x in sums[0, KEEP + 1 :]))
     judged = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
     judged = materialize(judged, "katz-chunks", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
     release(totals)

@@ -83,14 +83,13 @@ def features(text: str) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 100.0, steps: int = 150) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine with squared hinge loss; y is -1 or 1, classes weigh the same.
     Accelerated gradient steps over all rows; nothing is random."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     pull = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * strength
-    rate = 1 / (1 + 2 * strength * 2)  # rows have a squared length of 2 with the bias
-    w = v = np.zeros(x.shape[1], dtype=np.float32)
+    rate = np.float32(1 / (1 + 2 * strength * 2))  # rows have a squared length of 2 with the bias
+    w = v = np.zeros(x.shape[1] + 1, dtype=np.float32)
     for k in range(steps):
-        short = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (v - 2 * (x.T @ (pull * short * y)))
-        v = new + k / (k + 3) * (new - w)
+        push = pull * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * y
+        new = v - rate * (v - 2 * np.append(push @ x, push.sum()).astype(np.float32))
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
@@ -121,9 +120,10 @@ def fit(x: np.ndarray, langs: list[str]) -> dict:
     columns, slopes, parts = [], [], []
 
     def add(rows: np.ndarray, y: np.ndarray, what: tuple) -> None:
-        w = fit_svm(x[rows], y)
+        own = x if len(rows) == len(x) else x[rows]
+        w = fit_svm(own, y)
         columns.append(w)
-        slopes.append(fit_slope(x[rows] @ w[:-1] + w[-1], y))
+        slopes.append(fit_slope(own @ w[:-1] + w[-1], y))
         parts.append(what)
 
     every = np.arange(len(x))
@@ -193,7 +193,7 @@ def sample(docs: DataFrame) -> DataFrame:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(v, features(t).tobytes()) for v, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) if has_letter(t)]
+        rows = [(v, features(t).astype(np.float16).tobytes()) for v, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) if has_letter(t)]
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "x": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -203,7 +203,7 @@ def _sampled(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.empty((len(rows), DIM), dtype=np.float32)
     for k, r in enumerate(rows):
-        x[k] = np.frombuffer(r["x"], dtype=np.float32)
+        x[k] = np.frombuffer(r["x"], dtype=np.float16)
     return x, [r["lang"] for r in rows]
 
 
@@ -221,7 +221,7 @@ def learn_to_reject(docs: DataFrame) -> tuple[dict | None, float]:
     for half in (0, 1):  # each half is scored by classifiers of the other
         own, rest = slice(half, None, 2), slice(1 - half, None, 2)
         if langs[own] and langs[rest]:
-            lowest = min(lowest, float(predict(fit(x[rest], langs[rest]), x[own])[1].min()))
+            lowest = min(lowest, float(predict(fit(np.ascontiguousarray(x[rest]), langs[rest]), np.ascontiguousarray(x[own]))[1].min()))
     return fit(x, langs), REJECT * lowest if len(langs) > 1 else 0.0
 
 
