@@ -60,15 +60,18 @@ def band_join(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str,
     return x.join(y, [*by, "_bucket"]).where(F.abs(F.col(a) - F.col(b)) < width).drop("_bucket")
 
 
-def ladder(candidates: DataFrame, ref: str, target: str, rungs: list[tuple[str, Column, float]]) -> DataFrame:
-    """candidates(ref, target, ...): for each ref the first rung that exactly one candidate meets. Columns: ref, target,
-    rung, confidence; null target where no rung decides."""
-    flagged = candidates.select(ref, target, *[F.coalesce(test, F.lit(False)).alias(f"_r{n}") for n, (_, test, _) in enumerate(rungs)])
-    sums = flagged.groupBy(ref).agg(
-        *[F.count_if(F.col(f"_r{n}")).alias(f"_n{n}") for n in range(len(rungs))], *[F.min(F.when(F.col(f"_r{n}"), F.col(target))).alias(f"_t{n}") for n in range(len(rungs))]
-    )
-    first = F.coalesce(*[F.when(F.col(f"_n{n}") == 1, F.struct(F.col(f"_t{n}").alias("target"), F.lit(name).alias("rung"), F.lit(conf).alias("confidence"))) for n, (name, _, conf) in enumerate(rungs)])
-    return sums.withColumn("_f", first).select(ref, F.col("_f.target").alias(target), F.col("_f.rung").alias("rung"), F.col("_f.confidence").alias("confidence"))
+def ladder(refs: DataFrame, targets: DataFrame, ref: str, target: str, rungs: list[tuple[str, list[str], list[str], float]]) -> DataFrame:
+    """rungs(name, columns of refs, columns of targets, confidence): for each ref the first rung at which exactly one target has
+    the ref's values. Columns: ref, target, rung, confidence; null where no rung decides.
+
+    Targets are counted by a rung's columns before they are joined, and only those that stand alone are, so a join never
+    makes more rows than there are refs."""
+    rows = refs
+    for n, (_, own, theirs, _) in enumerate(rungs):
+        alone = targets.groupBy(*[F.col(t).alias(f"_k{n}_{k}") for k, t in enumerate(theirs)]).agg(F.min(target).alias(f"_t{n}"), F.count("*").alias("_c")).where("_c = 1").drop("_c")
+        rows = rows.join(alone, [rows[o] == alone[f"_k{n}_{k}"] for k, o in enumerate(own)], "left").drop(*[f"_k{n}_{k}" for k in range(len(own))])
+    first = F.coalesce(*[F.when(F.col(f"_t{n}").isNotNull(), F.struct(F.col(f"_t{n}").alias("target"), F.lit(name).alias("rung"), F.lit(conf).alias("confidence"))) for n, (name, _, _, conf) in enumerate(rungs)])
+    return rows.select(ref, first.alias("_f")).select(ref, F.col("_f.target").alias(target), F.col("_f.rung").alias("rung"), F.col("_f.confidence").alias("confidence"))
 
 
 def unique_suffix(refs: DataFrame, paths: DataFrame, ref: str, path: str) -> DataFrame:
@@ -81,17 +84,16 @@ def unique_suffix(refs: DataFrame, paths: DataFrame, ref: str, path: str) -> Dat
     return sums.select(ref, F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_n") == 1, F.col("_only")).alias(path))
 
 
-def last_match(rows: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """rules(pattern, verdict, ord): each row's verdict by the last rule that matches, null if none does. Rules are a
-    hand-written list."""
-    hit = rows.select(key, text).join(F.broadcast(rules), F.expr(f"{text} RLIKE pattern")).groupBy(key).agg(F.max_by("verdict", "ord").alias("verdict"))
-    return rows.select(key).join(hit, key, "left")
+def last_match(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """rules(pattern, verdict) in order: the verdict of the last rule that matches, null if none does. Rules are a hand-written
+    list and become one expression, so rows and rules are never joined."""
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(verdict)) for pattern, verdict in reversed(rules)])
 
 
-def most_specific(rows: DataFrame, rules: DataFrame, key: str, test: Column) -> DataFrame:
-    """rules(verdict, score, forbids): the verdict of the highest score; of equals, one that forbids."""
-    hit = rows.join(F.broadcast(rules), test).groupBy(key).agg(F.max_by("verdict", F.struct("score", "forbids", "verdict")).alias("verdict"))
-    return rows.select(key).distinct().join(hit, key, "left")
+def most_specific(rules: list[tuple[str, int, bool, Column]]) -> Column:
+    """rules(verdict, score, forbids, test): the verdict of the highest score; of equals, one that forbids. One expression."""
+    held = [F.when(test, F.struct(F.lit(score).alias("score"), F.lit(forbids).alias("forbids"), F.lit(verdict).alias("verdict"))) for verdict, score, forbids, test in rules]
+    return F.array_max(F.array_compact(F.array(*held)))["verdict"]
 
 
 def compare_outcomes(before: DataFrame, after: DataFrame, key: str, passed: str) -> DataFrame:

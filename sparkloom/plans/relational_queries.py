@@ -62,10 +62,8 @@ def ladder_link(spark: SparkSession, d: str) -> DataFrame:
     nation = read_table(spark, d, "nation").select(F.col("n_nationkey"), F.col("n_regionkey").alias("region"))
     c = read_table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").alias("cn"), "region", F.floor(F.col("c_acctbal") / 1000).alias("cb"))
     s = read_table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supp"), F.col("s_nationkey").alias("sn"), F.col("region").alias("sr"), F.floor(F.col("s_acctbal") / 1000).alias("sb"))
-    pairs = c.join(s, F.col("region") == F.col("sr"))
-    same, band = F.col("cn") == F.col("sn"), F.col("cb") == F.col("sb")
-    rungs = [("nation and band", same & band, 0.8), ("nation", same, 0.65), ("band", band, 0.5)]
-    return joins.ladder(pairs, "cust", "supp", rungs).select("cust", "supp", "rung", "confidence")
+    rungs = [("nation and band", ["cn", "cb"], ["sn", "sb"], 0.8), ("nation", ["cn"], ["sn"], 0.65), ("band", ["region", "cb"], ["sr", "sb"], 0.5)]
+    return joins.ladder(c, s, "cust", "supp", rungs).select("cust", "supp", "rung", "confidence")
 
 
 def unique_suffix(spark: SparkSession, d: str) -> DataFrame:
@@ -97,17 +95,14 @@ def anti_covered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def most_specific_rule(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame(
-        [("allow", 0, False, "%", "%"), ("forbid", 1, True, "Brand#1%", "%"), ("allow", 2, False, "Brand#1%", "%STEEL%"), ("forbid", 2, True, "%", "%BRASS%")],
-        "verdict string, score int, forbids boolean, brand string, kind string",
-    )
-    rows = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    return joins.most_specific(rows, rules, "p_partkey", F.expr("p_brand LIKE brand AND upper(p_type) LIKE kind"))
+    brand, kind = F.col("p_brand"), F.upper("p_type")
+    rules = [("allow", 0, False, F.lit(True)), ("forbid", 1, True, brand.startswith("Brand#1")), ("allow", 2, False, brand.startswith("Brand#1") & kind.contains("STEEL")), ("forbid", 2, True, kind.contains("BRASS"))]
+    return read_table(spark, d, "part").select("p_partkey", joins.most_specific(rules).alias("verdict"))
 
 
 def last_match_wins(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(".*", "keep", 0), ("/en/", "drop", 1), (r"/en/[0-9]*7", "keep", 2)], "pattern string, verdict string, ord int")
-    return joins.last_match(read_table(spark, d, "pages").select("page_id", "url"), rules, "page_id", "url")
+    rules = [(".*", "keep"), ("/en/", "drop"), (r"/en/[0-9]*7", "keep")]
+    return read_table(spark, d, "pages").select("page_id", joins.last_match(F.col("url"), rules).alias("verdict"))
 
 
 def compare_outcomes(spark: SparkSession, d: str) -> DataFrame:

@@ -7,13 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import glob_regex
+
 MAX_BYTES = 1_000_000
 #: Languages by file extension.
 LANGUAGES = {
     "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java",
     "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml",
 }
-TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]+$"
+TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|[._-](test|spec)\.[a-z]+$|(^|/)test_[^/]+$|(^|/)[^/]*Tests?\.java$"
+#: Folders that hold no sources of the repository's own.
+EXCLUDED = ("node_modules", ".git", "dist", "build", "coverage", "vendor", "target", "__pycache__", ".venv")
 MANIFESTS = ("package.json", "pyproject.toml", "go.mod", "Cargo.toml", "pom.xml", "requirements.txt")
 
 
@@ -35,15 +39,17 @@ def role_of(path: Column, language: Column) -> Column:
     )
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, size, hash, language, role, skipped, text): a row a file; text is null where the file is skipped. Empty files have
-    no row, for Spark's file sources pass over them."""
+def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(path, size, hash, language, role, skipped, text): a row a file outside the excluded folders and the ignored globs; text
+    is null where the file is skipped. Empty files have no row, for Spark's file sources pass over them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = re.sub(r"^[a-z]+:", "", root).strip("/")
     path = F.regexp_replace("path", r"^[a-z]+:/+" + re.escape(below) + "/", "")
     binary = F.instr(F.decode(F.substring("content", 1, 8192), "ISO-8859-1"), "\0") > 0
     skipped = F.when(F.col("length") > max_bytes, "too-large").when(binary, "binary")
     found = files.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), skipped.alias("skipped"), "content")
+    found = found.where(~F.arrays_overlap(F.split("path", "/"), F.lit(list(EXCLUDED))))
+    found = found.where(~F.col("path").rlike("|".join(glob_regex(g) for g in ignore))) if ignore else found
     found = found.withColumn("language", language_of(F.col("path")))
     text = F.when(F.col("skipped").isNull(), F.decode("content", "UTF-8"))
     return found.select("path", "size", "hash", "language", role_of(F.col("path"), F.col("language")).alias("role"), "skipped", text.alias("text"))
@@ -52,9 +58,9 @@ def scan(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
 def lcov(reports: DataFrame, key: str = "report", text: str = "text") -> DataFrame:
     """(path, line, hits) from LCOV texts: the most hits that any report has of a line."""
     rows = reports.select(key, F.posexplode(F.split(text, "\r?\n")).alias("at", "row"))
-    source = F.when(F.col("row").startswith("SF:"), F.substring("row", 4, 10_000))
+    source = F.when(F.col("row").startswith("SF:"), F.expr("substring(row, 4)"))
     rows = rows.withColumn("path", F.last(source, ignorenulls=True).over(Window.partitionBy(key).orderBy("at")))
-    hit = rows.where(F.col("row").startswith("DA:")).select("path", F.split(F.substring("row", 4, 10_000), ",").alias("v"))
+    hit = rows.where(F.col("row").startswith("DA:")).select("path", F.split(F.expr("substring(row, 4)"), ",").alias("v"))
     return hit.groupBy("path", F.get("v", F.lit(0)).try_cast("int").alias("line")).agg(F.max(F.get("v", F.lit(1)).try_cast("long")).alias("hits")).where("line IS NOT NULL")
 
 
@@ -75,7 +81,7 @@ def npm_lock(files: DataFrame) -> DataFrame:
 
 def block_lock(files: DataFrame) -> DataFrame:
     """(path, name, version) of lockfiles made of [[package]] blocks (Cargo, Poetry, uv)."""
-    blocks = files.select("path", F.explode(F.slice(F.split("text", r"\[\[package\]\]"), 2, 1_000_000)).alias("block"))
+    blocks = files.select("path", F.explode(F.filter(F.split("text", r"\[\[package\]\]"), lambda b, n: n > 0)).alias("block"))
     field = lambda name: F.nullif(F.regexp_extract("block", rf'(?m)^{name} *= *"([^"]*)"', 1), F.lit(""))
     return blocks.select("path", field("name").alias("name"), field("version").alias("version")).where("name IS NOT NULL")
 
