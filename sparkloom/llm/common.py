@@ -53,12 +53,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), options: dict | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
     Shuffle files of the job go when it ends, for nothing reads them again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     before = spark.conf.get(_CLEAN_UP)

@@ -47,6 +47,8 @@ SLIGHT = 1e-3
 CHUNK_TOKENS = 600_000
 #: Bytes of text for each partition of the model.
 PARTITION_BYTES = 24_000_000
+#: How counts are written: words of several chunks fit one dictionary.
+WRITTEN = {"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)}
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
 _ROWS = "kind string, level int, part int, chunk long, data binary, history long, word long, n long"
 _KINDS = {"kind": pa.string(), "level": pa.int32(), "part": pa.int32(), "chunk": pa.int64(), "data": pa.binary(), "history": pa.int64(), "word": pa.int64(), "n": pa.int64()}
@@ -390,7 +392,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, from_files: bool = Fals
         sums[r["level"] - 1, r["history"]] = r["n"]
     model = Model([row[: KEEP + 1] for row in sums], *(int(x) for x in sums[0, KEEP + 1 :]))
     judged = counted.where("kind IN ('state', 'answer')").groupBy("chunk").applyInArrow(_evaluate(model, bits), _ROWS)
-    judged = materialize(judged, "katz-chunks", ("kind",)).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
+    judged = materialize(judged, "katz-chunks", ("kind",), WRITTEN).select("kind", "level", "part", "chunk", "data", "history", "word", "n")
     release(totals)
     alphas = judged.where("kind IN ('history', 'ask')").groupBy(F.struct("level", "part")).applyInArrow(_back_off(model), _ROWS)
     scores = judged.where("kind = 'state'").union(alphas).groupBy("chunk").applyInArrow(_finish, _RESULT)
