@@ -94,7 +94,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", hops: i
     hops = min(max(hops, 0), MAX_HOPS)
     step = adjacency(edges.where(F.col("confidence") >= min_confidence))
     step = step if direction == "both" else step.where(F.col("direction") == direction)
-    step = step.select(F.col("node").alias("id"), "other").distinct()
+    step = settled(step.select(F.col("node").alias("id"), "other").distinct(), "walk-steps")  # made once, not in each hop
     found = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"))
     front = found
     for depth in range(1, hops + 1):

@@ -13,8 +13,8 @@ def duplicate_groups(rows: DataFrame, key: str, fingerprint: Column) -> DataFram
 
 
 def shingles(rows: DataFrame, key: str, words: Column, size: int) -> DataFrame:
-    """(key, shingle): the distinct runs of `size` words of each row."""
+    """(key, shingle): the distinct runs of `size` words of each row, as 64-bit hashes."""
     held = rows.select(key, words.alias("_w"))
     starts = F.when(F.size("_w") >= size, F.sequence(F.lit(1), F.size("_w") - (size - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, size), " ")))
+    runs = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("_w"), i, size))))
     return held.select(key, F.explode(runs).alias("shingle"))
