@@ -18,6 +18,8 @@ QUERIES = {
     "op8_katz_scores": "katz",
     "op9_decontaminate": "decontaminate",
     "op10_mixing": "mixing",
+    "op11_filter_audit": "filter_audit",
+    "op12_exact_dedup": "exact_dedup",
 }
 
 
