@@ -20,6 +20,7 @@ QUERIES = {
     "op10_mixing": "mixing",
     "op11_filter_audit": "filter_audit",
     "op12_exact_dedup": "exact_dedup",
+    "op13_turn_repair": "turn_repair",
 }
 
 
