@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text_queries", "graph_queries", "relational_queries", "pattern_queries", "code_queries", "source_queries", "repository_queries")
+MODULES: tuple[str, ...] = ("text_queries", "graph_queries", "relational_queries", "pattern_queries", "code_queries", "source_queries", "repository_queries", "packing_queries")
 
 
 def _merged(attribute: str) -> dict:
