@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import linking
+from sparkloom.operators import clustering, linking
+from sparkloom.operators import flows as flow
 from sparkloom.session import read_table
 
 #: name -> query over the given tables and earlier names.
@@ -45,6 +46,19 @@ DERIVED = {
         x.path || '#make' || x.k AS from_node, CASE WHEN (x.k + y.k) % 11 = 0 THEN 'gone' WHEN (x.k + y.k) % 5 < 2 THEN 'make' || (y.k % 40) WHEN (x.k + y.k) % 5 = 4 THEN 'make' || (x.k % 40) ELSE 'C' || (y.k % 300) END AS name,
         (x.k + y.k) % 3 = 0 AS member, CASE WHEN (x.k + y.k) % 3 <> 0 THEN NULL WHEN y.z % 2 = 0 THEN 'self' ELSE 'C' || (y.k % 300) END AS receiver
         FROM pairs JOIN files x ON a = x.k JOIN files y ON c = y.k""",
+    "scopes": """SELECT k, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'lib' || CAST((k - k % 30) / 30 AS BIGINT) ELSE 'lib' || CAST((k - k % 30) / 30 AS BIGINT) || '/lib' || CAST((k - k % 3) / 3 AS BIGINT) END AS scope,
+        'lib' || CAST((k - k % 3) / 3 + CASE k % 3 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS name FROM named""",
+    "entries": "SELECT DISTINCT scope, name FROM scopes",
+    "requires": """SELECT DISTINCT CASE x.scope WHEN '' THEN x.name ELSE x.scope || '/' || x.name END AS path, y.name FROM pairs JOIN scopes x ON a = x.k JOIN scopes y ON c = y.k
+        UNION ALL SELECT DISTINCT '' AS path, name FROM scopes WHERE k % 40 = 0""",
+    "calls": "SELECT a AS caller, c AS callee FROM pairs",
+    "sources": "SELECT k AS function, 'input' || (k % 3) AS source FROM named WHERE z % 9 = 1 AND k % 5 = 0",
+    "sinks": "SELECT k AS function, CASE k % 2 WHEN 0 THEN 'query' ELSE 'markup' END AS sink, k % 500 AS line FROM named WHERE z % 8 = 2",
+    "cleaners": "SELECT k AS function, 'input' || (k * 3 % 4) AS source FROM named WHERE k % 7 < 3",
+    "modules": """SELECT 'src/' || b || '/' || t || '/m' || CAST((k - k % 40) / 40 AS BIGINT) AS module, 'src/' || b || '/' || t AS folder, count(*) AS size, CASE WHEN min(b) IN ('brand1', 'brand7') THEN 'api' END AS role
+        FROM named GROUP BY 'src/' || b || '/' || t || '/m' || CAST((k - k % 40) / 40 AS BIGINT), 'src/' || b || '/' || t""",
+    "module_links": """SELECT 'src/' || x.b || '/' || x.t || '/m' || CAST((x.k - x.k % 40) / 40 AS BIGINT) AS a, 'src/' || y.b || '/' || y.t || '/m' || CAST((y.k - y.k % 40) / 40 AS BIGINT) AS b, count(*) AS weight
+        FROM pairs JOIN named x ON a = x.k JOIN named y ON c = y.k GROUP BY 'src/' || x.b || '/' || x.t || '/m' || CAST((x.k - x.k % 40) / 40 AS BIGINT), 'src/' || y.b || '/' || y.t || '/m' || CAST((y.k - y.k % 40) / 40 AS BIGINT)""",
 }
 
 
@@ -87,6 +101,20 @@ def name_links(spark: SparkSession, d: str) -> DataFrame:
     return linking.link_names(*derived(spark, d, "name_refs", "symbols", "imports"))
 
 
+def scoped_depths(spark: SparkSession, d: str) -> DataFrame:
+    return flow.scoped_depths(*derived(spark, d, "entries", "requires"))
+
+
+def taint_flows(spark: SparkSession, d: str) -> DataFrame:
+    return flow.flows(*derived(spark, d, "calls", "sources", "sinks", "cleaners"))
+
+
+def module_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of modules, after folders are collapsed and what is left is merged by affinity."""
+    modules, links = derived(spark, d, "modules", "module_links")
+    return clustering.cluster_modules(modules, links)
+
+
 #: Each reference against every file that fits, by endings and beginnings.
 _FITS = r"""
 asked AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM refs),
@@ -150,6 +178,20 @@ SELECT ref_id, CASE rung WHEN 'imported name' THEN id2 WHEN 'imported file' THEN
     - CASE WHEN member AND rung NOT IN ('same file', 'same file member') THEN 0.1 ELSE 0 END, 2)::DOUBLE AS confidence,
   CASE WHEN rung IS NOT NULL THEN 'linked' WHEN n = 0 AND how <> 'call' THEN 'missing' WHEN n = 0 OR member THEN 'dropped' ELSE 'ambiguous' END AS status
 FROM p"""),
+    "scoped_depths": "WITH RECURSIVE" + with_derived("""
+told AS (SELECT DISTINCT scope, name, CASE scope WHEN '' THEN name ELSE scope || '/' || name END AS path FROM entries),
+links AS (SELECT r.path AS src, t.path AS dst FROM (SELECT DISTINCT path, name FROM requires) r JOIN told t ON t.name = r.name AND (t.scope = '' OR t.scope = r.path OR starts_with(r.path, t.scope || '/'))
+  QUALIFY length(t.scope) = max(length(t.scope)) OVER (PARTITION BY r.path, r.name)),
+walk AS (SELECT '' AS path, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = path WHERE depth < 40)
+SELECT path, min(depth) AS depth FROM walk WHERE path <> '' GROUP BY path""").removeprefix("WITH"),
+    "taint_flows": "WITH RECURSIVE" + with_derived("""
+walk AS (
+  SELECT function, source, 0 AS steps FROM sources s WHERE NOT EXISTS (SELECT 1 FROM cleaners c WHERE c.function = s.function AND c.source = s.source)
+  UNION
+  SELECT callee, source, steps + 1 FROM walk w JOIN (SELECT DISTINCT caller, callee FROM calls WHERE caller <> callee) ON caller = function
+  WHERE steps < 30 AND NOT EXISTS (SELECT 1 FROM cleaners c WHERE c.function = callee AND c.source = w.source)),
+met AS (SELECT w.source, k.sink, k.line, w.function, w.steps FROM walk w JOIN sinks k ON k.function = w.function)
+SELECT source, sink, line, function, steps FROM met QUALIFY row_number() OVER (PARTITION BY source, sink, line ORDER BY steps, function) = 1""").removeprefix("WITH"),
 }
 
-QUERIES = {"import_links": import_links, "import_edges": import_edges, "name_links": name_links}
+QUERIES = {"import_links": import_links, "import_edges": import_edges, "name_links": name_links, "scoped_depths": scoped_depths, "taint_flows": taint_flows, "module_components": module_components}
