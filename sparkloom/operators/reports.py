@@ -65,9 +65,12 @@ def rule_deviations(dependencies: DataFrame, layers: dict[str, list[str]], rules
     """dependencies(path, target): files, or names of things outside, that files depend on -> (path, target, src_layer,
     dst_layer, rule): those that a rule forbids. A path is in the first layer that has a glob for it."""
     of = lambda c: code.layer_of(F.col(c), layers)
-    rows = dependencies.select("path", "target", of("path").alias("src_layer"), F.coalesce(of("target"), F.when(F.contains("target", F.lit(":")), F.col("target"))).alias("dst_layer"))
+    pair = F.struct(of("path").alias("src_layer"), F.coalesce(of("target"), F.when(F.contains("target", F.lit(":")), F.col("target"))).alias("dst_layer"))
+    # an array of one is a step that filters aren't pushed through, or the layers' patterns would stand in each of them again
+    rows = dependencies.select("path", "target", F.explode(F.array(pair)).alias("l")).select("path", "target", "l.*")
     rows = rows.where("src_layer IS NOT NULL AND dst_layer IS NOT NULL AND src_layer <> dst_layer")
-    return rows.withColumn("rule", verdict(F.col("src_layer"), F.col("dst_layer"), rules, list(layers), layering)).where("rule IS NOT NULL")
+    told = F.explode(F.array(verdict(F.col("src_layer"), F.col("dst_layer"), rules, list(layers), layering))).alias("rule")
+    return rows.select("path", "target", "src_layer", "dst_layer", told).where("rule IS NOT NULL")
 
 
 def advisory_findings(advisories: DataFrame) -> DataFrame:
@@ -108,12 +111,16 @@ def top_directories(files: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.size(F.split("dir", "/")), "dir").limit(k)
 
 
-def set_digest(rows: DataFrame, path: str, content: str, buckets: int = 256) -> DataFrame:
-    """One row with a digest that doesn't depend on the order of rows: (path, hash) pairs are sorted and hashed in buckets by
-    their hash, then the buckets' digests."""
+def set_digest(rows: DataFrame, path: str, content: str) -> DataFrame:
+    """(digest, n): one row that doesn't depend on the order of rows. Each (path, hash) pair's SHA-256 is cut into eight numbers
+    of 32 bits, which are added up modulo 2^32 and written one after another: sums need no sorting and no group, and what leaves
+    a task is one row. A repeated row counts each time."""
     one = F.sha2(F.concat_ws("\x00", path, content), 256)
-    per = rows.select(one.alias("h")).groupBy(F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % buckets).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return per.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("digest"), F.count("*").alias("buckets"))
+    part = lambda k: F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long")
+    # as decimals, for a sum of more than 2^31 such numbers doesn't fit into a long
+    sums = rows.select(one.alias("h")).agg(*[F.sum(part(k).cast("decimal(10,0)")).alias(f"s{k}") for k in range(8)], F.count("*").alias("n"))
+    parts = [F.lpad(F.lower(F.hex((F.coalesce(f"s{k}", F.lit(0)) % (1 << 32)).cast("long"))), 8, "0") for k in range(8)]
+    return sums.select(F.concat(*parts).alias("digest"), "n")
 
 
 def line_windows(lines: DataFrame, key: str, size: int = 6) -> DataFrame:

@@ -81,14 +81,23 @@ def declarations(lines: DataFrame, language: Column) -> DataFrame:
     return lines.select("file", "line_no", found.alias("d"), indent(F.col("line")).alias("indent")).where("d IS NOT NULL").select("file", "line_no", "d.kind", "d.name", "indent")
 
 
-def python_blocks(lines: DataFrame, declared: DataFrame) -> DataFrame:
-    """declared with end_line: the last line before code that is indented no further."""
-    code_rows = lines.where(F.trim("line") != "").select(F.col("file").alias("_f"), F.col("line_no").alias("_at"), indent(F.col("line")).alias("_in"))
-    after = declared.join(code_rows, F.expr("file = _f AND _at > line_no AND _in <= indent"), "left").groupBy(*declared.columns).agg(F.min("_at").alias("_stop"))
-    last = code_rows.groupBy(F.col("_f").alias("_g")).agg(F.max("_at").alias("_last"))
-    body = after.join(last, F.col("file") == F.col("_g")).withColumn("_stop", F.coalesce("_stop", F.col("_last") + 1))
-    inside = body.join(code_rows, F.expr("file = _f AND _at >= line_no AND _at < _stop")).groupBy(*declared.columns).agg(F.max("_at").alias("end_line"))
-    return inside
+def python_blocks(lines: DataFrame, declared: DataFrame, deepest: int = 100) -> DataFrame:
+    """declared with end_line: the last line before code that is indented no further.
+
+    A line is put once beside each depth that declarations have (deeper ones than `deepest` count as that deep) and that it could
+    stop; the next such line behind a declaration ends it. Rows are lines times the few depths, never lines times declarations."""
+    code_rows = lines.where(F.trim("line") != "").select("file", "line_no", F.least(indent(F.col("line")), F.lit(deepest)).alias("_in"))
+    depths = declared.select(F.least("indent", F.lit(deepest)).alias("_in")).distinct()
+    stops = code_rows.join(F.broadcast(depths.withColumnRenamed("_in", "_depth")), F.col("_in") <= F.col("_depth"))  # depths: `deepest` rows at most
+    own = declared.select("file", F.col("line_no").alias("_at"), F.least("indent", F.lit(deepest)).alias("_depth")).distinct()
+    w = Window.partitionBy("file", "_depth").orderBy("line_no")
+    following = stops.select("file", "_depth", "line_no", F.lead("line_no").over(w).alias("_stop"))
+    before = Window.partitionBy("file").orderBy("line_no")
+    last = code_rows.select("file", F.col("line_no").alias("_stop"), F.lag("line_no").over(before).alias("_end"))
+    whole = code_rows.groupBy("file").agg(F.max("line_no").alias("_last"))
+    found = own.join(following.withColumnRenamed("line_no", "_at"), ["file", "_depth", "_at"], "left").join(last, ["file", "_stop"], "left").join(whole, "file")
+    ends = found.select("file", F.col("_at").alias("line_no"), F.coalesce("_end", "_last").alias("end_line"))
+    return declared.join(ends, ["file", "line_no"]).select(*declared.columns, "end_line")
 
 
 def python_nesting(lines: DataFrame, functions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import clustering, linking
 from sparkloom.operators import flows as flow
-from sparkloom.session import read_table
+from sparkloom.plans.derived import over_tables
 
 #: name -> query over the given tables and earlier names.
 DERIVED = {
@@ -63,24 +63,12 @@ DERIVED = {
 
 
 def derived(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
-    made: dict[str, DataFrame] = {t: read_table(spark, d, t) for t in ("part", "lineitem")}
+    made: dict[str, DataFrame] = {}
     for name, sql in DERIVED.items():
-        made[name] = spark.sql(_marked(sql, made), **{t: made[t] for t in made if _uses(sql, t)})
+        made[name] = over_tables(spark, d, sql, made)
     return [made[n] for n in names]
 
 
-def _uses(sql: str, name: str) -> bool:
-    return f" {name} " in f"{sql} ".replace("\n", " ")
-
-
-def _marked(sql: str, names: dict) -> str:
-    """Names of tables as parameters, which follow FROM or JOIN."""
-    out = f"{sql} ".replace("\n", " ")
-    for n in names:
-        out = out.replace(f"FROM {n} ", "FROM {" + n + "} ").replace(f"JOIN {n} ", "JOIN {" + n + "} ")
-    return out
-
-
 def with_derived(sql: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in DERIVED.items()) + ",\n" + sql
 

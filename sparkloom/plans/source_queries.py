@@ -1,4 +1,5 @@
-"""Queries over a small repository of lines that both engines get: sections, declarations, signals, rules, manifests, coverage."""
+"""Queries over the lines of source files that derive from the business tables: sections, declarations, signals, rules, manifests,
+coverage. Where an oracle doesn't read the lines, it says what follows from the tables' columns by the templates."""
 
 from __future__ import annotations
 
@@ -6,106 +7,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import source_lines as S
-from sparkloom.plans.code_queries import _values
+from sparkloom.plans.derived import LINES_SQL, UNITS, source_lines
+from sparkloom.plans.derived import values as _values
 from sparkloom.sources.files import language_of
 
-FILES = {
-    "docs/a.md": "---\nname: guide\ntags: [a, b]\nversion: '2'\n---\n# Title\ntext\n## Use it\n```\n# no heading\n```\n### Deep `x` ##\n## Use it\n# Last\nend",
-    "docs/b.md": "## Low\ntext\n# High\nname: no\n",
-    "src/m.py": "import os, sys\nfrom json import dumps as d, loads\nimport re  # used below\n\nclass Box:\n    def put(self, x, *, y=(1, 2)):\n        if x:\n            for k in y:\n                while k:\n                    k -= 1\n        return d(x)\n\n    def gone(self):\n        raise NotImplementedError\n\ndef main(args: dict[str, int], /, n=3):\n    with open('f', 'w') as f:\n        f.write(os.environ['A'])\n    if re.match('a', 'b'):\n        logging.info('x')\n    return Box().put(1)",
-    "src/n.py": "from m import Box, main\nmain({})\n\ndef lonely():\n    return requests.get('http://x')",
-    "src/a.go": "package a\n\ntype Server struct {\n\tname string\n}\n\nfunc (s *Server) Run(ctx context.Context) error {\n\tif s.name == \"{\" { // {{\n\t\treturn exec.Command(\"x\").Run()\n\t}\n\treturn nil\n}\n\nfunc New() *Server { return &Server{} }",
-    "src/b.rs": "pub struct Point { x: i32 }\n\npub(crate) fn make(a: i32, b: (i32, i32)) -> Point {\n    todo!()\n}\n\ntrait Draw {\n    fn draw(&self);\n}\nmod inner {}",
-    "src/C.java": "public class C {\n    private static int count(List<String> a, int b) {\n        return 1;\n    }\n    interface Inner {}\n}",
-    ".github/workflows/ci.yml": "on: [pull_request, push]\njobs:\n  a:\n    runs-on: [self-hosted]\n    permissions:\n      contents: write\n    steps:\n      - uses: actions/checkout@v4\n      - uses: x/y@0123456789012345678901234567890123456789\n      - run: |\n          echo ${{ github.event.issue.title }}\n          echo ${{ secrets.KEY }}\n      - name: ${{ github.head_ref }}\n      - run: curl http://x | sudo sh",
-    ".github/workflows/ok.yml": "on: push\njobs:\n  b:\n    steps:\n      - run: echo ${{ github.event.pull_request.body }}\n      - uses: ./local@v1",
-    "k8s/all.yml": "kind: Deployment\nspec:\n  containers:\n    - image: nginx\n      securityContext:\n        privileged: true\n---\nkind: ClusterRole\nrules:\n  - verbs: [\"*\"]\n---\nkind: Pod\nspec:\n  securityContext:\n    runAsNonRoot: true\n  containers:\n    - image: a/b:1.2\n      resources:\n        limits: {}\n---\nkind: Ingress\nspec: {}",
-    "requirements-dev.txt": "requests==2.1 # pinned\nflask[async]>=2,<3\n# comment\n-r other.txt\nnumpy",
-    "go.mod": "module x/y\n\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgolang.org/x/c v0.1.0 // indirect\n)",
-    "Cargo.toml": "[package]\nname = \"p\"\n[dependencies]\nserde = \"1.0\"\ntokio = { version = \"1.2\", features = [\"full\"] }\n[dev-dependencies]\nrand = \"0.8\"",
-    "cov/go.out": "mode: set\na/x.go:1.2,3.4 2 1\na/x.go:3.1,4.2 1 0",
-    "cov/cobertura.xml": "<class name=\"k\" filename=\"p/k.py\">\n<line number=\"1\" hits=\"3\"/>\n<line number=\"2\" hits=\"0\"/>\n<class name=\"l\" filename=\"p/l.py\">\n<line number=\"1\" hits=\"0\"/>\n<line number=\"1\" hits=\"5\"/>",
-    "cov/jacoco.xml": "<sourcefile name=\"J.java\">\n<line nr=\"7\" mi=\"0\" ci=\"4\"/>\n<line nr=\"8\" mi=\"2\" ci=\"0\"/>",
-}
-ROWS = [(file, n, line) for file, text in FILES.items() for n, line in enumerate(text.split("\n"), 1)]
-SIGNATURES = ["f(a, b)", "def put(self, x, *, y=(1, 2)):", "fn make(a: i32, b: (i32, i32)) -> Point {", "int count(Map<String, List<Integer>> a, int b) {", "f()", "func (s *S) Run(ctx context.Context) error {", "no brackets", "g(&mut self, f: fn(a, b) -> c)"]
+#: Lines that declare a function.
+SIGNATURE = r"^\s*(def |func |pub.* fn |fn |private static )"
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROWS, "file string, line_no int, line string")
+def _lines(spark: SparkSession, d: str, like: str = "") -> DataFrame:
+    rows = source_lines(spark, d)
+    return rows.where(F.col("file").rlike(like)) if like else rows
 
 
-def _declared(spark: SparkSession) -> DataFrame:
-    return S.declarations(_lines(spark), language_of(F.col("file")))
+def _declared(spark: SparkSession, d: str) -> DataFrame:
+    return S.declarations(_lines(spark, d), language_of(F.col("file")))
 
 
-def _python(spark: SparkSession) -> DataFrame:
-    lines = _lines(spark).where("file LIKE '%.py'")
+def _python(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d, "[.]py$")
     return S.python_blocks(lines, S.declarations(lines, F.lit("python")))
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    return S.sections(_lines(spark).where("file LIKE '%.md'"))
+    return S.sections(_lines(spark, d, "[.]md$"))
 
 
 def front_matter_fields(spark: SparkSession, d: str) -> DataFrame:
-    return S.front_matter(_lines(spark).where("file LIKE '%.md'"))
+    return S.front_matter(_lines(spark, d, "[.]md$"))
 
 
 def declarations_by_language(spark: SparkSession, d: str) -> DataFrame:
-    return _declared(spark)
+    return _declared(spark, d)
 
 
 def python_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _python(spark)
+    return _python(spark, d)
 
 
 def python_nesting(spark: SparkSession, d: str) -> DataFrame:
-    return S.python_nesting(_lines(spark), _python(spark).where("kind = 'function'"))
+    return S.python_nesting(_lines(spark, d), _python(spark, d).where("kind = 'function'"))
 
 
 def brace_depth(spark: SparkSession, d: str) -> DataFrame:
-    return S.brace_depth(_lines(spark).where("file RLIKE '[.](go|rs|java)$'"))
+    return S.brace_depth(_lines(spark, d, "[.](go|rs|java)$"))
 
 
 def parameter_counts(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SIGNATURES], "signature string").select("signature", S.param_count(F.col("signature")).alias("n"))
+    lines = _lines(spark, d, "^src/").where(F.col("line").rlike(SIGNATURE))
+    return lines.select("file", "line_no", S.param_count(F.col("line")).alias("n"))
 
 
 def line_signals(spark: SparkSession, d: str) -> DataFrame:
-    return S.signal_hits(_lines(spark).where("file LIKE 'src/%'"))
+    return S.signal_hits(_lines(spark, d, "^src/"))
 
 
 def placeholder_functions(spark: SparkSession, d: str) -> DataFrame:
-    return S.placeholders(_lines(spark).where("file LIKE 'src/%'"), _python(spark))
+    return S.placeholders(_lines(spark, d, "^src/"), _python(spark, d))
 
 
 def unused_imports(spark: SparkSession, d: str) -> DataFrame:
-    return S.unused_imports(_lines(spark).where("file LIKE '%.py'"))
+    return S.unused_imports(_lines(spark, d, "[.]py$"))
 
 
 def dead_declarations(spark: SparkSession, d: str) -> DataFrame:
-    return S.dead_declarations(_declared(spark).where("file LIKE '%.py'"), _lines(spark).where("file LIKE '%.py'"))
+    return S.dead_declarations(_declared(spark, d).where("file LIKE '%.py'"), _lines(spark, d, "[.]py$"))
 
 
 def workflow_rules(spark: SparkSession, d: str) -> DataFrame:
-    return S.workflow_hits(_lines(spark).where("file LIKE '.github/%'"))
+    return S.workflow_hits(_lines(spark, d, "^[.]github/"))
 
 
 def manifest_rules(spark: SparkSession, d: str) -> DataFrame:
-    return S.manifest_hits(_lines(spark).where("file LIKE 'k8s/%'"))
+    return S.manifest_hits(_lines(spark, d, "^k8s/"))
 
 
 def required_packages(spark: SparkSession, d: str) -> DataFrame:
-    return S.requirements(_lines(spark))
+    return S.requirements(_lines(spark, d))
 
 
 def coverage_formats(spark: SparkSession, d: str) -> DataFrame:
-    return S.coverage_lines(_lines(spark).where("file LIKE 'cov/%'"))
+    return S.coverage_lines(_lines(spark, d, "^cov/"))
 
 
 def large_files(spark: SparkSession, d: str) -> DataFrame:
-    return S.large_files(_lines(spark), 20)
+    return S.large_files(_lines(spark, d), 20)
 
 
 QUERIES = {
@@ -116,7 +102,8 @@ QUERIES = {
     )
 }
 
-_L = _values(ROWS, "l(file, line_no, line)")
+_L = LINES_SQL
+_UNIT = f"WITH u AS ({UNITS})"
 _LANG = "CASE regexp_extract(file, '[.](\\w+)$', 1) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' END"
 _KINDS = ", ".join(f"('{lang}', {n}, '{kind}', '{p}')" for lang, kinds in S.DECLARATIONS.items() for n, (kind, p) in enumerate(kinds.items()))
 _DECL = f"""k(lang, n, kind, pattern) AS (VALUES {_KINDS}), dm AS (SELECT file, line_no, line, kind, n, pattern FROM l JOIN k ON lang = {_LANG} WHERE regexp_matches(line, pattern)),
@@ -131,22 +118,31 @@ ORACLES = {
         n AS (SELECT *, t || CASE WHEN row_number() OVER (PARTITION BY file, t ORDER BY line_no) > 1 THEN ' (' || row_number() OVER (PARTITION BY file, t ORDER BY line_no) || ')' ELSE '' END AS title FROM h)
         SELECT file, line_no, coalesce((SELECT min(x.line_no) - 1 FROM n x WHERE x.file = n.file AND x.line_no > n.line_no AND x.level <= n.level), size)::INTEGER AS end_line, level, title,
         (SELECT arg_max(x.title, x.line_no) FROM n x WHERE x.file = n.file AND x.line_no < n.line_no AND x.level < n.level AND NOT EXISTS (SELECT 1 FROM n y WHERE y.file = n.file AND y.line_no > x.line_no AND y.line_no < n.line_no AND y.level <= x.level)) AS parent FROM n""",
-    "front_matter_fields": "SELECT * FROM (VALUES ('docs/a.md', 'name', 'guide'), ('docs/a.md', 'tags', '[a, b]'), ('docs/a.md', 'version', '2')) t(file, key, value)",
+    "front_matter_fields": f"""{_UNIT} SELECT 'docs/d' || k || '.md' AS file, unnest(['name', 'tags', 'version']) AS key, unnest(['guide' || k, '[a, ' || name || ']', z::VARCHAR]) AS value FROM u WHERE kind = 4 AND z % 2 = 0""",
     "declarations_by_language": f"WITH {_L}, {_DECL} SELECT * FROM decl",
     "python_spans": f"WITH {_L}, {_PY} SELECT * FROM py",
     "python_nesting": f"""WITH {_L}, {_PY} SELECT py.file, py.name, coalesce(max(CASE WHEN regexp_matches(c.line, '^\\s*(if|for|while|try)\\b') THEN (c.i - py.indent) / 4 END), 0)::INTEGER AS nesting FROM py LEFT JOIN c ON c.file = py.file AND c.line_no > py.line_no AND c.line_no <= end_line WHERE kind = 'function' GROUP BY ALL""",
-    "brace_depth": "SELECT * FROM (VALUES ('src/a.go', 2), ('src/b.rs', 1), ('src/C.java', 2)) t(file, depth)",
-    "parameter_counts": f"WITH {_values(list(zip(SIGNATURES, [2, 2, 2, 2, 0, 1, 0, 1], strict=True)), 't(signature, n)')} SELECT * FROM t",
+    "brace_depth": f"""{_UNIT} SELECT 'src/a' || k || '.go' AS file, 2 + z % 2 AS depth FROM u WHERE kind = 1 UNION ALL SELECT 'src/b' || k || '.rs', 1 FROM u WHERE kind = 2 UNION ALL SELECT 'src/C' || k || '.java', 2 FROM u WHERE kind = 3""",
+    "parameter_counts": f"""WITH {_L}, c AS (SELECT file, line_no, string_split(regexp_extract(line, '[(](.*)[)][^)]*$', 1), '') AS c FROM l WHERE starts_with(file, 'src/') AND regexp_matches(line, '^\\s*(def |func |pub.* fn |fn |private static )')),
+        d AS (SELECT file, line_no, c, list_transform(range(1, len(c) + 1), lambda k: len(list_filter(c[:k], lambda x: x IN ('(', '[', '<'))) - len(list_filter(c[:k], lambda x: x IN (')', ']', '>')))) AS deep FROM c),
+        p AS (SELECT file, line_no, list_transform(string_split(array_to_string(list_transform(range(1, len(c) + 1), lambda k: CASE WHEN deep[k] = 0 AND c[k] = ',' THEN chr(31) ELSE c[k] END), ''), chr(31)), lambda x: trim(x)) AS p FROM d)
+        SELECT file, line_no, len(list_filter(p, lambda x: x NOT IN ('', 'self', '&self', '*', '/')))::INTEGER AS n FROM p""",
     "line_signals": f"WITH {_L}, {_values([(n, p) for n, p in S.SIGNALS.items()], 's(family, pattern)')} SELECT file, line_no, family FROM l JOIN s ON regexp_matches(line, pattern) WHERE file LIKE 'src/%'",
     "placeholder_functions": f"WITH {_L}, {_PY} SELECT l.file, l.line_no, arg_max(name, py.line_no) AS name FROM l LEFT JOIN py ON py.file = l.file AND l.line_no BETWEEN py.line_no AND end_line WHERE l.file LIKE 'src/%' AND regexp_matches(l.line, 'NotImplementedError|todo!') GROUP BY l.file, l.line_no",
-    "unused_imports": "SELECT * FROM (VALUES ('src/m.py', 'sys'), ('src/m.py', 'loads'), ('src/n.py', 'Box')) t(file, name)",
+    "unused_imports": f"""{_UNIT} SELECT 'src/m' || k || '.py' AS file, 'sys' AS name FROM u WHERE kind = 0 UNION ALL SELECT 'src/m' || k || '.py', 'os' FROM u WHERE kind = 0 AND z % 5 <> 0 UNION ALL SELECT 'src/m' || k || '.py', 'loads' FROM u WHERE kind = 0 AND z % 2 = 0""",
     "dead_declarations": f"""WITH {_L}, {_DECL}, w AS (SELECT file, unnest(regexp_extract_all(line, '[A-Za-z_]\\w*')) AS name FROM l WHERE file LIKE '%.py')
         SELECT file, line_no, name, CASE WHEN (SELECT count(*) FROM w WHERE w.name = decl.name) = 1 THEN 'unused' WHEN (SELECT count(DISTINCT w.file) FROM w WHERE w.name = decl.name) = 1 THEN 'internal' ELSE 'used' END AS verdict FROM decl WHERE file LIKE '%.py'""",
-    "workflow_rules": """SELECT '.github/workflows/' || f AS file, n AS line_no, rule FROM (VALUES ('ci.yml', 1, 'permissions'), ('ci.yml', 4, 'self-hosted'), ('ci.yml', 6, 'permissions'), ('ci.yml', 8, 'unpinned-action'), ('ci.yml', 11, 'template-injection'), ('ci.yml', 12, 'secret-exposure'),
-        ('ci.yml', 14, 'pipe-to-shell'), ('ok.yml', 5, 'template-injection')) t(f, n, rule)""",
-    "manifest_rules": "SELECT 'k8s/all.yml' AS file, n AS line_no, rule FROM (VALUES (4, 'mutable-image'), (6, 'privileged'), (1, 'root'), (3, 'no-limits'), (10, 'rbac-wildcard'), (21, 'ingress-no-tls')) t(n, rule)",
-    "required_packages": """SELECT * FROM (VALUES ('requirements-dev.txt', 'pypi', 'requests', '==2.1'), ('requirements-dev.txt', 'pypi', 'flask', '>=2,<3'), ('requirements-dev.txt', 'pypi', 'numpy', ''), ('go.mod', 'go', 'github.com/a/b', 'v1.2.3'), ('go.mod', 'go', 'golang.org/x/c', 'v0.1.0'),
-        ('Cargo.toml', 'cargo', 'serde', '1.0'), ('Cargo.toml', 'cargo', 'tokio', '1.2'), ('Cargo.toml', 'cargo', 'rand', '0.8')) t(file, ecosystem, name, spec)""",
-    "coverage_formats": "SELECT * FROM (VALUES ('a/x.go', 1, 1), ('a/x.go', 2, 1), ('a/x.go', 3, 1), ('a/x.go', 4, 0), ('p/k.py', 1, 3), ('p/k.py', 2, 0), ('p/l.py', 1, 5), ('J.java', 7, 4), ('J.java', 8, 0)) t(path, line, hits)",
+    "workflow_rules": f"""WITH {_L}, w AS (SELECT *, min(CASE WHEN line = 'jobs:' THEN line_no END) OVER f AS jobs, bool_or(contains(line, 'pull_request')) OVER f AS open, bool_or(line = 'permissions:') OVER f AS perms FROM l WHERE starts_with(file, '.github/') WINDOW f AS (PARTITION BY file))
+        SELECT file, line_no, CASE WHEN contains(line, 'issue.title') THEN 'template-injection' WHEN contains(line, 'checkout@v') THEN 'unpinned-action' WHEN contains(line, 'secrets.KEY') THEN 'secret-exposure' WHEN contains(line, 'curl') THEN 'pipe-to-shell' ELSE 'self-hosted' END AS rule
+        FROM w WHERE regexp_matches(line, 'issue[.]title|checkout@v|secrets[.]KEY|curl') OR (open AND contains(line, 'self-hosted')) UNION ALL SELECT DISTINCT file, 1, 'permissions' FROM w WHERE open AND NOT perms""",
+    "manifest_rules": f"""WITH {_L}, m AS (SELECT * FROM l WHERE starts_with(file, 'k8s/')), u AS ({UNITS}), f AS (SELECT 'k8s/s' || k || '.yml' AS file, z FROM u WHERE kind = 6)
+        SELECT file, line_no, CASE WHEN contains(line, 'nginx') THEN 'mutable-image' ELSE 'privileged' END AS rule FROM m WHERE contains(line, 'nginx') OR contains(line, 'privileged')
+        UNION ALL SELECT file, 1, 'root' FROM f WHERE z % 3 <> 2 UNION ALL SELECT file, 3, 'no-limits' FROM f WHERE z % 4 <> 1 UNION ALL SELECT file, line_no, 'rbac-wildcard' FROM m WHERE contains(line, '"*"')
+        UNION ALL SELECT file, line_no, 'ingress-no-tls' FROM m JOIN f USING (file) WHERE line = 'kind: Ingress' AND z % 4 <> 0""",
+    "required_packages": f"""{_UNIT} SELECT 'requirements-' || k || '.txt' AS file, 'pypi' AS ecosystem, unnest(['requests', 'flask' || k]) AS name, unnest(['==2.' || z, '>=2,<' || z]) AS spec FROM u WHERE kind = 7 UNION ALL SELECT 'requirements-' || k || '.txt', 'pypi', name, '' FROM u WHERE kind = 7 AND z % 2 = 0
+        UNION ALL SELECT 'v' || k || '/go.mod', 'go', unnest(['github.com/a/' || name, 'golang.org/x/c' || k]), unnest(['v1.' || z || '.3', 'v0.1.0']) FROM u WHERE kind = 8
+        UNION ALL SELECT 'v' || k || '/Cargo.toml', 'cargo', unnest(['serde', 'tokio' || k]), unnest(['1.' || z, '1.2']) FROM u WHERE kind = 9 UNION ALL SELECT 'v' || k || '/Cargo.toml', 'cargo', 'rand', '0.8' FROM u WHERE kind = 9 AND z % 2 = 0""",
+    "coverage_formats": f"""{_UNIT} SELECT 'a/x' || k || '.go' AS path, unnest([1, 2, 3, 4]) AS line, unnest([z, z, greatest(z, 4), 4]) AS hits FROM u WHERE kind = 10 UNION ALL SELECT 'p/k' || k || '.py', unnest([1, 2]), unnest([z, 0]) FROM u WHERE kind = 11
+        UNION ALL SELECT 'p/l' || k || '.py', 1, z FROM u WHERE kind = 11 AND z % 2 = 0 UNION ALL SELECT 'J' || k || '.java', unnest([7, 8]), unnest([z, 0]) FROM u WHERE kind = 12""",
     "large_files": f"WITH {_L} SELECT file, count(*) AS n_lines FROM l GROUP BY file HAVING count(*) > 20",
 }
