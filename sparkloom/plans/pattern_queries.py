@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import patterns
 from sparkloom.functions import text as T
-from sparkloom.operators import incremental
+from sparkloom.operators import incremental, mentions
 from sparkloom.session import read_table
 
 PHRASES = {"the": 1, "of the": 3, "in": 1, "and the": 2, "to": 1, "is": 1, "in the end": 4}
@@ -55,12 +55,14 @@ def phrase_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that mention a term: the first two words of a benchmark item, as a dictionary of two-word terms."""
+    """Phrases of benchmark items in documents: each item whole, in pieces of eight words, and its first three words, which give way
+    where the longer piece stands."""
     w = T.words(F.col("text"))
-    terms = read_table(spark, d, "benchmark").select(w.alias("w")).where("size(w) >= 2").select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("term")).distinct()
-    docs = read_table(spark, d, "documents").select("doc_id", w.alias("w")).where("size(w) >= 2")
-    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("term"))
-    return grams.join(terms, "term").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    items = read_table(spark, d, "benchmark").select(w.alias("w")).where("size(w) > 0")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8).cast("int")), lambda k: F.slice(F.col("w"), k * 8 + 1, 8))
+    phrases = items.select(F.explode(F.array_append(pieces, F.slice("w", 1, 3))).alias("words"))
+    docs = read_table(spark, d, "documents").select("doc_id", w.alias("words"))
+    return mentions.mentions(docs, phrases, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_word"))
 
 
 def incremental_equals_full(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +116,11 @@ ORACLES = {
     "phrase_rules": f"""WITH t AS (SELECT conv_id, turn, {_WORDS.format('text')} AS w FROM conversations), p AS ({_PLACES})
         SELECT conv_id, turn, count(*) AS n_hits, sum(weight)::BIGINT AS weight, min(start) AS first_word FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.conv_id = p.conv_id
             AND q.turn = p.turn AND q.size > p.size AND q.start < p.start + p.size AND p.start < q.start + q.size) GROUP BY conv_id, turn""",
-    "ngram_mentions": f"""WITH b AS (SELECT {_WORDS.format('text')} AS w FROM benchmark), terms AS (SELECT DISTINCT w[1] || ' ' || w[2] AS term FROM b WHERE len(w) >= 2),
-        d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM d WHERE len(w) >= 2)
-        SELECT doc_id, term, count(*) AS n FROM g JOIN terms USING (term) GROUP BY doc_id, term""",
+    "ngram_mentions": f"""WITH b AS (SELECT {_WORDS.format('text')} AS w FROM benchmark), p AS (SELECT unnest(list_append(list_transform(range(0, (len(w) - 1) // 8 + 1), lambda k: w[k * 8 + 1:k * 8 + 8]), w[1:3])) AS words FROM b WHERE len(w) > 0),
+        terms AS (SELECT DISTINCT array_to_string(words, ' ') AS term, len(words) AS n FROM p), d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d), h AS (SELECT doc_id, i - 1 AS pos, n, term FROM g, (SELECT DISTINCT n AS size FROM terms) JOIN terms ON n = size AND term = array_to_string(w[i:i + n - 1], ' ') WHERE i + n - 1 <= len(w)),
+        o AS (SELECT doc_id, list({{'pos': pos, 'n': n, 'term': term}} ORDER BY pos, n DESC) AS c FROM h GROUP BY doc_id),
+        f AS (SELECT doc_id, list_reduce(c, lambda s, x: CASE WHEN x.pos < s.last THEN s ELSE {{'last': x.pos + x.n, 'kept': list_append(s.kept, x)}} END, {{'last': 0::BIGINT, 'kept': []::STRUCT(pos BIGINT, n BIGINT, term VARCHAR)[]}}).kept AS m FROM o),
+        e AS (SELECT doc_id, unnest(m) AS x FROM f) SELECT doc_id, x.term AS term, count(*) AS n, min(x.pos) AS first_word FROM e GROUP BY ALL""",
     "incremental_equals_full": """SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last_ts FROM events GROUP BY user_id, event_type""",
 }

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clustering, linking
+from sparkloom.operators import assembly, changes, clustering, linking
 from sparkloom.operators import flows as flow
+from sparkloom.operators import hierarchy as trees
 from sparkloom.plans.derived import over_tables
 
 #: name -> query over the given tables and earlier names.
@@ -103,6 +104,48 @@ def module_components(spark: SparkSession, d: str) -> DataFrame:
     return clustering.cluster_modules(modules, links)
 
 
+def call_trees(spark: SparkSession, d: str) -> DataFrame:
+    """What some functions call, three deep, in the order of a walk."""
+    calls = derived(spark, d, "calls")[0].select(F.col("caller").alias("src"), F.col("callee").alias("dst"), (1 / (1 + (F.col("caller") * 7 + F.col("callee")) % 5)).alias("confidence"))
+    entries = derived(spark, d, "named")[0].where("k % 40 = 8").select(F.col("k").alias("id"))
+    return trees.call_tree(calls, entries, 3)
+
+
+def order_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations, customers and orders as one tree."""
+    made = over_tables(spark, d, TREE)
+    return trees.hierarchy(made, ["place"]).drop("parent")
+
+
+def assembled_findings(spark: SparkSession, d: str) -> DataFrame:
+    found = assembly.assemble(over_tables(spark, d, SIGNALS).withColumn("evidence", F.array(F.struct("path", "line"))))
+    places = F.transform("evidence", lambda e: F.concat_ws(":", e["path"], e["line"].cast("string")))
+    return found.withColumn("bases", F.array_join("bases", "|")).withColumn("evidence", F.array_join(places, " "))
+
+
+def finding_clusters(spark: SparkSession, d: str) -> DataFrame:
+    found = over_tables(spark, d, SIGNALS).withColumn("evidence", F.array(F.struct(F.col("path").alias("path"), F.col("line").alias("line"))))
+    return assembly.evidence_clusters(found, 3)
+
+
+def text_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as declarations of their source: some are renamed with a few words changed, some edited, some gone, some new."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, "[^A-Za-z]+"), lambda w: w != ""))
+    rows = over_tables(spark, d, STATES)
+    before = rows.where("doc_id % 7 <> 1").select("file", F.col("old_name").alias("name"), F.md5("text").alias("fingerprint"), words(F.col("text")).alias("tokens"))
+    after = rows.where("doc_id % 7 <> 2").select("file", F.col("new_name").alias("name"), F.md5("new_text").alias("fingerprint"), words(F.col("new_text")).alias("tokens"))
+    return changes.semantic_changes(before, after)
+
+
+TREE = """SELECT 'region:' || r_regionkey AS id, CAST(NULL AS STRING) AS parent, CAST(r_regionkey AS BIGINT) AS place FROM region
+    UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, CAST(n_nationkey AS BIGINT) FROM nation
+    UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, CAST(c_custkey % 97 AS BIGINT) FROM customer
+    UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, CAST(o_orderkey % 5 AS BIGINT) FROM orders"""
+SIGNALS = """SELECT 's' || l_partkey AS subject, 't' || (l_orderkey % 7) AS title, 'because ' || (l_suppkey % 5) AS text, CASE l_orderkey % 6 WHEN 0 THEN 'explicit' WHEN 1 THEN 'contract' WHEN 2 THEN 'project' WHEN 3 THEN 'framework' WHEN 4 THEN 'industry' ELSE 'historical' END AS basis,
+    CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'moderate' ELSE 'low' END AS attention, 'f' || (l_orderkey - l_orderkey % 3) AS path, l_linenumber AS line FROM lineitem"""
+STATES = """SELECT doc_id, source AS file, 'd' || doc_id AS old_name, CASE WHEN doc_id % 3 = 0 THEN 'renamed' || doc_id ELSE 'd' || doc_id END AS new_name, text, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'entirely new words here' ELSE text || ' edited' END AS new_text FROM documents"""
+
+
 #: Each reference against every file that fits, by endings and beginnings.
 _FITS = r"""
 asked AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM refs),
@@ -172,6 +215,33 @@ links AS (SELECT r.path AS src, t.path AS dst FROM (SELECT DISTINCT path, name F
   QUALIFY length(t.scope) = max(length(t.scope)) OVER (PARTITION BY r.path, r.name)),
 walk AS (SELECT '' AS path, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = path WHERE depth < 40)
 SELECT path, min(depth) AS depth FROM walk WHERE path <> '' GROUP BY path""").removeprefix("WITH"),
+    "call_trees": "WITH RECURSIVE" + with_derived("""
+steps AS (SELECT caller AS src, list({'id': callee} ORDER BY 1 / (1 + (caller * 7 + callee) % 5) DESC, callee) AS kids FROM (SELECT DISTINCT caller, callee FROM calls) GROUP BY caller),
+walk AS (
+  SELECT k AS entry, 0::BIGINT AS place, k AS id, 0 AS depth, false AS repeated, [k] AS met, list_transform(coalesce(kids, []), lambda x: {'id': x.id, 'depth': 1}) AS stack FROM named LEFT JOIN steps ON src = k WHERE k % 40 = 8
+  UNION ALL
+  SELECT entry, place + 1, n.id, n.depth, list_contains(met, n.id), list_append(met, n.id), list_concat(CASE WHEN list_contains(met, n.id) OR n.depth >= 3 THEN [] ELSE list_transform(coalesce(kids, []), lambda x: {'id': x.id, 'depth': n.depth + 1}) END, stack[2:])
+  FROM (SELECT *, stack[1] AS n FROM walk WHERE len(stack) > 0) LEFT JOIN steps ON src = n.id)
+SELECT entry, place, id, depth, repeated FROM walk""").removeprefix("WITH"),
+    "order_hierarchy": f"""WITH RECURSIVE t AS ({TREE.replace("CAST(NULL AS STRING)", "NULL::VARCHAR")}), n AS (SELECT *, lpad(row_number() OVER (PARTITION BY parent ORDER BY place, id)::VARCHAR, 9, '0') AS turn FROM t),
+        w AS (SELECT id, 0 AS depth, turn AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, depth + 1, path || '/' || turn FROM w JOIN n ON n.parent = w.id),
+        s AS (SELECT a.id, count(*) AS size FROM w a JOIN w b ON b.path = a.path OR starts_with(b.path, a.path || '/') WHERE a.depth < 2 GROUP BY a.id UNION ALL SELECT w.id, 1 + (SELECT count(*) FROM orders WHERE 'customer:' || o_custkey = w.id) FROM w WHERE depth = 2 UNION ALL SELECT id, 1 FROM w WHERE depth = 3)
+        SELECT w.id, depth, size, row_number() OVER (ORDER BY path) - 1 AS preorder FROM w JOIN s USING (id)""",
+    "assembled_findings": f"""WITH s AS ({SIGNALS}), r AS (SELECT *, list_position(['explicit', 'contract', 'project', 'framework', 'industry', 'historical'], basis) AS b, list_position(['high', 'medium', 'low'], confidence) AS c, list_position(['critical', 'high', 'moderate', 'low', 'informational'], attention) AS a FROM s),
+        p AS (SELECT subject, path, line, min(b * 1000 + c * 100 + a * 10 + substr(title, 2)::INT) AS k FROM r GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY k, path, line) AS n FROM p),
+        e AS (SELECT subject, string_agg(path || ':' || line, ' ' ORDER BY n) FILTER (n <= 12) AS evidence, greatest(count(*) - 12, 0) AS more FROM q GROUP BY subject),
+        x AS (SELECT subject, text, min(b) AS b FROM r GROUP BY ALL), y AS (SELECT subject, string_agg(text, '|' ORDER BY b, text) AS bases FROM x GROUP BY subject),
+        z AS (SELECT subject, arg_min({{'t': title, 'b': basis, 'c': confidence}}, b * 1000 + c * 100 + a * 10 + substr(title, 2)::INT) AS m, ['critical', 'high', 'moderate', 'low', 'informational'][min(a)] AS attention, count(*) AS n_signals FROM r GROUP BY subject)
+        SELECT subject, m.t AS title, m.b AS basis, m.c AS confidence, attention, n_signals, bases, evidence, more FROM z JOIN y USING (subject) JOIN e USING (subject)""",
+    "finding_clusters": f"""WITH RECURSIVE s AS (SELECT DISTINCT subject, path || ':' || line AS place FROM ({SIGNALS})), t AS (SELECT place FROM s GROUP BY place HAVING count(*) BETWEEN 2 AND 3), e AS (SELECT a.subject AS x, b.subject AS y FROM s a JOIN t USING (place) JOIN s b USING (place) WHERE a.subject <> b.subject),
+        w AS (SELECT DISTINCT subject AS x, subject AS y FROM s UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x WHERE e.y < w.x OR true) SELECT x AS subject, min(y) AS cluster FROM w GROUP BY x""",
+    "text_changes": f"""WITH s AS ({STATES}), b AS (SELECT file, old_name AS name, text FROM s WHERE doc_id % 7 <> 1), a AS (SELECT file, new_name AS name, new_text AS text FROM s WHERE doc_id % 7 <> 2),
+        f AS (SELECT coalesce(b.file, a.file) AS file, coalesce(b.name, a.name) AS entity, b.text AS x, a.text AS y, CASE WHEN b.name IS NULL THEN 'CREATED' WHEN a.name IS NULL THEN 'DELETED' WHEN b.text <> a.text THEN 'MODIFIED' END AS event FROM b FULL JOIN a ON a.file = b.file AND a.name = b.name),
+        o AS (SELECT file, entity, list_distinct(list_filter(regexp_split_to_array(x, '[^A-Za-z]+'), lambda w: w <> '')) AS t FROM f WHERE event = 'DELETED'), c AS (SELECT file, entity, list_distinct(list_filter(regexp_split_to_array(y, '[^A-Za-z]+'), lambda w: w <> '')) AS t FROM f WHERE event = 'CREATED'),
+        p AS (SELECT file, o.entity AS old, c.entity AS new, round(len(list_intersect(o.t, c.t)) / (len(o.t) + len(c.t) - len(list_intersect(o.t, c.t))), 6) AS s FROM o JOIN c USING (file) WHERE len(o.t) > 0 AND len(c.t) > 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY file, old ORDER BY s DESC, new) AS i, row_number() OVER (PARTITION BY file, new ORDER BY s DESC, old) AS j FROM p WHERE s >= 0.6), m AS (SELECT * FROM k WHERE i = 1 AND j = 1)
+        SELECT file, event, entity, NULL::VARCHAR AS was FROM f WHERE event IS NOT NULL AND NOT (event = 'DELETED' AND EXISTS (SELECT 1 FROM m WHERE m.file = f.file AND m.old = f.entity)) AND NOT (event = 'CREATED' AND EXISTS (SELECT 1 FROM m WHERE m.file = f.file AND m.new = f.entity))
+        UNION ALL SELECT file, 'RENAMED', new, old FROM m""",
     "taint_flows": "WITH RECURSIVE" + with_derived("""
 walk AS (
   SELECT function, source, 0 AS steps FROM sources s WHERE NOT EXISTS (SELECT 1 FROM cleaners c WHERE c.function = s.function AND c.source = s.source)
@@ -182,4 +252,4 @@ met AS (SELECT w.source, k.sink, k.line, w.function, w.steps FROM walk w JOIN si
 SELECT source, sink, line, function, steps FROM met QUALIFY row_number() OVER (PARTITION BY source, sink, line ORDER BY steps, function) = 1""").removeprefix("WITH"),
 }
 
-QUERIES = {"import_links": import_links, "import_edges": import_edges, "name_links": name_links, "scoped_depths": scoped_depths, "taint_flows": taint_flows, "module_components": module_components}
+QUERIES = {"import_links": import_links, "import_edges": import_edges, "name_links": name_links, "scoped_depths": scoped_depths, "taint_flows": taint_flows, "module_components": module_components, "call_trees": call_trees, "order_hierarchy": order_hierarchy, "assembled_findings": assembled_findings, "finding_clusters": finding_clusters, "text_changes": text_changes}
