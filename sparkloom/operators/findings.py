@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.sums import percentile
+
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 CONFIDENCES = ("high", "medium", "low")
 #: Debt points by severity.
@@ -65,7 +67,7 @@ def debt_by_file(points: DataFrame, file: str, dimension: str) -> DataFrame:
 def quadrants(files: DataFrame, complexity: str, churn: str) -> DataFrame:
     """Where a file lies against the medians of complexity and churn, over files with either above 0."""
     live = files.where((F.col(complexity) > 0) | (F.col(churn) > 0))
-    mid = live.agg(F.expr(f"percentile({complexity}, 0.5)").alias("_c"), F.expr(f"percentile({churn}, 0.5)").alias("_h"))
+    mid = percentile(live, [], complexity, 0.5, "_c").crossJoin(percentile(live, [], churn, 0.5, "_h"))  # a row each
     c, h = F.col(complexity) > F.col("_c"), F.col(churn) > F.col("_h")
     name = F.when(c & h, "refactor").when(c, "watch").when(h, "active").otherwise("calm")
     return live.crossJoin(F.broadcast(mid)).withColumn("quadrant", name).drop("_c", "_h")

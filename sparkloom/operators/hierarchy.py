@@ -4,24 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.graph import settled
-
-
-def prefix_sums(rows: DataFrame, by: list[str], order: list[Column], value: str, out: str) -> DataFrame:
-    """rows with out: the sum of value over the rows of the same `by` that stand before in the order (which is total), 0 at the
-    first. Rows are dealt by ranges of by and order, so that a group of any size is spread; each task's share is summed by
-    itself, and the few shares of a group, one a task, after each other."""
-    dealt = rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_share", F.spark_partition_id())
-    dealt = settled(dealt, "shares")  # shares stay as they are from here on
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy(*by, "_share").orderBy(*order))), F.lit(0))
-    shares = dealt.groupBy(*by, "_share").agg(F.sum(value).alias("_sum"))
-    shares = shares.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col("_share").alias("_of"), F.coalesce(F.sum("_sum").over(before(Window.partitionBy(*by).orderBy("_share"))), F.lit(0)).alias("_before"))
-    own = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], F.col("_share") == F.col("_of"))
-    return dealt.withColumn("_inside", inside).join(shares, own).withColumn(out, F.col("_inside") + F.col("_before")).select(*rows.columns, out)
+from sparkloom.operators.sums import prefix_sums
 
 
 def hierarchy(nodes: DataFrame, order: list[str]) -> DataFrame:

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.graph import settled
+from sparkloom.operators.sums import percentile, prefix_sums
 
 
 def round_robin(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """With turn (place in its group) and lead_<c> of the group's first row: sorted by turn, then the leads, this is the
-    round-robin order. Only groups are windowed, never the whole."""
-    w = Window.partitionBy(group).orderBy(*order)
+    round-robin order. A group's rows are counted in shares, so one of any size is dealt over tasks; the order is total."""
     lead = [c for c in rows.columns if c != group]
-    firsts = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("*", F.row_number().over(w).alias("turn"), *[F.first(c).over(firsts).alias(f"lead_{c}") for c in lead])
+    ranked = settled(prefix_sums(rows.withColumn("_one", F.lit(1)), [group], order, "_one", "_before"), "turns")
+    ranked = ranked.select(*rows.columns, (F.col("_before") + 1).cast("int").alias("turn"))
+    firsts = ranked.where("turn = 1").select(F.col(group).alias("_group"), *[F.col(c).alias(f"lead_{c}") for c in lead])
+    return ranked.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def diversify(rows: DataFrame, key: str, group: str, score: str, max_anchors: int = 3, ratio: float = 0.75) -> DataFrame:
@@ -31,23 +33,22 @@ def diversify(rows: DataFrame, key: str, group: str, score: str, max_anchors: in
 
 
 def prefix_within(rows: DataFrame, group: list[str], order: list[Column], cost: str, budget: float | Column) -> DataFrame:
-    """The rows of each group, in order, until the first that takes the sum over the budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+    """The rows of each group, in order, until the first that takes the sum over the budget; the order is total. Groups are
+    summed in shares, so one of any size is dealt over tasks."""
+    return prefix_sums(rows, group, order, cost, "_before").withColumn("used", F.col("_before") + F.col(cost)).drop("_before").where(F.col("used") <= budget)
 
 
 def greedy_pack(rows: DataFrame, group: list[str], key: str, order: list[Column], cost: str, budget: int) -> DataFrame:
     """(group..., used, n, taken): rows of each group taken in order, leaving out any that no longer fits; taken has their keys.
 
     In rounds: of what is left of a group, the longest prefix that fits is taken, and rows dearer than the rest of the budget
-    go. Prefixes are running sums over a sorted stream, so no group is held as one; each round takes a row or more, and what
-    remains of most groups is gone after a few. Rows without a cost are left out."""
+    go. Prefixes are summed in shares of a group, so one of any size is dealt over tasks; each round takes a row or more, and
+    what remains of most groups is gone after a few. Rows without a cost are left out."""
     left = rows.where(F.col(cost).isNotNull() & (F.col(cost) <= budget)).select(*group, F.struct(*order_fields(order), F.col(key).alias("_key")).alias("_at"), F.col(key).alias("_key"), F.col(cost).cast("long").alias("_cost"))
     left = settled(left.withColumn("_rest", F.lit(budget).cast("long")), "pack")
     taken = None
     while True:
-        w = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        run = settled(left.withColumn("_run", F.sum("_cost").over(w)), "pack")
+        run = settled(prefix_sums(left, group, [F.col("_at")], "_cost", "_before").withColumn("_run", F.col("_before") + F.col("_cost")).drop("_before"), "pack")
         first = run.groupBy(*group).agg(F.min(F.when(F.col("_run") > F.col("_rest"), F.col("_at"))).alias("_stop"))
         marked = run.join(first, group).withColumn("_in", F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
         now = marked.where("_in").select(*group, "_at", "_key", "_cost")
@@ -87,7 +88,7 @@ def rank_bands(rows: DataFrame, score: str, key: str) -> DataFrame:
     top = rows.select(F.col(key).alias("_k"), F.col(score).alias("_s")).orderBy(F.desc("_s"), "_k").limit(10)
     top = top.withColumn("_rk", F.row_number().over(Window.orderBy(F.desc("_s"), "_k"))).select("_k", "_rk")  # 10 rows
     # the quarter's edge is a value, found without sorting all rows in one place
-    edge = rows.agg(F.expr(f"percentile({score}, 0.75)").alias("_edge"))
+    edge = percentile(rows, [], score, 0.75, "_edge")
     out = rows.join(F.broadcast(top), F.col(key) == F.col("_k"), "left").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(edge))
     high = (F.col("_rk") <= F.ceil(F.col("_n") * 0.05)) & (F.col(score) >= 40)
     level = F.when(high, "high").when((F.col(score) >= F.col("_edge")) & (F.col(score) >= 15), "medium").otherwise("low")

@@ -118,7 +118,8 @@ ORACLES = {
             AND q.turn = p.turn AND q.size > p.size AND q.start < p.start + p.size AND p.start < q.start + q.size) GROUP BY conv_id, turn""",
     "ngram_mentions": f"""WITH b AS (SELECT {_WORDS.format('text')} AS w FROM benchmark), p AS (SELECT unnest(list_append(list_transform(range(0, (len(w) - 1) // 8 + 1), lambda k: w[k * 8 + 1:k * 8 + 8]), w[1:3])) AS words FROM b WHERE len(w) > 0),
         terms AS (SELECT DISTINCT array_to_string(words, ' ') AS term, len(words) AS n FROM p), d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
-        g AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d), h AS (SELECT doc_id, i - 1 AS pos, n, term FROM g, (SELECT DISTINCT n AS size FROM terms) JOIN terms ON n = size AND term = array_to_string(w[i:i + n - 1], ' ') WHERE i + n - 1 <= len(w)),
+        g AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS first FROM d), k AS (SELECT doc_id, i, n, term FROM g JOIN (SELECT *, string_split(term, ' ')[1] AS first FROM terms) USING (first)),
+        h AS (SELECT doc_id, i - 1 AS pos, n, term FROM k JOIN d USING (doc_id) WHERE term = array_to_string(w[i:i + n - 1], ' ')),
         o AS (SELECT doc_id, list({{'pos': pos, 'n': n, 'term': term}} ORDER BY pos, n DESC) AS c FROM h GROUP BY doc_id),
         f AS (SELECT doc_id, list_reduce(c, lambda s, x: CASE WHEN x.pos < s.last THEN s ELSE {{'last': x.pos + x.n, 'kept': list_append(s.kept, x)}} END, {{'last': 0::BIGINT, 'kept': []::STRUCT(pos BIGINT, n BIGINT, term VARCHAR)[]}}).kept AS m FROM o),
         e AS (SELECT doc_id, unnest(m) AS x FROM f) SELECT doc_id, x.term AS term, count(*) AS n, min(x.pos) AS first_word FROM e GROUP BY ALL""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom import streaming
-from sparkloom.operators import findings, joins, mining, ranking
+from sparkloom.operators import findings, incremental, joins, mining, ranking
 from sparkloom.operators.graph import new_folder
 from sparkloom.session import read_table
 
@@ -381,6 +381,24 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", "value")
 
 
+def versioned_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream, folded batch by batch into versions of the totals by user and type; the last version."""
+    rows = read_table(spark, d, "events").select("user_id", "event_type", "ts", "value")
+    keys, folder = ["user_id", "event_type"], new_folder(spark, "versions")
+    stream = streaming.read_events(spark, d, "events.parquet*", rows)
+    streaming.keep_versions(stream, f"{folder}/state", lambda b: incremental.summarise(b, keys, "ts", "value"), lambda a, b: incremental.fold(a, b, keys), f"{folder}/progress")
+    return streaming.read_version(spark, f"{folder}/state").select(*keys, "n", F.round("total", 2).alias("total"))
+
+
+def registry_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as entries of a registry that was written when some were other ones, or not there."""
+    docs = read_table(spark, d, "documents")
+    now = docs.where("doc_id % 11 <> 3").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1).alias("mtime"), F.md5("text").alias("hash"))
+    edited = F.when(F.col("doc_id") % 8 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    was = docs.where("doc_id % 13 <> 5").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 9 == 0, "v1").otherwise("v2").alias("config"), F.col("n_chars").alias("size"), F.lit(1).alias("mtime"), F.md5(edited).alias("hash"))
+    return incremental.registry_plan(was, now, "v2")
+
+
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
     return e.select("user_id", F.unix_micros(F.col("session_window.start").cast("timestamp")).alias("start"), "n")
@@ -393,7 +411,7 @@ QUERIES = {
         most_specific_rule, last_match_wins, compare_outcomes, churn, monthly_clusters, fix_share, commit_search, finding_introduction, trend_dedup, latest_per_check,
         dominant_value_share, convention_outliers, project_confidence, size_outliers, ownership_mode, responsibility_outliers, rare_values, complexity_histogram, severity_bands,
         debt_points, debt_priority_levels, change_complexity_quadrant, test_gap_risk, health_status, coverage_ratio, structural_protection, component_rank, finding_union,
-        finding_unique_ids, finding_sort_rank, findings_by_category, owasp_mapping, greedy_budget_pack, prefix_budget_cut, feedback_fold, memory_rank, tumbling_counts, stream_counts, session_windows,
+        finding_unique_ids, finding_sort_rank, findings_by_category, owasp_mapping, greedy_budget_pack, prefix_budget_cut, feedback_fold, memory_rank, tumbling_counts, stream_counts, versioned_totals, registry_actions, session_windows,
     )
 }
 
@@ -489,6 +507,8 @@ ORACLES = {
         s AS (SELECT *, hit / 4 + CASE WHEN ln > 200 THEN 0.25 ELSE 0 END::DOUBLE AS score FROM t WHERE hit > 0), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS rk FROM s) SELECT conv_id, turn, score FROM r WHERE rk <= 3""",
     "tumbling_counts": "SELECT (epoch(ts)::BIGINT - epoch(ts)::BIGINT % 3600)::BIGINT AS start, event_type, count(*) AS n FROM (SELECT date_trunc('second', ts) AS ts, event_type FROM events) GROUP BY ALL",
     "stream_counts": "SELECT (epoch(ts)::BIGINT - epoch(ts)::BIGINT % 86400)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM (SELECT date_trunc('second', ts) AS ts, event_type, value FROM events) GROUP BY ALL",
+    "versioned_totals": "SELECT user_id, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
+    "registry_actions": """SELECT doc_id AS id, CASE WHEN doc_id % 11 = 3 THEN 'drop' WHEN doc_id % 13 = 5 THEN 'build' WHEN doc_id % 9 = 0 THEN 'rebuild' WHEN doc_id % 4 <> 0 THEN 'reuse' WHEN doc_id % 8 = 0 THEN 'rebuild' ELSE 'recheck' END AS action FROM documents WHERE NOT (doc_id % 11 = 3 AND doc_id % 13 = 5)""",
     "session_windows": """WITH l AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
 }

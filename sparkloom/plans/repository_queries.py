@@ -107,7 +107,7 @@ def module_components(spark: SparkSession, d: str) -> DataFrame:
 def call_trees(spark: SparkSession, d: str) -> DataFrame:
     """What some functions call, three deep, in the order of a walk."""
     calls = derived(spark, d, "calls")[0].select(F.col("caller").alias("src"), F.col("callee").alias("dst"), (1 / (1 + (F.col("caller") * 7 + F.col("callee")) % 5)).alias("confidence"))
-    entries = derived(spark, d, "named")[0].where("k % 40 = 8").select(F.col("k").alias("id"))
+    entries = derived(spark, d, "named")[0].where("k % 200 = 8").select(F.col("k").alias("id"))
     return trees.call_tree(calls, entries, 3)
 
 
@@ -218,7 +218,7 @@ SELECT path, min(depth) AS depth FROM walk WHERE path <> '' GROUP BY path""").re
     "call_trees": "WITH RECURSIVE" + with_derived("""
 steps AS (SELECT caller AS src, list({'id': callee} ORDER BY 1 / (1 + (caller * 7 + callee) % 5) DESC, callee) AS kids FROM (SELECT DISTINCT caller, callee FROM calls) GROUP BY caller),
 walk AS (
-  SELECT k AS entry, 0::BIGINT AS place, k AS id, 0 AS depth, false AS repeated, [k] AS met, list_transform(coalesce(kids, []), lambda x: {'id': x.id, 'depth': 1}) AS stack FROM named LEFT JOIN steps ON src = k WHERE k % 40 = 8
+  SELECT k AS entry, 0::BIGINT AS place, k AS id, 0 AS depth, false AS repeated, [k] AS met, list_transform(coalesce(kids, []), lambda x: {'id': x.id, 'depth': 1}) AS stack FROM named LEFT JOIN steps ON src = k WHERE k % 200 = 8
   UNION ALL
   SELECT entry, place + 1, n.id, n.depth, list_contains(met, n.id), list_append(met, n.id), list_concat(CASE WHEN list_contains(met, n.id) OR n.depth >= 3 THEN [] ELSE list_transform(coalesce(kids, []), lambda x: {'id': x.id, 'depth': n.depth + 1}) END, stack[2:])
   FROM (SELECT *, stack[1] AS n FROM walk WHERE len(stack) > 0) LEFT JOIN steps ON src = n.id)
