@@ -13,7 +13,7 @@ benchmark fills lets more through, and the join decides. So documents are read o
 
 Null or empty texts, and items without words, match nothing; an item of fewer than `min_match` words is matched as a whole
 by its own words in a row. Very long texts cost time in proportion to their length for each tile, also where one word
-repeats. Equal items are tiled each; rows of one doc_id are told apart by their texts, equal rows are judged once. Ties of
+repeats. Equal items are tiled each; rows of one doc_id are told apart by their texts, and of equal rows each has its row. Ties of
 length go to the match that is first in the item, then first in the document; of items covered alike the smallest item_id
 is named. Empty tables give empty results. Other columns pass through.
 """

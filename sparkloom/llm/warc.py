@@ -4,12 +4,13 @@ Writing: each page becomes a request, a response (or a revisit of an earlier ide
 Archives are written by Spark's text writer, a record a row, with the blank lines that end a WARC record as the line
 separator, so any store that Spark writes to can hold them; each file is one gzip stream.
 
-Reading: archives are read by Spark's text reader, split at the version line that starts a record. A payload that holds
-that line itself is split too, so the parts are put together again by Content-Length, in the order of the file (gzip
+Reading: archives are read by Spark's text reader, split at the version lines of WARC 1.0 and 1.1 that start a record. A payload
+that holds such a line's beginning itself is split too, so the parts are put together again by Content-Length, in the order of the file (gzip
 files, which write_archive writes, aren't split between tasks). Only a record at a time is held.
 
-Assembly: request and metadata records name the capture that they belong to by WARC-Concurrent-To. A record that names
-another request or metadata record belongs to what that one names, over as many steps as it takes. Responses and revisits
+Assembly: request and metadata records name the captures that they belong to by WARC-Concurrent-To, which may stand several
+times: such a record is in the row of each capture that it names. A record that names another request or metadata record
+belongs to what that one names, over as many steps as it takes. Responses and revisits
 are the captures; the others are joined to them, and one nested row per capture comes out. What leads to no known capture,
 or in a circle, is in no row.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,8 @@ from sparkloom.llm.common import materialize, new_path, ship, table
 
 MIN_REVISIT = 1000
 VERSION = "WARC/1.1"
+#: What records are split at; a version line goes on with one of these.
+MARK, VERSIONS = "WARC/1.", (b"0\r\n", b"1\r\n")
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -104,19 +108,21 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -
 _LENGTH = re.compile(rb"(?:^|\r\n)content-length:[ \t]*(\d+)", re.I)
 
 
-def _headers(head: bytes) -> dict[str, str]:
-    found: dict[str, str] = {}
+def _headers(head: bytes) -> dict[str, list[str]]:
+    """Values of each header, in order: WARC-Concurrent-To may stand several times."""
+    found: dict[str, list[str]] = {}
     for line in head.decode("utf-8", "replace").split(CRLF):
         name, colon, value = line.partition(":")
         if colon:
-            found.setdefault(name.strip().lower(), value.strip())
+            found.setdefault(name.strip().lower(), []).append(value.strip())
     return found
 
 
 def split_records(parts: Iterator[bytes | None]) -> Iterator[tuple[bytes, bytes]]:
-    """(header lines, block) of each record, from pieces between version lines; None stands for the start of a file.
-    A piece that ends before its record's Content-Length is up holds a version line, and is joined to the next."""
-    mark, held, have, need = (VERSION + CRLF).encode(), None, 0, 0
+    """(header lines, block) of each record, from pieces between marks; None stands for the start of a file. A piece that begins
+    with the rest of a version line, of 1.0 or 1.1, begins a record. One that ends before its record's Content-Length is up holds
+    a mark in its text, and is joined to the next."""
+    mark, held, have, need = MARK.encode(), None, 0, 0
     for part in parts:
         if part is None:
             held = None
@@ -124,14 +130,15 @@ def split_records(parts: Iterator[bytes | None]) -> Iterator[tuple[bytes, bytes]
         if held is not None:
             held.append(mark + part)
             have += len(mark) + len(part)
-        elif part:
+        elif part.startswith(VERSIONS):
+            part = part[len(VERSIONS[0]) :]
             split = part.find(b"\r\n\r\n")
             length = _LENGTH.search(part[: split + 2]) if split >= 0 else None
             if length is None:
-                continue  # nothing that can be read: before the first record, or a broken one
+                continue  # a broken one
             held, have, need = [part], len(part), split + 4 + int(length[1])
         else:
-            continue
+            continue  # nothing that can be read: before the first record, or behind a whole one
         if have >= need:
             whole = b"".join(held)
             head = whole.find(b"\r\n\r\n")
@@ -139,7 +146,7 @@ def split_records(parts: Iterator[bytes | None]) -> Iterator[tuple[bytes, bytes]
             held = None
 
 
-_RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, uri string, payload_digest string, digest_ok boolean, payload_bytes long"
+_RECORD = "record_id string, record_type string, concurrent_to array<string>, refers_to string, uri string, payload_digest string, digest_ok boolean, payload_bytes long"
 
 
 def _parse(with_payload: bool):
@@ -147,7 +154,7 @@ def _parse(with_payload: bool):
         rows: list[tuple] = []
         held = 0
         names = ["record_id", "record_type", "concurrent_to", "refers_to", "uri", "payload_digest", "digest_ok", "payload_bytes", "fields"]
-        types = [pa.string()] * 6 + [pa.bool_(), pa.int64(), pa.string()]
+        types = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.bool_(), pa.int64(), pa.string()]
         if with_payload:
             names, types = [*names, "payload"], [*types, pa.binary()]
 
@@ -165,7 +172,8 @@ def _parse(with_payload: bool):
                     yield value or b""
 
         for head, block in split_records(pieces()):
-            own = _headers(head)
+            every = _headers(head)
+            own = {k: v[0] for k, v in every.items()}
             kind = own.get("warc-type")
             payload, size, good, fields = b"", None, None, None
             digest = own.get("warc-payload-digest", "").removeprefix("sha1:").lower() or None
@@ -179,7 +187,7 @@ def _parse(with_payload: bool):
             elif kind == "metadata":
                 fields = block.decode("utf-8", "replace")
             rows.append(
-                (own.get("warc-record-id"), kind, own.get("warc-concurrent-to"), own.get("warc-refers-to"), own.get("warc-target-uri"), digest, good, size, fields)
+                (own.get("warc-record-id"), kind, every.get("warc-concurrent-to", []), own.get("warc-refers-to"), own.get("warc-target-uri"), digest, good, size, fields)
                 + ((payload,) if with_payload else ())
             )
             held += len(payload) if with_payload else 0
@@ -195,7 +203,7 @@ def _parse(with_payload: bool):
 def read_records(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row per WARC record; payload only if asked for."""
     ship(spark)
-    lines = spark.read.option("lineSep", VERSION + CRLF).text(path)
+    lines = spark.read.option("lineSep", MARK).text(path)
     parts = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     return parts.mapInArrow(_parse(with_payload), _RECORD + ", fields string" + (", payload binary" if with_payload else ""))
 
@@ -204,23 +212,24 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: the capture's columns, its request and its metadata records."""
     held = [c for c in ("payload", "payload_bytes", "payload_digest", "digest_ok") if c in records.columns]
     captures = records.where("record_type IN ('response', 'revisit')").select("record_id", "record_type", "refers_to", "uri", *held)
-    others = records.where("record_type IN ('request', 'metadata') AND concurrent_to IS NOT NULL").select("record_id", "record_type", "concurrent_to", "fields")
-    # what a request or metadata record is concurrent to may be another of these: steps are taken until none leads further
-    steps = others.select(F.col("record_id").alias("via_id"), F.col("concurrent_to").alias("via_to")).distinct()
-    known = captures.select(F.col("record_id").alias("capture")).distinct()
-    rows = others.withColumn("capture", F.col("concurrent_to"))
-    found, before = rows.join(known, "capture", "left_semi"), None
-    rows = rows.join(known, "capture", "left_anti")
+    others = records.where("record_type IN ('request', 'metadata')").select("record_id", "record_type", "fields", "concurrent_to", F.monotonically_increasing_id().alias("uid"))
+    # uid tells records apart, also those that repeat an id
+    others = materialize(others.select("uid", "record_id", "record_type", "fields", F.explode(F.array_distinct("concurrent_to")).alias("at")), "warc-others")
+    # what a request or metadata record is concurrent to may be another of these, and several: each way is followed until it is
+    # at a capture or where it has been
+    steps = others.select(F.col("record_id").alias("via_id"), F.col("at").alias("via_to")).distinct()
+    known = captures.select(F.col("record_id").alias("at")).distinct()
+    front = materialize(others.select("uid", "at").distinct(), "warc-steps")
+    been = [front]
     while True:
-        rows = materialize(rows, "warc-steps")
-        left = rows.count()
-        if left in (0, before):  # each step but the last gets some record to its capture
+        ahead = front.join(known, "at", "left_anti").join(steps, F.col("at") == F.col("via_id")).select("uid", F.col("via_to").alias("at")).distinct()
+        ahead = ahead.join(reduce(DataFrame.union, been), ["uid", "at"], "left_anti")
+        front = materialize(ahead, "warc-steps")
+        if front.isEmpty():
             break
-        before = left
-        rows = rows.join(steps, F.col("capture") == F.col("via_id")).withColumn("capture", F.col("via_to")).drop("via_id", "via_to")
-        found = found.unionByName(rows.join(known, "capture", "left_semi"))
-        rows = rows.join(known, "capture", "left_anti")
-    others = found
+        been.append(front)
+    reached = reduce(DataFrame.union, been).join(known, "at", "left_semi").withColumnRenamed("at", "capture")
+    others = others.select("uid", "record_id", "record_type", "fields").dropDuplicates(["uid"]).join(reached, "uid")
     asked = others.where("record_type = 'request'").groupBy("capture").agg(F.min("record_id").alias("request_id"), F.count("*").alias("n_requests"))
     told = others.where("record_type = 'metadata'").groupBy("capture").agg(
         F.array_sort(F.collect_list(F.struct("record_id", "fields"))).alias("metadata")
@@ -244,6 +253,8 @@ def op3_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("record_type") == "revisit", referred.cast("long")).alias("refers_to"),
         F.col("request.n").alias("n_requests"),
         F.size("metadata").cast("long").alias("n_metadata"),
+        F.to_json("request").alias("request"),
+        F.to_json("metadata").alias("metadata"),
     )
 
 
@@ -255,4 +266,5 @@ def oracle() -> str:
     SELECT page_id, payload_bytes, payload_digest,
         CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> last THEN last END AS refers_to,
-        1::BIGINT AS n_requests, 1::BIGINT AS n_metadata FROM w"""
+        1::BIGINT AS n_requests, 1::BIGINT AS n_metadata, '{{"record_id":"<urn:request:' || page_id || '-' || payload_digest || '>","n":1}}' AS request,
+        '[{{"record_id":"<urn:metadata:' || page_id || '-' || payload_digest || '>","fields":"pageId: ' || page_id || '\\r\\nfetchTimeMs: 0\\r\\n"}}]' AS metadata FROM w"""

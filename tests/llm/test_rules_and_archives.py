@@ -292,3 +292,31 @@ def test_pipeline_runs_as_its_stages_and_takes_odd_rows(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def _warc(version: str, records: list[tuple[list[tuple[str, str]], bytes]]) -> bytes:
+    out = b""
+    for headers, block in records:
+        lines = [f"WARC/{version}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}", "", ""]
+        out += "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    return out
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+def test_records_of_either_version_may_be_concurrent_to_several(spark, tmp_path, version):
+    http = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1\r\nWARC/1.0 WARC/1.x"
+    records = [
+        ([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"software: x"),
+        ([("WARC-Type", "response"), ("WARC-Record-ID", "<a>")], http),
+        ([("WARC-Type", "response"), ("WARC-Record-ID", "<b>")], http + b"!"),
+        ([("WARC-Type", "request"), ("WARC-Record-ID", "<q>"), ("WARC-Concurrent-To", "<a>")], b"GET / HTTP/1.1\r\n\r\n"),
+        ([("WARC-Type", "metadata"), ("WARC-Record-ID", "<m>"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>")], b"k: v"),
+        ([("WARC-Type", "metadata"), ("WARC-Record-ID", "<n>"), ("WARC-Concurrent-To", "<m>"), ("WARC-Concurrent-To", "<a>")], b"k: w"),
+        ([("WARC-Type", "metadata"), ("WARC-Record-ID", "<o>"), ("WARC-Concurrent-To", "<p>")], b"a circle"),
+        ([("WARC-Type", "metadata"), ("WARC-Record-ID", "<p>"), ("WARC-Concurrent-To", "<o>")], b"a circle"),
+    ]
+    (tmp_path / "x.warc").write_bytes(_warc(version, records))
+    read = warc.read_records(spark, str(tmp_path / "x.warc"), with_payload=True)
+    assert read.count() == len(records)
+    got = {r["record_id"]: (bytes(r["payload"]), r["request"]["n"], sorted(m["record_id"] for m in r["metadata"])) for r in warc.assemble(read).collect()}
+    assert got == {"<a>": (b"WARC/1.1\r\nWARC/1.0 WARC/1.x", 1, ["<m>", "<n>"]), "<b>": (b"WARC/1.1\r\nWARC/1.0 WARC/1.x!", 0, ["<m>", "<n>"])}
