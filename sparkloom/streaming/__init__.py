@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_events(spark: SparkSession, folder: str, name: str, rows_as: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     query.awaitTermination()
     if query.lastProgress is None and not _exists(spark, out):
         return spark.createDataFrame([], stream.schema)
-    found = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
     if mode == "complete":
         found = found.join(F.broadcast(found.agg(F.max("batch").alias("batch"))), "batch")  # one row
     return found.select(*stream.columns)
