@@ -225,3 +225,16 @@ def test_components_are_those_of_a_plain_model(spark, seed, most):
     df = spark.createDataFrame(modules, "module string, folder string, size int, role string")
     got = clustering.cluster_modules(df, spark.createDataFrame(links, "a string, b string, weight int"), most)
     assert {r["module"]: r["component"] for r in got.collect()} == _clustered(modules, links, most, 2.5)
+
+
+def test_names_may_be_spoken_as_words(spark):
+    from sparkloom.operators import retrieval
+
+    assert retrieval.spoken_names("the xml parser") == ["thexml", "xmlparser", "thexmlparser"]
+    nodes = spark.createDataFrame([(n, "class", name, False, True) for n, name in enumerate(["SessionStore", "session", "XmlParserPool", "xml_parser"])], "id int, kind string, name string, is_test boolean, exported boolean")
+    edges = spark.createDataFrame([], "kind string, src int, dst int, confidence double")
+    fields = {"name": (F.array(F.lower("name")), 1.0)}
+    found = {r["id"]: r["symbol"] for r in retrieval.retrieve(nodes, edges, fields, "where is the session store").collect()}
+    assert found[0] == 0.9 and found[1] <= retrieval.PLAIN_WORD_CAP
+    found = {r["id"]: r["symbol"] for r in retrieval.retrieve(nodes, edges, fields, "fix the xml parser").collect()}
+    assert found[3] == 0.9 and found[2] == 0.25
