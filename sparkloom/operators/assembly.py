@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators.graph import components
 
 #: What a signal can rest on, its confidence and its attention, best first.
-BASES = ["explicit", "contract", "project", "framework", "industry", "historical"]
+BASES = ["explicit-rule", "approved-pattern", "project-pattern", "framework", "industry", "heuristic"]
 CONFIDENCES = ["high", "medium", "low"]
 ATTENTIONS = ["critical", "high", "moderate", "low", "informational"]
 #: Places of evidence that a finding shows; findings that a place of evidence may be shared by to tie them together.

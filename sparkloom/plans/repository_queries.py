@@ -141,7 +141,7 @@ TREE = """SELECT 'region:' || r_regionkey AS id, CAST(NULL AS STRING) AS parent,
     UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, CAST(n_nationkey AS BIGINT) FROM nation
     UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, CAST(c_custkey % 97 AS BIGINT) FROM customer
     UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, CAST(o_orderkey % 5 AS BIGINT) FROM orders"""
-SIGNALS = """SELECT 's' || l_partkey AS subject, 't' || (l_orderkey % 7) AS title, 'because ' || (l_suppkey % 5) AS text, CASE l_orderkey % 6 WHEN 0 THEN 'explicit' WHEN 1 THEN 'contract' WHEN 2 THEN 'project' WHEN 3 THEN 'framework' WHEN 4 THEN 'industry' ELSE 'historical' END AS basis,
+SIGNALS = """SELECT 's' || l_partkey AS subject, 't' || (l_orderkey % 7) AS title, 'because ' || (l_suppkey % 5) AS text, CASE l_orderkey % 6 WHEN 0 THEN 'explicit-rule' WHEN 1 THEN 'approved-pattern' WHEN 2 THEN 'project-pattern' WHEN 3 THEN 'framework' WHEN 4 THEN 'industry' ELSE 'heuristic' END AS basis,
     CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'moderate' ELSE 'low' END AS attention, 'f' || (l_orderkey - l_orderkey % 3) AS path, l_linenumber AS line FROM lineitem"""
 STATES = """SELECT doc_id, source AS file, 'd' || doc_id AS old_name, CASE WHEN doc_id % 3 = 0 THEN 'renamed' || doc_id ELSE 'd' || doc_id END AS new_name, text, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'entirely new words here' ELSE text || ' edited' END AS new_text FROM documents"""
 
@@ -227,7 +227,7 @@ SELECT entry, place, id, depth, repeated FROM walk""").removeprefix("WITH"),
         w AS (SELECT id, 0 AS depth, turn AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, depth + 1, path || '/' || turn FROM w JOIN n ON n.parent = w.id),
         s AS (SELECT a.id, count(*) AS size FROM w a JOIN w b ON b.path = a.path OR starts_with(b.path, a.path || '/') WHERE a.depth < 2 GROUP BY a.id UNION ALL SELECT w.id, 1 + (SELECT count(*) FROM orders WHERE 'customer:' || o_custkey = w.id) FROM w WHERE depth = 2 UNION ALL SELECT id, 1 FROM w WHERE depth = 3)
         SELECT w.id, depth, size, row_number() OVER (ORDER BY path) - 1 AS preorder FROM w JOIN s USING (id)""",
-    "assembled_findings": f"""WITH s AS ({SIGNALS}), r AS (SELECT *, list_position(['explicit', 'contract', 'project', 'framework', 'industry', 'historical'], basis) AS b, list_position(['high', 'medium', 'low'], confidence) AS c, list_position(['critical', 'high', 'moderate', 'low', 'informational'], attention) AS a FROM s),
+    "assembled_findings": f"""WITH s AS ({SIGNALS}), r AS (SELECT *, list_position(['explicit-rule', 'approved-pattern', 'project-pattern', 'framework', 'industry', 'heuristic'], basis) AS b, list_position(['high', 'medium', 'low'], confidence) AS c, list_position(['critical', 'high', 'moderate', 'low', 'informational'], attention) AS a FROM s),
         p AS (SELECT subject, path, line, min(b * 1000 + c * 100 + a * 10 + substr(title, 2)::INT) AS k FROM r GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY k, path, line) AS n FROM p),
         e AS (SELECT subject, string_agg(path || ':' || line, ' ' ORDER BY n) FILTER (n <= 12) AS evidence, greatest(count(*) - 12, 0) AS more FROM q GROUP BY subject),
         x AS (SELECT subject, text, min(b) AS b FROM r GROUP BY ALL), y AS (SELECT subject, string_agg(text, '|' ORDER BY b, text) AS bases FROM x GROUP BY subject),

@@ -81,13 +81,13 @@ def test_call_trees_are_those_of_a_walk(spark, seed, depth):
 
 def test_the_best_signal_speaks_and_all_give_evidence(spark):
     rows = [
-        ("a", "late", "x", "historical", "high", "critical", [("f", 1), ("g", None)]), ("a", "first", "y", "contract", "low", "low", [("f", 1), ("h", 2)]), ("a", "other", "y", "contract", "low", "low", None),
-        ("b", "only", None, "strange", None, None, [("h", 2)]), ("c", "alone", "z", "project", "high", "high", [("q", n) for n in range(20)]),
+        ("a", "late", "x", "heuristic", "high", "critical", [("f", 1), ("g", None)]), ("a", "first", "y", "approved-pattern", "low", "low", [("f", 1), ("h", 2)]), ("a", "other", "y", "approved-pattern", "low", "low", None),
+        ("b", "only", None, "strange", None, None, [("h", 2)]), ("c", "alone", "z", "project-pattern", "high", "high", [("q", n) for n in range(20)]),
     ]
     df = spark.createDataFrame(rows, "subject string, title string, text string, basis string, confidence string, attention string, evidence array<struct<path:string,line:int>>")
     got = {r["subject"]: r for r in assembly.assemble(df).collect()}
     a = got["a"]
-    assert (a["title"], a["basis"], a["attention"], a["n_signals"], a["bases"], a["more"]) == ("first", "contract", "critical", 3, ["y", "x"], 0)
+    assert (a["title"], a["basis"], a["attention"], a["n_signals"], a["bases"], a["more"]) == ("first", "approved-pattern", "critical", 3, ["y", "x"], 0)
     assert [tuple(e) for e in a["evidence"]] == [("f", 1), ("h", 2), ("g", None)]
     assert (got["b"]["bases"], got["b"]["attention"]) == ([], None) and (len(got["c"]["evidence"]), got["c"]["more"]) == (12, 8)
     assert {r["subject"]: r["cluster"] for r in assembly.evidence_clusters(df).collect()} == {"a": "a", "b": "a", "c": "c"}
