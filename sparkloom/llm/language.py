@@ -6,15 +6,20 @@ lower-cased text, everything but letters taken as a space, hashed into 5,120 cou
 
 The classifiers are fitted on a bounded sample: the rows with a language are dealt by a hash of doc_id into as many bins
 per language as the sample may have, and one row of each bin is taken, that with the smallest hashes of doc_id and text
-(at most `SAMPLE_PER_LANG` a language and `SAMPLE_ROWS` in all; of repeated rows one). The `MAX_LANGS` most frequent
-languages are learned, by count, then name; rarer ones are never predicted. Counting languages, taking the sample and
+(at most `SAMPLE_PER_LANG` a language and `SAMPLE_ROWS` in all, shared out over all languages; of repeated rows one). Every
+language is learned; only a column with more than `SAMPLE_ROWS` different values, more than there are languages, can't be
+held by the sample, and then its most frequent ones are, by count, then name. Counting languages, taking the sample and
 predicting cover all rows. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
 
+Families are those of `FAMILIES`, for two- and three-letter codes, whatever their case and region (`en-GB`, `ENG`).
+Languages with other codes form the family `other`. A family of more than `FAMILY_SIZE` languages is divided by the mean
+features of these, around the two that are farthest apart, until each part is small enough, so that one-versus-one
+classifiers grow with the number of languages and not with its square.
+
 The score is the family's probability times the mean probability of the language against each sibling, by margins
 calibrated on the sample. Families of equal probability: the first by name. Languages of equal votes: the higher mean
 probability, then the first by name. Null texts, and texts without a letter, are `und` with score 0, and so is every text
-when nothing can be learned. A language without a known family is a family of its own. Very long texts are read whole, in
-pieces. Other columns pass through nowhere: the result is keyed by doc_id; repeated rows are predicted each.
+when nothing can be learned. Very long texts are read whole, in pieces. Other columns pass through nowhere: the result is keyed by doc_id; repeated rows are predicted each.
 
 As a filter (`keep_identified`): rows without a letter go, and rows whose score lies below a rejection score. That is
 calibrated on the sample: classifiers of one half score the other, and `REJECT` times the lowest score there is the bound,
@@ -34,20 +39,25 @@ from sparkloom.llm.common import ship, table
 
 SAMPLE_PER_LANG = 512
 SAMPLE_ROWS = 6144
-MAX_LANGS = 300
+FAMILY_SIZE = 12
 #: Share of the lowest score of labelled rows below which a text is in no known language.
 REJECT = 0.9
 UND = "und"
+#: Language codes of two and three letters by family.
 FAMILIES = {
-    "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc"),
-    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"),
-    "uralic": ("fi", "et", "hu"),
-    "baltic": ("lt", "lv"),
-    "turkic": ("tr", "az", "kk", "uz"),
-    "indic": ("hi", "bn", "mr", "ne", "ur", "pa", "gu"),
-    "semitic": ("ar", "he", "mt"),
+    "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "fo", "yi",
+                 "eng", "deu", "ger", "nld", "dut", "swe", "dan", "nor", "nob", "nno", "isl", "ice", "afr", "fry", "ltz", "fao", "yid"),
+    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc",
+                "fra", "fre", "spa", "ita", "por", "ron", "rum", "cat", "glg", "oci"),
+    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk", "bs",
+               "rus", "ukr", "bel", "pol", "ces", "cze", "slk", "slo", "bul", "srp", "hrv", "slv", "mkd", "mac", "bos"),
+    "uralic": ("fi", "et", "hu", "fin", "est", "hun"),
+    "baltic": ("lt", "lv", "lit", "lav"),
+    "turkic": ("tr", "az", "kk", "uz", "tur", "aze", "kaz", "uzb"),
+    "indic": ("hi", "bn", "mr", "ne", "ur", "pa", "gu", "hin", "ben", "mar", "nep", "urd", "pan", "guj"),
+    "semitic": ("ar", "he", "mt", "ara", "heb", "mlt"),
 }
+OTHER = "other"
 DIM2, DIM3 = 1024, 4096
 DIM = DIM2 + DIM3
 #: Letters as themselves (bytes of other alphabets too), all else as a space.
@@ -55,7 +65,31 @@ _CLASS = np.array([b if chr(b).isascii() and chr(b).isalpha() or b >= 128 else 3
 
 
 def family_of(lang: str) -> str:
-    return next((name for name, langs in FAMILIES.items() if lang in langs), f"lang:{lang}")
+    code = lang.lower().replace("_", "-").split("-")[0]
+    return next((name for name, langs in FAMILIES.items() if code in langs), OTHER)
+
+
+def families_of(x: np.ndarray, langs: list[str]) -> dict[str, list[str]]:
+    """The languages of each family, large families divided by the languages' mean features."""
+    names, lang = sorted(set(langs)), np.array(langs)
+    known: dict[str, list[str]] = {}
+    for v in names:
+        known.setdefault(family_of(v), []).append(v)
+    out: dict[str, list[str]] = {}
+    waiting = sorted(known.items(), reverse=True)
+    while waiting:
+        name, own = waiting.pop()
+        if len(own) <= FAMILY_SIZE:
+            out[name] = own
+            continue
+        means = np.array([x[lang == v].mean(axis=0, dtype=np.float64) for v in own])
+        near = means @ means.T / np.maximum(np.outer(*[np.linalg.norm(means, axis=1)] * 2), 1e-12)
+        a, b = np.unravel_index(np.argmin(near), near.shape)
+        first = near[:, a] >= near[:, b]
+        if first.all() or not first.any():
+            first = np.arange(len(own)) < len(own) // 2
+        waiting += [(f"{name}.2", [v for v, f in zip(own, first, strict=True) if not f]), (f"{name}.1", [v for v, f in zip(own, first, strict=True) if f])]
+    return dict(sorted(out.items()))
 
 
 def has_letter(text: str | None) -> bool:
@@ -113,10 +147,10 @@ def fit_slope(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(x: np.ndarray, langs: list[str]) -> dict:
     """The model: a matrix of all classifiers, and which column speaks for what."""
-    names = sorted(set(langs))
     lang = np.array(langs)
-    family = np.array([family_of(v) for v in langs])
-    families = sorted(set(family))
+    families = families_of(x, langs)
+    place = {v: f for f, own in families.items() for v in own}
+    family = np.array([place[v] for v in langs])
     columns, slopes, parts = [], [], []
 
     def add(rows: np.ndarray, y: np.ndarray, what: tuple) -> None:
@@ -128,16 +162,15 @@ def fit(x: np.ndarray, langs: list[str]) -> dict:
 
     every = np.arange(len(x))
     if len(families) > 1:
-        for f in families if len(families) > 2 else families[:1]:
+        for f in families if len(families) > 2 else list(families)[:1]:
             add(every, np.where(family == f, 1.0, -1.0).astype(np.float32), ("family", f))
-    for f in families:
-        own = [v for v in names if family_of(v) == f]
+    for f, own in families.items():
         for i, a in enumerate(own):
             for b in own[i + 1 :]:
                 rows = np.flatnonzero((lang == a) | (lang == b))
                 add(rows, np.where(lang[rows] == a, 1.0, -1.0).astype(np.float32), ("pair", f, a, b))
     weights = np.array(columns, dtype=np.float32).reshape(-1, DIM + 1)
-    return {"families": {f: [v for v in names if family_of(v) == f] for f in families}, "weights": weights, "slopes": slopes, "parts": parts}
+    return {"families": families, "weights": weights, "slopes": slopes, "parts": parts}
 
 
 def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -180,7 +213,7 @@ def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 def sample(docs: DataFrame) -> DataFrame:
     """(lang, text) to learn from: at most SAMPLE_PER_LANG rows a language and SAMPLE_ROWS in all, spread by a hash."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()]
     known = known.where(F.col("lang").isin(langs)) if langs else known.limit(0)
     bins = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, len(langs))))
     place, own = F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")

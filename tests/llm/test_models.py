@@ -50,6 +50,90 @@ def test_language_learns_nothing_from_held_out_rows(spark):
     assert "xx" not in got
 
 
+def slow_features(text: str) -> np.ndarray:
+    """Counts of byte pairs and triples one at a time."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in b" " + text.lower().encode("utf-8", "replace") + b" "]
+    counts = [0] * language.DIM
+    for k in range(len(data) - 1):
+        if data[k : k + 2] != [32, 32]:
+            counts[(data[k] * 73 + data[k + 1]) % language.DIM2] += 1
+    for k in range(len(data) - 2):
+        h = data[k] * 1973 + data[k + 1] * 503 + data[k + 2] * 43
+        counts[language.DIM2 + (h ^ h >> 7) % language.DIM3] += 1
+    for at in ((32 * 73 + 32) % language.DIM2, language.DIM2 + (lambda h: (h ^ h >> 7) % language.DIM3)(32 * 2519)):
+        counts[at] = 0
+    root = [math.sqrt(c) for c in counts]
+    size = math.sqrt(sum(c * c for c in root))
+    return np.array([c / size if size else 0.0 for c in root])
+
+
+def test_language_of_every_row_is_that_of_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_PER_LANG", 16)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    # the sample, from hashes of all rows
+    bins: dict[tuple, tuple] = {}
+    for r in docs.select("*", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("t")).collect():
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            key = (r["lang"], r["h"] % 16)
+            bins[key] = min(bins.get(key, (math.inf,)), (r["h"], r["t"], r["doc_id"], r["text"]))
+    rows = [(lang, slow_features(v[3])) for (lang, _), v in bins.items() if language.has_letter(v[3])]
+    rows = sorted(((lang, x.astype(np.float16)) for lang, x in rows), key=lambda r: (r[0], r[1].tobytes()))
+    model = language.fit(np.array([x for _, x in rows], dtype=np.float32), [lang for lang, _ in rows])
+
+    def judged(text: str | None) -> tuple[str, float]:
+        if not language.has_letter(text):
+            return "und", 0.0
+        x = slow_features(text)
+        chance = {part: 1 / (1 + math.exp(-(a * (float(w[:-1] @ x) + float(w[-1])) + b))) for part, (a, b), w in zip(model["parts"], model["slopes"], model["weights"], strict=True)}
+        names = list(model["families"])
+        sure = {f: chance.get(("family", f), 1.0) for f in names}
+        if len(names) == 2:
+            sure[names[1]] = 1 - sure[names[0]]
+        family = max(names, key=lambda f: sure[f])
+        own, votes, means = model["families"][family], Counter(), Counter()
+        for part, p in chance.items():
+            if part[0] == "pair" and part[1] == family:
+                votes[part[2] if p >= 0.5 else part[3]] += 1
+                means[part[2]] += p
+                means[part[3]] += 1 - p
+        best = max(own, key=lambda v: (votes[v], means[v]))
+        return best, sure[family] / sum(sure.values()) * (means[best] / (len(own) - 1) if len(own) > 1 else 1)
+
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    texts = docs.collect()
+    assert len(got) == len(texts) >= 200
+    for r in texts:
+        lang, score = judged(r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-3
+
+
+def test_families_of_codes_and_of_many_languages():
+    assert [language.family_of(v) for v in ("en", "deu", "EN-gb", "pt_BR", "spa", "zh", "tlh")] == ["germanic", "germanic", "germanic", "romance", "romance", "other", "other"]
+    made = np.random.default_rng(4)
+    langs = [f"q{k:03d}" for k in range(400)]  # more than there were places for, none with a known family
+    middles = np.abs(made.standard_normal((len(langs), language.DIM)))
+    x = np.repeat(middles, 2, axis=0) + 0.05 * np.abs(made.standard_normal((2 * len(langs), language.DIM)))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    names = [v for v in langs for _ in range(2)]
+    families = language.families_of(x, names)
+    assert sorted(v for own in families.values() for v in own) == langs
+    assert max(map(len, families.values())) <= language.FAMILY_SIZE
+    few = np.isin(names, langs[:40])
+    model = language.fit(x[few], [v for v in names if v in langs[:40]])
+    assert len(model["parts"]) < 40 * language.FAMILY_SIZE
+    assert np.mean(np.array(language.predict(model, x[few])[0]) == np.array(names)[few]) == 1
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 330)
+    words = {n: vocabulary(n, 6) for n in range(320)}
+    rows = [(n * 320 + k, " ".join(own * 3), f"q{k:03d}") for n in range(3) for k, own in words.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r["lang"] for r in language.sample(df).collect()}
+    assert learned == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2} and len(learned) > 300
+
+
 def katz_by_hand(train: list[list[str]], texts: list[list[str]], order: int):
     """Log10 probability of each text by dictionaries and recursion, and some histories' sums over all words and the
     unknown one."""
