@@ -11,6 +11,12 @@ of the items' seeds, made in Spark and of that size always, goes to the tasks th
 in it leave them, with the stretches of words that lie in such seeds (all that a tile can have). A bitmap that a large
 benchmark fills lets more through, and the join decides. So documents are read once, whole, and never shuffled.
 
+A seed that many documents or items hold is dealt on both sides of the join: seeds with a `HOT_SHARE`th of a side's rows (so
+no more than that many on a side, which bounds what is broadcast) have their documents in up to `HOT_PARTS` parts, their items too, and
+each part meets each. Where only a coverage of at least some share counts (`contaminated`), an item asks for documents by
+its rarest seeds alone: tiles over that share hold a known number of its seeds (`_needed`), so the commonest seeds,
+as long as they are fewer than this, can't find a document that the others don't. Each pair is tiled all the same.
+
 Null or empty texts, and items without words, match nothing; an item of fewer than `min_match` words is matched as a whole
 by its own words in a row. Very long texts cost time in proportion to their length for each tile, also where one word
 repeats. Equal items are tiled each; rows of one doc_id are told apart by their texts, and of equal rows each has its row. Ties of
@@ -25,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize, ship, slices, table, whole_rows
@@ -33,6 +39,10 @@ from sparkloom.llm.common import materialize, ship, slices, table, whole_rows
 MIN_MATCH = 5
 COVERAGE = 0.8
 FILTER_BITS = 1 << 25
+HOT_SHARE = 10_000
+HOT_PARTS = 32
+#: Rows of a seed that are never dealt.
+HOT_LEAST = 512
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -130,16 +140,17 @@ def tile(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int, i
 
 def _seeded(min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An item's words as hashes, and its distinct seeds."""
+        """An item's words as hashes, its distinct seeds, and how often each stands in it."""
         for batch in slices(batches):
             rows = []
             for text in batch["text"].to_pylist():
                 v = hashed(tokens(text), {})
                 size = min(min_match, len(v))
-                rows.append((v.tobytes(), size, _signed(np.unique(_sized(running(v, size), size)))) if size else (None, 0, []))
-            columns = zip(*rows, strict=True) if rows else ([], [], [])
-            made = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["item_id"], *made], names=["item_id", "words", "seed_size", "seeds"])
+                seeds, times = np.unique(_sized(running(v, size), size), return_counts=True) if size else (v, v)
+                rows.append((v.tobytes(), size, _signed(seeds), times.astype(np.int64)) if size else (None, 0, [], []))
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["item_id"], *made], names=["item_id", "words", "seed_size", "seeds", "times"])
 
     return run
 
@@ -212,19 +223,57 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(kept, pa.int64())) for c in ("doc_id", "row_key", "item_id")), *made], names=["doc_id", "row_key", "item_id", *_TILED])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
-    """(doc_id, row_key, item_id, item_words, covered_words, tiles, longest, coverage) of every pair that shares a seed.
-    row_key is the hash of the document's text."""
+def _hot(seeds: DataFrame, name: str) -> DataFrame:
+    """(seed, name: its parts) of the seeds with at least a HOT_SHARE-th of the rows; so there are HOT_SHARE at most."""
+    counts = seeds.groupBy("seed").agg(F.count("*").alias("n"))
+    least = max(HOT_LEAST, (seeds.count() + HOT_SHARE - 1) // HOT_SHARE)
+    return counts.where(F.col("n") >= least).select("seed", F.least(F.ceil(F.col("n") / least) + 1, F.lit(HOT_PARTS)).cast("int").alias(name))
+
+
+def _needed(coverage: float):
+    """The places of seeds that tiles over that share of an item's words hold at least: a tile of n words has n - size + 1
+    places, no fewer than n / size."""
+    n_words = F.octet_length("words") / 8
+    return F.greatest(F.lit(1), F.ceil(n_words * coverage / F.col("seed_size") - 1e-9))
+
+
+def _asking(items: DataFrame, doc_seeds: DataFrame, coverage: float) -> DataFrame:
+    """(item_no, seed): the seeds by which items look for documents that may cover such a share of them."""
+    own = items.select("item_no", _needed(coverage).alias("needed"), F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+    own = own.select("item_no", "needed", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
+    if coverage <= 0:
+        return own.select("item_no", "seed")
+    counts = doc_seeds.groupBy("seed").agg(F.count("*").alias("n"))
+    commonest_first = Window.partitionBy("item_no").orderBy(F.desc("n"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    return own.join(counts, "seed").withColumn("so_far", F.sum("times").over(commonest_first)).where("so_far >= needed").select("item_no", "seed")
+
+
+def _pairs(doc_seeds: DataFrame, item_seeds: DataFrame) -> DataFrame:
+    """(doc_no, item_no) that share a seed; hot seeds are dealt by parts of both sides."""
+    hot = materialize(_hot(doc_seeds, "doc_parts").join(_hot(item_seeds, "item_parts"), "seed", "full"), "tile-hot")  # 2 * HOT_SHARE rows at most
+
+    def dealt(rows: DataFrame, no: str, own: str, other: str) -> DataFrame:
+        parts = lambda c: F.coalesce(F.col(f"{c}_parts"), F.lit(1))
+        rows = rows.join(F.broadcast(hot), "seed", "left").withColumn(own, F.pmod(F.xxhash64(no), parts(own)).cast("int"))
+        return rows.select("seed", no, own, F.explode(F.sequence(F.lit(0), parts(other) - 1)).alias(other))
+
+    docs, items = dealt(doc_seeds, "doc_no", "doc", "item"), dealt(item_seeds, "item_no", "item", "doc")
+    return docs.join(items, ["seed", "doc", "item"]).select("doc_no", "item_no").distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = 0.0) -> DataFrame:
+    """(doc_id, row_key, item_id, item_words, covered_words, tiles, longest, coverage) of every pair that shares a seed, or
+    of those that may cover at least such a share, every pair that does among them. row_key is the hash of the document's text."""
     ship(docs.sparkSession)
     item_id, doc_id = (f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("item_id", benchmark), ("doc_id", docs)))
-    items = benchmark.select("item_id", "text").mapInArrow(_seeded(min_match), f"{item_id}, words binary, seed_size int, seeds array<long>")
+    items = benchmark.select("item_id", "text").mapInArrow(_seeded(min_match), f"{item_id}, words binary, seed_size int, seeds array<long>, times array<long>")
     items = materialize(items.where("seed_size > 0").withColumn("item_no", F.monotonically_increasing_id()), "tile-items")
     sizes = sorted(r["seed_size"] for r in items.select("seed_size").distinct().collect())  # min_match values at most
     texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     touched = texts.mapInArrow(_touched(seed_bitmap(items), sizes), f"{doc_id}, row_key long, parts binary, seeds array<long>")
     touched = materialize(touched.withColumn("doc_no", F.monotonically_increasing_id()), "tile-texts")
-    seeds = items.select("item_no", F.explode("seeds").alias("seed"))
-    pairs = touched.select("doc_no", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_no", "item_no").distinct()
+    doc_seeds = touched.select("doc_no", F.explode("seeds").alias("seed"))
+    pairs = _pairs(doc_seeds, _asking(items, doc_seeds, coverage))
     held = pairs.join(touched.select("doc_no", "doc_id", "row_key", "parts"), "doc_no").join(items.select("item_no", "item_id", "words", "seed_size"), "item_no")
     made = ", ".join(f"{c} {'double' if c == 'coverage' else 'long'}" for c in _TILED)
     return held.select("doc_id", "row_key", "item_id", "words", "seed_size", "parts").mapInArrow(_tiled, f"{doc_id}, row_key long, {item_id}, {made}")
@@ -232,7 +281,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH)
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, row_key, ...): texts that cover at least that share of some item, with the item they cover most."""
-    hits = overlaps(docs, benchmark, min_match).where(F.col("coverage") >= coverage)
+    hits = overlaps(docs, benchmark, min_match, coverage).where(F.col("coverage") >= coverage)
     best = F.min(F.struct((-F.col("coverage")).alias("c"), (-F.col("covered_words")).alias("w"), "item_id", "tiles", "longest")).alias("best")
     return hits.groupBy("doc_id", "row_key").agg(best, F.countDistinct("item_id").alias("n_items")).select(
         "doc_id", "row_key", "best.item_id", (-F.col("best.c")).alias("coverage"), (-F.col("best.w")).alias("covered_words"), "best.tiles", "best.longest", "n_items"

@@ -13,7 +13,7 @@ from llm.fixtures import DOCS, prose, vocabulary
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import decontaminate, language, license_scan, mixing, registry, url_filter, warc
+from sparkloom.llm import common, decontaminate, language, license_scan, mixing, registry, url_filter, warc
 from sparkloom.llm.common import new_path
 
 
@@ -186,6 +186,33 @@ def test_tiling_is_what_brute_force_covers(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} - bad and bad
 
 
+@pytest.mark.parametrize("share", [0.3, 0.8])
+def test_common_seeds_are_dealt_and_rare_ones_asked_for(spark, monkeypatch, share):
+    made = random.Random(31)
+    words, notice = vocabulary(31, 80), "this may be copied by anyone freely".split()  # 3 seeds
+    items = [(k, " ".join([*prose(made, words, made.randint(16, 25)), *notice, *(notice if k % 5 == 0 else [])])) for k in range(12)]
+    docs = []
+    for n in range(60):  # the notice is in every document and item
+        own = made.choice(items)[1].split()
+        docs.append((n, " ".join([*prose(made, words, 20), *own[: made.randint(0, len(own))], "x", *notice])))
+    items += [(12, " ".join(words[:3])), (13, " ".join(["w"] * 30))]
+    docs += [(60, "w " * 12), (61, " ".join(words[:9]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "HOT_LEAST", 10**9)
+    whole = {tuple(r) for r in decontaminate.overlaps(df, bench).collect()}
+    assert len(whole) >= 60 * 12
+    monkeypatch.setattr(decontaminate, "HOT_LEAST", 4)
+    seen = []
+    monkeypatch.setattr(decontaminate, "materialize", lambda rows, name, *a: seen.append((name, m := common.materialize(rows, name, *a))) or m)
+    assert {tuple(r) for r in decontaminate.overlaps(df, bench).collect()} == whole
+    (hot,) = [m.collect() for name, m in seen if name == "tile-hot"]
+    assert max(r["doc_parts"] or 0 for r in hot) > 12 and max(r["item_parts"] or 0 for r in hot) > 3
+    bounded = {tuple(r) for r in decontaminate.overlaps(df, bench, coverage=share).collect()}
+    at = decontaminate.overlaps(df, bench).columns.index("coverage")
+    assert {r for r in bounded if r[at] >= share} == {r for r in whole if r[at] >= share}
+    assert bounded <= whole and (share < 0.5 or len(bounded) < len(whole) / 2)
+
+
 def test_tiles_are_those_of_the_definition_where_words_repeat():
     made = random.Random(30)
     for n in range(300):
