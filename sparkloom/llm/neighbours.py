@@ -12,11 +12,13 @@ long as it is full. A point with more links than that has its whole component of
 members are dealt into blocks, and blocks are compared with blocks, each pair where it is dealt, which gives every link
 inside without a limit; of each block pair only counts come out. Other points keep their lists' threshold edges.
 
-Recall is audited on a bounded set of points, whose links are found by brute force against all points of their label in
-blocks: the share of these that lead into the same component, and of these that their n_links count, whichever is less.
-Below `MIN_RECALL` the graph is built again from other trees with longer lists, and after the last such attempt the labels
-that are still below it are compared in full, blocks with blocks. The graph misses only what the audit can't see; no list
-is cut without the exact way above. Components are those of all links found.
+Recall is audited label by label. Of each label `AUDIT_POINTS` points spread by a hash are asked, and as many of those whose
+lists reach within `NEAR` of the threshold, where links are likely; their links are found by brute force against all points
+of the label, block by block, and each block only counts. A label's recall is the share of these links that lead into the
+same component, and of these that n_links counts, whichever is less. Labels below `MIN_RECALL` are searched again by themselves,
+from other trees with longer lists; labels with fewer than `MIN_LINKS` audited links are also judged together, as few links
+say little. Those that are still below it after the last attempt are compared in full, blocks with blocks. The graph misses only
+what the audit can't see; no list is cut without the exact way above. Components are those of all links found.
 
 Leaves and gathered lists that are larger than a block (equal signs, hubs) are dealt into parts by a hash that changes
 with the tree, round and attempt, so that no group, however many points agree, is gathered in one task.
@@ -31,6 +33,7 @@ held whole. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,10 @@ BLOCK = 512
 MAX_ROUNDS = 6
 #: A round that adds fewer links than this share of those found is the last.
 SETTLED = 0.002
-AUDIT_ROWS = 256
+AUDIT_POINTS = 64
+#: Below the threshold by less: a point is likely to have links.
+NEAR = 0.03
+MIN_LINKS = 20
 MIN_RECALL = 0.95
 SIGNS = 30
 #: Digits of the components of unit vectors that tell points apart; scaled copies differ in the last ones of a double.
@@ -193,22 +199,21 @@ def _block_counts(threshold: float):
     return run
 
 
-def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows(keys..., id, unit, weight) in blocks of about BLOCK, and how many blocks those keys have."""
+def _blocks(rows: DataFrame, keys: list[str], name: str, *more: str) -> DataFrame:
+    """rows(keys..., id, unit, weight, more...) in blocks of about BLOCK, and how many blocks those keys have."""
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
     own = F.struct(*keys, "n_blocks", F.pmod(F.xxhash64("id"), "n_blocks").alias("block")).alias("own")
-    blocked = rows.join(sizes, keys).select(own, "id", "unit", "weight").groupBy("own").agg(
-        F.collect_list("id").alias("ids"), F.collect_list("unit").alias("units"), F.collect_list("weight").alias("weights")
-    )
-    return materialize(blocked.select("own.*", "ids", "units", "weights"), name)
+    blocked = rows.join(sizes, keys).select(own, "id", "unit", "weight", *more).groupBy("own").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("id", "unit", "weight", *more)])
+    return materialize(blocked.select("own.*", *[f"{c}s" for c in ("id", "unit", "weight", *more)]), name)
 
 
-def _met(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Each block with each block of its keys, dealt by the other block, so that no group is one task."""
+def _met(blocks: DataFrame, keys: list[str], asking: DataFrame | None = None, *more: str) -> DataFrame:
+    """Each block, or each list that asks, with each block of its keys, dealt by the other block, so that no group is one task."""
+    own = ["ids", "units", *[f"{c}s" for c in more]]
     at = lambda block: F.struct(*keys, block.alias("block")).alias("at")
-    other = blocks.select(at(F.col("block")), F.col("ids").alias("other_ids"), F.col("units").alias("other_units"), F.col("weights").alias("other_weights"))
-    asking = blocks.select(*keys, "ids", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("to"))
-    return asking.select(at(F.col("to")), "ids", "units").join(other, "at").select("ids", "units", "other_ids", "other_units", "other_weights")
+    other = blocks.select(at(F.col("block")), *[F.col(c).alias(f"other_{c}") for c in (*own, "weights")])
+    asking = (asking or blocks).select(*keys, *own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("to"))
+    return asking.select(at(F.col("to")), *own, keys[0]).join(other, "at").select(keys[0], *own, *[f"other_{c}" for c in (*own, "weights")])
 
 
 def enlarged_counts(points: DataFrame, parts: DataFrame, saturated: DataFrame) -> DataFrame:
@@ -248,52 +253,55 @@ def _block_links(threshold: float):
     return run
 
 
-def compared_in_full(points: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
-    """((a, b) links that join what is linked, (id, n) weights of links) of the points of some labels; blocks meet blocks,
+def compared_in_full(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b) links that join what is linked, (id, n) weights of links) of all points; blocks meet blocks,
     so lists stay short, but the work grows with the square of a label."""
-    own = points.where(F.col("label").isin(labels)).withColumn("dim", F.octet_length("unit"))
+    own = points.withColumn("dim", F.octet_length("unit"))
     pairs = _met(_blocks(own, ["label", "dim"], "full-blocks"), ["label", "dim"])
     found = materialize(pairs.mapInArrow(_block_links(THRESHOLD), "a long, b long, n long"), "full-links")
     return found.where("a <> b").select("a", "b").distinct(), found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def audit_recall(points: DataFrame, parts: DataFrame, counts: DataFrame, rows: int = AUDIT_ROWS) -> dict[str, tuple[int, int]]:
-    """By label, the links of a bounded set of points, spread by a hash, as (all, found): the set is compared with all
-    points of its labels, in blocks as these are read. Found are those that parts(node, component) join or that
-    counts(id, n) count, whichever are fewer."""
-    asked = points.select("id", "label", "unit").orderBy(F.xxhash64("id"), "id").limit(rows).collect()
-    if not asked:
-        return {}
-    sought: dict[tuple[str, int], tuple[list[int], list[bytes]]] = {}
-    for r in asked:
-        held = sought.setdefault((r["label"], len(r["unit"])), ([], []))
-        held[0].append(r["id"]), held[1].append(bytes(r["unit"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            labels, ids, units, weights = (batch[c].to_pylist() for c in ("label", "id", "unit", "weight"))
-            for (label, size), (own, own_units) in sought.items():
-                rows = [k for k, v in enumerate(labels) if v == label and len(units[k]) == size]
-                if rows:
-                    s = _matrix(own_units) @ _matrix([units[k] for k in rows]).T
-                    out += [(label, own[i], ids[rows[j]], weights[rows[j]]) for i, j in np.argwhere(s >= THRESHOLD) if own[i] != ids[rows[j]]]
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            kinds = {"label": pa.string(), "a": pa.int64(), "b": pa.int64(), "w": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
-    true = points.select("label", "id", "unit", "weight").mapInArrow(run, "label string, a long, b long, w long")
-    x, y = parts.toDF("a", "ca"), parts.toDF("b", "cb")
-    judged = true.join(x, "a", "left").join(y, "b", "left")
-    judged = judged.groupBy("label", "a").agg(F.sum("w").alias("n"), F.sum(F.expr("if(ca = cb, w, 0)")).alias("joined"))
-    judged = judged.join(counts.select(F.col("id").alias("a"), F.col("n").alias("counted")), "a", "left")
+def _audited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Asked points and a block -> for each, the weight of its links in the block, and of those inside its component."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        columns = ("label", "ids", "units", "components", "other_ids", "other_units", "other_weights", "other_components")
+        for label, own, units, part, other, other_units, weights, other_part in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+            linked = (_matrix(units) @ _matrix(other_units).T >= THRESHOLD) & (np.array(own)[:, None] != np.array(other)[None, :])
+            inside = linked & (np.array(part)[:, None] == np.array(other_part)[None, :])
+            w = np.array(weights, dtype=np.int64)
+            for to, values in zip(out, ([label] * len(own), own, linked @ w, inside @ w), strict=True):
+                to.extend(values)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["label", "id", "n", "joined"])
+
+
+def audit_recall(points: DataFrame, graph: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(label, n, hit): by label, the links of the asked points, and those found, which are those that parts(node, component)
+    join or that counts(id, n) count, whichever are fewer."""
+    component = F.coalesce("component", "id").alias("component")
+    placed = points.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "label", F.octet_length("unit").alias("dim"), "unit", "weight", component)
+    blocks = _blocks(placed, ["label", "dim"], "audit-blocks", "component")
+    likely = graph.where(F.col("sim") >= THRESHOLD - NEAR).select(F.col("a").alias("id")).distinct().withColumn("likely", F.lit(True))
+    spread = F.xxhash64("id", F.lit("audit"))
+    asked = placed.join(likely, "id", "left").withColumn("likely", F.coalesce("likely", F.lit(False))).withColumn("bin", F.pmod(spread, F.lit(AUDIT_POINTS)))
+    first = F.min_by(F.struct("id", "unit", "component"), F.struct(spread, "id")).alias("p")  # one point a bin, found on the map side
+    asked = asked.groupBy("label", "dim", "likely", "bin").agg(first)
+    lists = asked.groupBy("label", "dim").agg(*[F.collect_list(f"p.{c}").alias(f"{c}s") for c in ("id", "unit", "component")])  # 2 * AUDIT_POINTS at most
+    asking = lists.join(blocks.groupBy("label", "dim").agg(F.max("n_blocks").alias("n_blocks")), ["label", "dim"])
+    met = _met(blocks, ["label", "dim"], asking, "component")
+    true = met.mapInArrow(_audited, "label string, id long, n long, joined long").groupBy("label", "id").agg(F.sum("n").alias("n"), F.sum("joined").alias("joined"))
+    judged = true.join(counts.select("id", F.col("n").alias("counted")), "id", "left")
     hit = F.least("joined", F.least("n", F.coalesce("counted", F.lit(0))))
-    return {r["label"]: (r["n"], r["hit"]) for r in judged.groupBy("label").agg(F.sum("n").alias("n"), F.sum(hit).alias("hit")).collect()}
+    return materialize(judged.groupBy("label").agg(F.sum("n").alias("n"), F.sum(hit).alias("hit")), "audit")
 
 
-def _recall(audited: dict[str, tuple[int, int]]) -> float:
-    total = sum(n for n, _ in audited.values())
-    return sum(hit for _, hit in audited.values()) / total if total else 1.0
+def short_labels(audit: DataFrame) -> DataFrame:
+    """The labels whose recall is too low: by themselves, or as some of those with few links when these are short together."""
+    few = audit.where(F.col("n") < MIN_LINKS).agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).first()
+    together = bool(few["n"]) and few["hit"] < MIN_RECALL * few["n"]
+    return materialize(audit.where((F.col("hit") < MIN_RECALL * F.col("n")) | (F.col("n") < MIN_LINKS) & F.lit(together)).select("label"), "audit-short")
 
 
 def _counted(points: DataFrame, linked: DataFrame, parts: DataFrame, k: int) -> DataFrame:
@@ -308,8 +316,8 @@ def _counted(points: DataFrame, linked: DataFrame, parts: DataFrame, k: int) ->
     return materialize(listed.union(enlarged_counts(points, parts, in_full)), "descent-counts")
 
 
-def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
-    """((vec_id, n_links, component_id) of every row, recall as audited)."""
+def search(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((vec_id, n_links, component_id) of every row, (label, n, hit): links as audited)."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = materialize(rows.mapInArrow(_points, "vec_id long, label string, key binary, unit binary"), "descent-rows")
@@ -319,31 +327,48 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
     )
     # numbers of our own, fixed once written: rows that share a vec_id are different points
     points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "descent-points")
+    todo, done = points, []  # links stay within a label, so labels are done one by one
     for attempt, k in enumerate((K, 2 * K, 4 * K)):
-        graph = neighbour_graph(points, k, attempt)
+        graph = neighbour_graph(todo, k, attempt)
         linked = graph.where(F.col("sim") >= THRESHOLD)
         parts = materialize(connected_components(linked.select("a", "b")), "descent-parts")
-        counts = _counted(points, linked, parts, k)
-        audited = audit_recall(points, parts, counts)
-        if _recall(audited) >= MIN_RECALL:
+        counts = _counted(todo, linked, parts, k)
+        audit = audit_recall(todo, graph, parts, counts)
+        short = short_labels(audit)
+        if short.isEmpty():
+            done.append((parts, counts, audit))
             break
+        good = todo.join(short, "label", "left_anti").select("id")
+        done.append((parts.join(good.toDF("node"), "node", "left_semi"), counts.join(good, "id", "left_semi"), audit.join(short, "label", "left_anti")))
+        todo = materialize(todo.join(short, "label", "left_semi"), "descent-again")
     else:
-        short = [label for label, (n, hit) in audited.items() if hit < MIN_RECALL * n]
-        full, full_counts = compared_in_full(points, short)
-        others = points.where(~F.col("label").isin(short)).select("id")
-        rest = linked.select("a", "b").join(others.toDF("a"), "a", "left_semi")
-        parts = materialize(connected_components(rest.union(full)), "descent-parts")
-        counts = materialize(counts.join(others, "id", "left_semi").union(full_counts), "descent-counts")
-        audited = audit_recall(points, parts, counts)
+        full, counts = compared_in_full(todo)
+        parts = materialize(connected_components(full), "descent-parts")
+        done.append((parts, counts, audit_recall(todo, full.withColumn("sim", F.lit(THRESHOLD)), parts, counts)))
+    parts, counts, audit = (reduce(DataFrame.unionByName, found) for found in zip(*done, strict=True))
     named = points.select("key", "id", "name", "weight").join(counts, "id", "left").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
     lowest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("name").alias("lowest"))  # the smallest vec_id of each component
     named = named.join(lowest, "component", "left").select(
         F.col("key").alias("own_key"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "name").alias("component")
     )
     out = rows.select("vec_id", "key").join(named, F.col("key") == F.col("own_key"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), _recall(audited)
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")), audit
+
+
+def _recall(audit: DataFrame) -> tuple[float, int]:
+    """The share of all audited links that was found, and how many were audited."""
+    total = audit.agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).first()
+    return (total["hit"] / total["n"] if total["n"] else 1.0), int(total["n"] or 0)
+
+
+def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
+    """((vec_id, n_links, component_id) of every row, recall as audited)."""
+    out, audit = search(vectors)
+    return out, _recall(audit)[0]
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, recall = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("audited_recall"))
+    out, audit = search(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    recall, links = _recall(audit)
+    kept = (F.col("vec_id") == F.col("component_id")).alias("kept")
+    return out.select("vec_id", "n_links", "component_id", kept, F.lit(float(recall)).alias("audited_recall"), F.lit(links).cast("long").alias("audited_links"))

@@ -306,6 +306,29 @@ def test_what_the_graph_misses_is_compared_in_full(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == {i: (want[i], parts[i]) for i in want}
 
 
+def test_a_bad_label_does_not_hide_behind_a_good_one(spark, monkeypatch):
+    made = np.random.default_rng(14)
+    whole, asked = neighbours.neighbour_graph, []
+
+    def one_label_lost(points, k, attempt):
+        asked.append({r["label"] for r in points.select("label").distinct().collect()})
+        kept = points.where("label = '1'").select(F.col("id").alias("a"))
+        return whole(points, k, attempt).join(kept, "a", "left_semi")
+
+    monkeypatch.setattr(neighbours, "neighbour_graph", one_label_lost)
+    middles = made.standard_normal((60, 6))
+    rows = [(k, 1, (middles[k % 50] + 0.02 * made.standard_normal(6)).tolist()) for k in range(400)]
+    rows += [(400 + k, 2, (middles[50 + k // 2] + 0.02 * made.standard_normal(6)).tolist()) for k in range(20)]  # 20 of 2,800 links
+    out, audit = neighbours.search(spark.createDataFrame(rows, VECTORS.replace("float", "double")).repartition(3))
+    want, links = cosines(rows)
+    parts = components_of(want, links)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()}
+    assert asked == [{"1", "2"}, {"2"}, {"2"}]
+    assert all(got[i] == (want[i], parts[i]) for i in range(400, 420)) and sum(want[i] for i in range(400, 420)) >= 20
+    assert {r["label"]: r["hit"] / r["n"] for r in audit.collect()}["2"] == 1
+    assert sum(got[i][0] for i in range(400)) >= 0.98 * sum(want[i] for i in range(400))
+
+
 def test_rows_of_one_vec_id_are_points_of_their_own(spark):
     rows = [(1, 1, [1.0, 0.0, 0.0]), (1, 1, [0.0, 1.0, 0.0]), (2, 1, [0.0, 1.0, 0.001]), (3, 1, [0.0, 0.0, 1.0])]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS))[0].collect())
