@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,15 +115,34 @@ def top_directories(files: DataFrame, k: int) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, path: str, content: str) -> DataFrame:
-    """(digest, n): one row that doesn't depend on the order of rows. Each (path, hash) pair's SHA-256 is cut into eight numbers
-    of 32 bits, which are added up modulo 2^32 and written one after another: sums need no sorting and no group, and what leaves
-    a task is one row. A repeated row counts each time."""
+    """(digest, buckets, n): one row that doesn't depend on the order of rows, which are n. The SHA-256 of each (path, hash) pair
+    is filed by its first byte; each bucket's are sorted and hashed, then the buckets' digests. Sorted hashes run through a task
+    as a stream, so a bucket may have any size. A repeated row counts each time, but travels once; without rows, digest is null."""
     one = F.sha2(F.concat_ws("\x00", path, content), 256)
-    part = lambda k: F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long")
-    # as decimals, for a sum of more than 2^31 such numbers doesn't fit into a long
-    sums = rows.select(one.alias("h")).agg(*[F.sum(part(k).cast("decimal(10,0)")).alias(f"s{k}") for k in range(8)], F.count("*").alias("n"))
-    parts = [F.lpad(F.lower(F.hex((F.coalesce(f"s{k}", F.lit(0)) % (1 << 32)).cast("long"))), 8, "0") for k in range(8)]
-    return sums.select(F.concat(*parts).alias("digest"), "n")
+    counted = rows.select(one.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    per = counted.repartition(F.substring("h", 1, 2)).sortWithinPartitions("h").mapInArrow(_bucket_digests(), "d string, n long")
+    whole = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256)
+    return per.agg(F.when(F.count("*") > 0, whole).alias("digest"), F.count("*").alias("buckets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def _bucket_digests(piece: int = 4096):
+    """A task's hashes with their counts, sorted -> each bucket's digest and its number of rows; only the hash's state is held."""
+
+    def fold(batches):
+        bucket, state, total = None, None, 0
+        for batch in batches:
+            for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist()):
+                if h[:2] != bucket:
+                    if state is not None:
+                        yield pa.RecordBatch.from_pydict({"d": [state.hexdigest()], "n": [total]})
+                    bucket, state, total = h[:2], hashlib.sha256(), 0
+                for k in range(0, n, piece):
+                    state.update(h.encode() * min(piece, n - k))
+                total += n
+        if state is not None:
+            yield pa.RecordBatch.from_pydict({"d": [state.hexdigest()], "n": [total]})
+
+    return fold
 
 
 def line_windows(lines: DataFrame, key: str, size: int = 6) -> DataFrame:

@@ -359,8 +359,8 @@ ORACLES = {
     "shared_groups": "SELECT 'region:' || n_regionkey AS grp, count(*) AS users FROM nation GROUP BY n_regionkey HAVING count(*) >= 3",
     "url_directories": """WITH f AS (SELECT regexp_extract(url, '^[^:]*://([^?#]*)', 1) AS path FROM pages), g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f WHERE contains(path, '/'))
         SELECT CASE WHEN dir = '' THEN '.' ELSE dir END AS dir, count(*) AS n FROM g GROUP BY dir ORDER BY n DESC, len(string_split(dir, '/')), dir LIMIT 10""",
-    "page_digest": """WITH h AS (SELECT sha256(page_id || chr(0) || md5(html)) AS h FROM pages), p AS (SELECT k, sum(('0x' || substr(h, 8 * k + 1, 8))::HUGEINT) % 4294967296 AS s FROM h, range(8) r(k) GROUP BY k)
-        SELECT string_agg(lpad(lower(hex(s::UBIGINT)), 8, '0'), '' ORDER BY k) AS digest, (SELECT count(*) FROM h) AS n FROM p""",
+    "page_digest": """WITH h AS (SELECT sha256(page_id || chr(0) || md5(html)) AS h FROM pages), b AS (SELECT left(h, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
+        SELECT sha256(string_agg(d, '' ORDER BY d)) AS digest, count(*) AS buckets, (SELECT count(*) FROM h) AS n FROM b""",
     "hybrid_retrieval": f"""WITH {PLACES_SQL}, {NODES_SQL}, m AS (SELECT * FROM nodes WHERE kind <> 'part'), w AS (SELECT id, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM m),
         tot AS (SELECT count(*) AS n, avg(4 * len(w)) AS al FROM w), {_values(['nation', '3', 'supplier', '000000007'], 'q(t)')}, tf AS (SELECT id, t, 4 * len(list_filter(w, lambda x: x = t)) AS tf, 4 * len(w) AS len FROM w, q),
         hit AS (SELECT * FROM tf WHERE tf > 0), df AS (SELECT t, count(*) AS df FROM hit GROUP BY t), lx AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS lex FROM hit JOIN df USING (t), tot GROUP BY id),

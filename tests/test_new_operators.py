@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clustering, flows, linking, packing, routing
+from sparkloom.operators import clustering, flows, linking, packing, reports, routing
 
 
 def test_imports_of_each_language(spark):
@@ -227,6 +228,20 @@ def test_components_are_those_of_a_plain_model(spark, seed, most):
     assert {r["module"]: r["component"] for r in got.collect()} == _clustered(modules, links, most, 2.5)
 
 
+def test_set_digest_hashes_the_sorted_hashes_of_each_bucket(spark):
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    rows = [(f"p{k}", f"h{k % 7}") for k in range(900)] + [("p", "copy")] * 9000 + [("p1", "h1")]
+    buckets = {}
+    for h in sorted(sha("\0".join(r)) for r in rows):
+        buckets.setdefault(h[:2], []).append(h)
+    want = (sha("".join(sorted(sha("".join(b)) for b in buckets.values()))), len(buckets), len(rows))
+    df = spark.createDataFrame(rows, "path string, hash string")
+    columns = ("digest", "buckets", "n")
+    assert [tuple(r) for r in reports.set_digest(df, "path", "hash").select(*columns).collect()] == [want]
+    assert [tuple(r) for r in reports.set_digest(df.orderBy("hash", "path").coalesce(1), "path", "hash").select(*columns).collect()] == [want]
+    assert [tuple(r) for r in reports.set_digest(df.limit(0), "path", "hash").select(*columns).collect()] == [(None, 0, 0)]
+
+
 def test_names_may_be_spoken_as_words(spark):
     from sparkloom.operators import retrieval
 
