@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pytest
+from helpers import SF, assert_same
 from pyspark.sql import functions as F
 
-from sparkloom.operators import retrieval
+from sparkloom.operators import linking, retrieval
+from sparkloom.plans import repository_queries
 
 
 def test_intents_take_words_between_other_letters(spark):
@@ -17,3 +22,21 @@ def test_intents_take_words_between_other_letters(spark):
     got = {r["n"]: r["i"] for r in df.select("n", retrieval.detect_intent(F.col("t")).alias("i")).collect()}
     assert [got[n] for n in range(len(texts))] == want and want[:4] == ["test", "test", "test", "locate"]
     assert [retrieval.intent_of(t) for t in texts if t is not None] == [w for t, w in zip(texts, want, strict=True) if t is not None]
+
+
+@pytest.mark.parametrize("name", ["import_edges", "name_links"])
+def test_linking_goes_in_passes_of_which_only_results_stay(spark, name, monkeypatch):
+    monkeypatch.setattr(repository_queries, "PASS_ROWS", 2500)
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert_same(repository_queries.QUERIES[name](spark, SF), repository_queries.ORACLES[name], SF)
+    left = sorted(p.name.split("-")[0] for p in set(shared.iterdir()) - before)
+    assert left == ["pairs", "pass", "pass", "pass"]
+
+
+def test_files_of_folders_are_counted_before_they_are_joined(spark):
+    files = spark.createDataFrame([(f"java/a/b/P{n}.java",) for n in range(40)] + [(f"java/c/b/P{n}.java",) for n in range(30)] + [("go/x/y.go",), ("go/x/z.go",), ("src/p.py",)], "path string")
+    refs = spark.createDataFrame([("1", "java", "java/q.java", "b.*"), ("2", "java", "java/q.java", "a.b.*"), ("3", "go", "go/m.go", "e.org/x"), ("4", "python", "src/q.py", "./.p"), ("5", "python", "src/q.py", "p"), ("6", "python", "src/q.py", "no")], "ref_id string, language string, path string, spec string")
+    resolved = linking.resolve_imports(refs, files, spark.createDataFrame([("e.org", "go")], "module string, folder string"))
+    want = {tuple(r) for r in linking.imported_files(resolved, files).groupBy("ref_id").agg(F.count("*"), F.min("path")).collect()}
+    assert {tuple(r) for r in linking.counted_files(resolved, files).collect()} == want and ("1", 70, "java/a/b/P0.java") in want
