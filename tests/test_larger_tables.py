@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
 from helpers import SF, assert_same
 from pyspark.sql import functions as F
 
-from sparkloom.operators import linking, retrieval
+from sparkloom.operators import changes, linking, retrieval
 from sparkloom.plans import repository_queries
 
 
@@ -40,3 +41,23 @@ def test_files_of_folders_are_counted_before_they_are_joined(spark):
     resolved = linking.resolve_imports(refs, files, spark.createDataFrame([("e.org", "go")], "module string, folder string"))
     want = {tuple(r) for r in linking.imported_files(resolved, files).groupBy("ref_id").agg(F.count("*"), F.min("path")).collect()}
     assert {tuple(r) for r in linking.counted_files(resolved, files).collect()} == want and ("1", 70, "java/a/b/P0.java") in want
+
+
+def test_renames_of_many_copies_compare_a_set_once(spark):
+    made = random.Random(6)
+    base = [[f"w{made.randrange(60)}" for _ in range(made.randint(0, 14))] for _ in range(25)]
+    near = lambda t: [*t[: made.randint(len(t) // 2, len(t))], *[f"w{made.randrange(60)}" for _ in range(made.randrange(3))]]
+    gone = [(made.choice("fg"), f"o{n:03}", near(made.choice(base))) for n in range(90)] + [("h", f"o{n}", ["x", "y", "z"]) for n in range(40)]
+    come = [(made.choice("fg"), f"n{n:03}", near(made.choice(base))) for n in range(90)] + [("h", f"n{n}", ["z", "y", "x", "x"]) for n in range(40)]
+    alike = {}
+    for f, o, x in gone:
+        for g, n, y in come:
+            if f == g and x and y and (s := round(len(set(x) & set(y)) / len(set(x) | set(y)), 6)) >= 0.6:
+                alike[f, o, n] = s
+    want = {(f, o, n, s) for (f, o, n), s in alike.items() if n == min((-t, m) for (g, p, m), t in alike.items() if (g, p) == (f, o))[1] and o == min((-t, p) for (g, p, m), t in alike.items() if (g, m) == (f, n))[1]}
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    got = changes.matched_renames(*[spark.createDataFrame(rows, "file string, name string, tokens array<string>") for rows in (gone, come)])
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 10
+    compared = next(p for p in set(shared.iterdir()) - before if p.name.startswith("alike-"))
+    assert spark.read.parquet(str(compared)).where("file = 'h'").count() == 1
