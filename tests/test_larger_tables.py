@@ -10,7 +10,7 @@ from helpers import SF, assert_same
 from pyspark.sql import functions as F
 
 from sparkloom.operators import changes, linking, retrieval
-from sparkloom.plans import repository_queries
+from sparkloom.plans import packing_queries, repository_queries
 
 
 def test_intents_take_words_between_other_letters(spark):
@@ -61,3 +61,11 @@ def test_renames_of_many_copies_compare_a_set_once(spark):
     assert {tuple(r) for r in got.collect()} == want and len(want) > 10
     compared = next(p for p in set(shared.iterdir()) - before if p.name.startswith("alike-"))
     assert spark.read.parquet(str(compared)).where("file = 'h'").count() == 1
+
+
+def test_questions_go_in_passes_over_postings(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PASS_TERMS", 20)
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    assert_same(packing_queries.QUERIES["context_packets"](spark, SF), packing_queries.ORACLES["context_packets"], SF)
+    assert sum(p.name.startswith("best-") for p in set(shared.iterdir()) - before) > 2
