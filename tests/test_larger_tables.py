@@ -69,3 +69,12 @@ def test_questions_go_in_passes_over_postings(spark, monkeypatch):
     before = set(shared.iterdir())
     assert_same(packing_queries.QUERIES["context_packets"](spark, SF), packing_queries.ORACLES["context_packets"], SF)
     assert sum(p.name.startswith("best-") for p in set(shared.iterdir()) - before) > 2
+
+
+@pytest.mark.parametrize("terms", [1, 40])
+def test_covers_go_in_passes_and_keep_few_of_those_alike(spark, monkeypatch, terms):
+    monkeypatch.setattr(retrieval, "PASS_TERMS", terms * 10)
+    assert_same(packing_queries.cover_picks(spark, SF), packing_queries.ORACLES["cover_picks"], SF)
+    covers = packing_queries._covers(spark, SF, 0.15, 7)
+    alike = covers.groupBy("task", "candidate", "score").agg(F.array_sort(F.collect_list("need")).alias("needs")).groupBy("task", "needs", "score").agg(F.count("*").alias("n"))
+    assert alike.agg(F.max("n")).first()[0] == 7
