@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +64,64 @@ def _entered(visits: DataFrame) -> DataFrame:
         now = first
 
 
+#: Fixed value: calls below an entry up to which one task walks them.
+WALKED = 500_000
+
+
 def call_tree(edges: DataFrame, entries: DataFrame, depth: int = 3) -> DataFrame:
     """edges(src, dst, confidence), entries(id) -> (entry, place, id, depth, repeated): each entry's tree of calls down to `depth` (1
     to 6) in the order of a walk that takes the strongest edge first (ties to the least target); a node that the walk has met
     before is marked and not entered again. place counts an entry's rows from 0.
 
+    What an entry reaches is found level by level for all entries at once, a node once however many paths lead to it; then each
+    entry walks its own nodes in a task. Entries with more than WALKED calls below them are walked by rows instead."""
+    depth = max(1, min(depth, 6))
+    strongest = edges.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    number = F.col("confidence").cast("double")
+    turn = F.struct(number.isNull(), ~F.isnan(number), -F.col("confidence"), F.col("dst"))  # as a descending order has them
+    kids = strongest.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["dst"]).alias("kids"))
+    kids = settled(kids.withColumnRenamed("src", "id"), "kids")
+    front = settled(entries.select(F.col("id").alias("entry"), "id").distinct(), "reached")
+    reached = front
+    for _ in range(1, depth):
+        ahead = front.join(kids, "id").select("entry", F.explode("kids").alias("id")).distinct()
+        front = settled(ahead.join(reached, ["entry", "id"], "left_anti"), "reached")
+        reached = reached.unionByName(front)
+    held = settled(reached.join(kids, "id", "left").select("entry", "id", "kids"), "held")
+    many = settled(held.groupBy("entry").agg(F.sum(F.greatest(F.size("kids"), F.lit(0))).alias("n")).where(F.col("n") > WALKED).select(F.col("entry").alias("id")), "many")
+    types = dict(front.dtypes)
+
+    def walk(key: tuple, rows: pa.Table) -> pa.Table:
+        below = dict(zip(rows["id"].to_pylist(), rows["kids"].to_pylist(), strict=True))
+        start = key[0].as_py()
+        ids, depths, repeated, met, stack = [], [], [], set(), [(start, 0)]
+        while stack:
+            node, at = stack.pop()
+            again = node in met
+            ids.append(node)
+            depths.append(at)
+            repeated.append(again)
+            if not again:
+                met.add(node)
+                if at < depth:
+                    stack.extend((k, at + 1) for k in reversed(below.get(node) or ()))
+        kind = rows.schema.field("id").type
+        columns = [pa.array([start] * len(ids), rows.schema.field("entry").type), pa.array(range(len(ids)), pa.int64()), pa.array(ids, kind), pa.array(depths, pa.int32()), pa.array(repeated, pa.bool_())]
+        return pa.Table.from_arrays(columns, names=["entry", "place", "id", "depth", "repeated"])
+
+    schema = f"entry {types['entry']}, place long, id {types['id']}, depth int, repeated boolean"
+    if many.isEmpty():
+        return held.groupBy("entry").applyInArrow(walk, schema)
+    few = held.join(many.select(F.col("id").alias("entry")), "entry", "left_anti")
+    return few.groupBy("entry").applyInArrow(walk, schema).unionByName(_walked_by_rows(edges, many, depth).select("entry", "place", "id", F.col("depth").cast("int").alias("depth"), "repeated"))
+
+
+def _walked_by_rows(edges: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """call_tree() of entries with so many calls below them that no task should hold them.
+
     A visit is known by its path of turns, and paths sort as the walk goes. Visits that enter their node, as far as is known,
     are followed by one step; that may show an earlier path to a node, so who enters is settled again, until all that enter
     have been followed. What is followed is nodes, not all paths."""
-    depth = max(1, min(depth, 6))
     step = edges.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).withColumn("one", F.lit(1))
     step = prefix_sums(step, ["src"], [F.desc("confidence"), F.col("dst")], "one", "turn")
     step = settled(step.select("src", "dst", F.format_string("%09d", F.col("turn").cast("long")).alias("turn")), "call-steps")

@@ -9,7 +9,7 @@ import pytest
 from helpers import SF, assert_same
 from pyspark.sql import functions as F
 
-from sparkloom.operators import changes, linking, retrieval
+from sparkloom.operators import changes, hierarchy, linking, retrieval
 from sparkloom.plans import packing_queries, repository_queries
 
 
@@ -78,3 +78,15 @@ def test_covers_go_in_passes_and_keep_few_of_those_alike(spark, monkeypatch, ter
     covers = packing_queries._covers(spark, SF, 0.15, 7)
     alike = covers.groupBy("task", "candidate", "score").agg(F.array_sort(F.collect_list("need")).alias("needs")).groupBy("task", "needs", "score").agg(F.count("*").alias("n"))
     assert alike.agg(F.max("n")).first()[0] == 7
+
+
+def test_long_calls_are_walked_by_rows_with_the_same_tree(spark, monkeypatch):
+    made = random.Random(9)
+    edges = spark.createDataFrame([(made.randrange(30), made.randrange(30), made.choice([0.5, 0.9, None])) for _ in range(90)], "src int, dst int, confidence double")
+    entries = spark.createDataFrame([(0,), (1,), (77,), (1,)], "id int")
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    want = {tuple(r) for r in hierarchy.call_tree(edges, entries, 4).collect()}
+    assert not any(p.name.startswith(("visits-", "entered-")) for p in set(shared.iterdir()) - before)  # no rounds over visits
+    monkeypatch.setattr(hierarchy, "WALKED", 20)
+    assert {tuple(r) for r in hierarchy.call_tree(edges, entries, 4).collect()} == want and (77, 0, 77, 0, False) in want
