@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.graph import release, settled
+from sparkloom.operators.graph import in_passes, release, settled
 
 #: Share of all tokens of two declarations that a rename has in common, and digits to which it is rounded.
 ALIKE, DIGITS = 0.6, 6
 #: Fixed value: tokens that are put last in the order of all, the most common ones.
 COMMON = 4096
+#: Fixed value: shared tokens that a pass may have, if there are fewer tokens.
+PASS_SHARED = 2_000_000
 
 
 def _set(tokens: Column) -> Column:
@@ -57,9 +59,18 @@ def _matched(gone: DataFrame, come: DataFrame, alike: float) -> DataFrame:
     a = first.where("NOT side").select("file", "token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
     b = first.where("side").select("file", "token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
     sizes = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (alike - 10.0**-DIGITS)).alias("sizes")
-    pairs = a.join(b, ["file", "token"]).where(sizes).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.col("n_a") + F.col("n_b")).alias("n"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
     share = alike - 10.0**-DIGITS
-    pairs = settled(pairs.where((F.col("c") + F.col("rest")) * (1 + share) >= F.col("n") * share).select("a", "b"), "pairs")
+    # shared tokens may be far more than tokens; sets go in passes, so that a pass has no more of them
+    counts = first.groupBy("file", "token").agg(F.count_if("side").alias("x"), F.count_if(~F.col("side")).alias("y"))
+    sums = counts.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).alias("shared"), F.coalesce(F.sum(F.col("x") + F.col("y")), F.lit(0)).alias("tokens")).first()
+    passes = sums["shared"] // max(PASS_SHARED, sums["tokens"]) + 1
+
+    def can_be(own: DataFrame) -> DataFrame:
+        pairs = own.join(b, ["file", "token"]).where(sizes).groupBy("a", "b")
+        pairs = pairs.agg(F.count("*").alias("c"), F.max(F.col("n_a") + F.col("n_b")).alias("n"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
+        return pairs.where((F.col("c") + F.col("rest")) * (1 + share) >= F.col("n") * share).select("a", "b")
+
+    pairs = in_passes([lambda n=n: can_be(a.where(F.expr(f"pmod(xxhash64(a), {passes})") == n)) for n in range(passes)], "pairs")
     release(first)
     held = lambda own: sides.select(F.col("id").alias(own), "file", F.col("name").alias(f"name_{own}"), F.col("set").alias(f"set_{own}"))
     pairs = pairs.join(held("a"), "a").join(held("b").drop("file"), "b")

@@ -43,7 +43,8 @@ def test_files_of_folders_are_counted_before_they_are_joined(spark):
     assert {tuple(r) for r in linking.counted_files(resolved, files).collect()} == want and ("1", 70, "java/a/b/P0.java") in want
 
 
-def test_renames_of_many_copies_compare_a_set_once(spark):
+def test_renames_of_many_copies_compare_a_set_once(spark, monkeypatch):
+    monkeypatch.setattr(changes, "PASS_SHARED", 100)
     made = random.Random(6)
     base = [[f"w{made.randrange(60)}" for _ in range(made.randint(0, 14))] for _ in range(25)]
     near = lambda t: [*t[: made.randint(len(t) // 2, len(t))], *[f"w{made.randrange(60)}" for _ in range(made.randrange(3))]]
